@@ -9,10 +9,11 @@ from .shared import Workspace
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges (u, v) with u > v, each once; gives edges of the same form.
+    """One step over edges (u, v) with u > v; gives edges of the same form.
 
     Large: every larger neighbour of a node is linked to the least of its
-    neighbourhood. Small: the node and its smaller neighbours are.
+    neighbourhood. Small: the node and its smaller neighbours are,
+    and repeats go.
     """
     flipped = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     if large:
@@ -23,7 +24,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = out.unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+    out = out.where("u != v")
+    return out if large else out.distinct()
 
 
 def connected_components(edges: DataFrame, space: Workspace, max_rounds: int = 100) -> DataFrame:

@@ -37,6 +37,7 @@ FAR = 20
 SMALL = 64
 OUTSIDE = 1024
 RARE = 3
+MAP_BITS = 2048
 HUBS = 8
 
 _RNG = np.random.default_rng(75)
@@ -136,6 +137,32 @@ def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 )
 
 
+def _bit_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in textvec.slices(batch, "text"):
+            maps = []
+            for s in textvec.shingle_sets(part.column(1)):
+                bits = np.zeros(MAP_BITS, dtype=np.uint8)
+                bits[s >> np.uint64(64 - MAP_BITS.bit_length() + 1)] = 1
+                maps.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(maps, pa.binary())], names=["name", "bits"])
+
+
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops pairs that the bit maps rule out.
+
+    Two sets have at most as many elements in common as places that both maps
+    have set, and the lesser number of elements that share a place with others.
+    """
+    for batch in batches:
+        if len(batch):
+            sizes = [batch.column(k).to_numpy() for k in (2, 3)]
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (4, 5))
+            hidden = [n - np.bitwise_count(m).sum(axis=1, dtype=np.int64) for n, m in zip(sizes, (x, y))]
+            most = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64) + np.minimum(*hidden)
+            yield batch.select([0, 1]).filter(pa.array(7 * most >= 3 * (sizes[0] + sizes[1])))
+
+
 class _Run:
     def __init__(self, docs: DataFrame):
         self.docs = docs
@@ -188,10 +215,11 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
     join two components stays uncompared.
     """
     space = run.space
+    own = entries.groupBy("name").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    maps = texts.join(own.select("name"), "name", "left_semi").mapInArrow(_bit_maps, "name binary, bits binary")
     inside = space.keep(
-        entries.groupBy("name")
-        .agg(F.sort_array(F.collect_list("key")).alias("keys"))
-        .join(nodes.select("name", "size"), "name")
+        own.join(nodes.select("name", "size"), "name")
+        .join(maps, "name")
         .withColumn("node", F.xxhash64("name")),
         "inside",
     )
@@ -219,7 +247,7 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
         inside.join(rare, "node", "left")
         .withColumn("shared", F.col("size") - F.coalesce(F.col("rare"), F.lit(0)))
         .where("4 * shared >= 3 * size")
-        .select("name", "size", "shared", "keys", F.explode("keys").alias("key")),
+        .select("name", "size", "shared", "keys", "bits", F.explode("keys").alias("key")),
         "open",
     )
     couples = (
@@ -267,10 +295,11 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
             state.join(hubs, "key")
             .where("part != hub_part and 7 * least(shared, hub_shared) >= 3 * (size + hub_size)")
             .where(F.array_min(F.array_intersect("keys", "hub_keys")) == F.col("key") if limit == OUTSIDE else F.lit(True))
-            .select(F.least("name", "hub_name").alias("a"), F.greatest("name", "hub_name").alias("b"))
+            .select(F.least("name", "hub_name").alias("a"), F.greatest("name", "hub_name").alias("b"), "size", "hub_size", "bits", "hub_bits")
+            .mapInArrow(_may_link, "a binary, b binary")
             .distinct()
         )
-        pairs = space.keep(_pairs_near(pairs, nodes), "hub-pairs")
+        pairs = space.keep(pairs, "hub-pairs")
         links = space.keep(links.unionByName(run.confirm(pairs, texts)).distinct(), "links")
         rest = state.where(~few).select(open_.columns)
         open_ = space.keep(rest.join(best.select("key", "name"), ["key", "name"], "left_anti"), "open")
@@ -282,9 +311,9 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
 
 def _top(outside: DataFrame) -> DataFrame:
     """Up to HUBS nodes of each bucket, the one that shares most among them."""
-    order = F.struct("shared", "name", "size", "part", "keys")
+    order = F.struct("shared", "name", "size", "part", "keys", "bits")
     salted = outside.groupBy("key", F.pmod(F.xxhash64("name"), F.lit(HUBS)).alias("salt")).agg(F.max(order).alias("top"))
-    return salted.select("key", "top.name", "top.size", "top.shared", "top.part", "top.keys")
+    return salted.select("key", "top.name", "top.size", "top.shared", "top.part", "top.keys", "top.bits")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
