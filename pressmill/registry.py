@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .catalogue import articles, feeds
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**feeds.QUERIES, **articles.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**feeds.ORACLES, **articles.ORACLES}
