@@ -8,24 +8,28 @@ from pyspark.sql import functions as F
 from .shared import Workspace
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+EDGES_A_TASK = 50_000
+
+
+def _stars(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """One step over edges (u, v) with u > v; gives edges of the same form.
 
     Large: every larger neighbour of a node is linked to the least of its
-    neighbourhood. Small: the node and its smaller neighbours are,
-    and repeats go.
+    neighbourhood. Small: the node and its smaller neighbours are, and repeats
+    go. ``tasks`` fits the stages to the number of edges, which shrinks, rather
+    than to the session's shuffle partitions.
     """
     flipped = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     if large:
         around = edges.unionByName(flipped)
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks)
         out = flipped.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = out.unionByName(least.select("u", F.col("m").alias("v")))
-    out = out.where("u != v")
-    return out if large else out.distinct()
+    out = out.where("u != v").coalesce(tasks)
+    return out if large else out.distinct().coalesce(tasks)
 
 
 def connected_components(edges: DataFrame, space: Workspace, max_rounds: int = 100) -> DataFrame:
@@ -49,7 +53,8 @@ def connected_components(edges: DataFrame, space: Workspace, max_rounds: int = 1
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        after = space.keep(_stars(_stars(now, True), False), "stars")
+        tasks = 2 + seen[0] // EDGES_A_TASK
+        after = space.keep(_stars(_stars(now, True, tasks), False, tasks), "stars")
         space.drop(now)
         now, before, seen = after, seen, state(after)
         if tuple(seen) == tuple(before):

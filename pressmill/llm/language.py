@@ -200,7 +200,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language the model of their own labels does not reject, columns as they were."""
     slim = docs.select(F.col("doc_id").alias("key"), "text", "lang")
     model = train(slim)
-    names = {"lang_pred", "score", "rejected"} & set(docs.columns)
+    names = [c for c in docs.columns if c.lower() in ("lang_pred", "score", "rejected")]
     frame = docs.withColumnsRenamed({n: f"__own_{n}" for n in names})
     kept = identify(frame, model).where("not rejected").drop("lang_pred", "score", "rejected")
     return kept.withColumnsRenamed({f"__own_{n}": n for n in names}).select(*[f"`{c}`" for c in docs.columns])

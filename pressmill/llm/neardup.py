@@ -36,8 +36,9 @@ RADIUS = CHUNKS * (ERRORS + 1) - 1
 FAR = 20
 SMALL = 64
 OUTSIDE = 1024
-RARE = 3
+RARE = 4
 MAP_BITS = 2048
+ROWS_A_TASK = 20_000
 HUBS = 8
 
 _RNG = np.random.default_rng(75)
@@ -125,17 +126,57 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select([0, 1]).filter(pa.array(found, pa.bool_()))
 
 
-def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in textvec.slices(batch, "text"):
-            sets = textvec.shingle_sets(part.column(1))
-            rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            if len(rows):
+def _shingle_lists(parts: int):
+    """(node, text) to (part, shingles, nodes): a text's shingles with their node, dealt by hash over the parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in textvec.slices(batch, "text"):
+                sets = textvec.shingle_sets(piece.column(1))
+                flat = np.concatenate(sets)
+                node = np.repeat(piece.column(0).to_numpy(), [len(s) for s in sets])
+                of = (flat % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(of, kind="stable")
+                flat, node, of = flat[order], node[order], of[order]
+                at = np.flatnonzero(np.diff(of, prepend=-1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows)), pa.array(np.concatenate(sets).view(np.int64), pa.int64())],
-                    names=["name", "shingle"],
+                    [
+                        pa.array(of[at]),
+                        pa.array([x.tobytes() for x in np.split(flat, at[1:])], pa.binary()),
+                        pa.array([x.tobytes() for x in np.split(node, at[1:])], pa.binary()),
+                    ],
+                    names=["part", "shingles", "nodes"],
                 )
 
+    return run
+
+
+def _rare_shingles(part: pa.Table) -> pa.Table:
+    """Of one part: (node, null, how many of its shingles at most RARE nodes have) and (node, node, 0) for owners of such a shingle."""
+    flat = np.frombuffer(b"".join(part.column("shingles").to_pylist()), np.uint64)
+    node = np.frombuffer(b"".join(part.column("nodes").to_pylist()), np.int64)
+    order = np.lexsort((node, flat))
+    flat, node = flat[order], node[order]
+    begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    count = np.diff(np.append(begin, len(flat)))
+    few = count <= RARE
+    owner, times = np.unique(node[np.repeat(few, count)], return_counts=True)
+    x, y = [owner], [np.zeros(0, np.int64)]
+    for n in range(2, RARE + 1):
+        group = node[begin[count == n][:, None] + np.arange(n)]
+        for i in range(n):
+            for j in range(i + 1, n):
+                x.append(group[:, i])
+                y.append(group[:, j])
+    couples = np.unique(np.stack([np.concatenate(x[1:]), np.concatenate(y[1:])], axis=1), axis=0) if len(x) > 1 else np.zeros((0, 2), np.int64)
+    return pa.table(
+        {
+            "x": pa.array(np.concatenate([owner, couples[:, 0]])),
+            "y": pa.array(np.concatenate([owner, couples[:, 1]]), mask=np.arange(len(owner) + len(couples)) < len(owner)),
+            "n": pa.array(np.concatenate([times, np.zeros(len(couples), np.int64)])),
+        }
+    )
+
 
 def _bit_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -197,7 +238,7 @@ def _pairs_near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a binary, b binary")
 
 
-def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame, tasks: int) -> DataFrame:
     """Links within buckets of more than SMALL nodes, without their pairs.
 
     A shingle that at most RARE nodes of large buckets have gives its few pairs
@@ -220,29 +261,19 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
     inside = space.keep(
         own.join(nodes.select("name", "size"), "name")
         .join(maps, "name")
+        .coalesce(tasks)
         .withColumn("node", F.xxhash64("name")),
         "inside",
     )
     spread = space.keep(
-        texts.join(inside.select("name"), "name", "left_semi")
-        .mapInArrow(_explode_shingles, "name binary, shingle long")
-        .groupBy("shingle")
-        .agg(
-            F.count("*").alias("n"),
-            F.min(F.xxhash64("name")).alias("low"),
-            F.max(F.xxhash64("name")).alias("high"),
-            F.bit_xor(F.xxhash64("name")).alias("other"),
-        )
-        .where(F.col("n") <= RARE)
-        .groupBy("n", "low", "high", "other")
-        .agg(F.count("*").alias("times")),
+        texts.join(inside.select("name", "node"), "name")
+        .select("node", "text")
+        .mapInArrow(_shingle_lists(4 * tasks), "part long, shingles binary, nodes binary")
+        .groupBy("part")
+        .applyInArrow(_rare_shingles, "x long, y long, n long"),
         "rare-shingles",
     )
-    third = F.col("other").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
-    owners = F.when(F.col("n") == 1, F.array("low")).when(F.col("n") == 2, F.array("low", "high")).otherwise(
-        F.array("low", third, "high")
-    )
-    rare = spread.select(F.explode(owners).alias("node"), "times").groupBy("node").agg(F.sum("times").alias("rare"))
+    rare = spread.where("y is null").groupBy(F.col("x").alias("node")).agg(F.sum("n").alias("rare"))
     open_ = space.keep(
         inside.join(rare, "node", "left")
         .withColumn("shared", F.col("size") - F.coalesce(F.col("rare"), F.lit(0)))
@@ -250,22 +281,7 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
         .select("name", "size", "shared", "keys", "bits", F.explode("keys").alias("key")),
         "open",
     )
-    couples = (
-        spread.where("n > 1")
-        .select(
-            F.explode(
-                F.when(F.col("n") == 2, F.array(F.struct(F.col("low").alias("x"), F.col("high").alias("y")))).otherwise(
-                    F.array(
-                        F.struct(F.col("low").alias("x"), F.col("high").alias("y")),
-                        F.struct(F.col("low").alias("x"), third.alias("y")),
-                        F.struct(third.alias("x"), F.col("high").alias("y")),
-                    )
-                )
-            ).alias("c")
-        )
-        .select("c.x", "c.y")
-        .distinct()
-    )
+    couples = spread.where("y is not null").select("x", "y").distinct()
     name_of = inside.select(F.col("node"), F.col("name"), F.col("size"))
     couples = (
         couples.join(name_of.toDF("x", "a", "size_a"), "x")
@@ -285,10 +301,10 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
         main = per_part.groupBy("key").agg(
             F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("all_n")
         )
-        state = space.keep(state.join(main.where("main_n < all_n"), "key"), "state")
+        state = space.keep(state.join(main.where("main_n < all_n"), "key").coalesce(tasks), "state")
         few = F.col("all_n") - F.col("main_n") <= limit
         outside = state.where("part != main")
-        best = space.keep(_top(outside.where(~few)), "hubs")
+        best = space.keep(_top(outside.where(~few)).coalesce(tasks), "hubs")
         hubs = outside.where(few).select(best.columns).unionByName(best)
         hubs = hubs.select("key", *(F.col(c).alias(f"hub_{c}") for c in best.columns if c != "key"))
         pairs = (
@@ -299,10 +315,10 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
             .mapInArrow(_may_link, "a binary, b binary")
             .distinct()
         )
-        pairs = space.keep(pairs, "hub-pairs")
-        links = space.keep(links.unionByName(run.confirm(pairs, texts)).distinct(), "links")
+        pairs = space.keep(pairs.coalesce(4 * tasks), "hub-pairs")
+        links = space.keep(links.unionByName(run.confirm(pairs, texts)).distinct().coalesce(tasks), "links")
         rest = state.where(~few).select(open_.columns)
-        open_ = space.keep(rest.join(best.select("key", "name"), ["key", "name"], "left_anti"), "open")
+        open_ = space.keep(rest.join(best.select("key", "name"), ["key", "name"], "left_anti").coalesce(tasks), "open")
         space.drop(state, pairs, best)
         if open_.isEmpty():
             return links
@@ -361,8 +377,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name")))
     texts = run.texts(nodes, ends.unionByName(large.select("name")).distinct())
     links = space.keep(run.confirm(pairs, texts), "links")
-    if not large.isEmpty():
-        links = _resolve_large(run, large, nodes, texts, links)
+    n_large = large.count()
+    if n_large:
+        links = _resolve_large(run, large, nodes, texts, links, 2 + n_large // ROWS_A_TASK)
     labels = connected_components(links, space)
     label_of = nodes.join(labels, nodes["name"] == labels["node"], "left").select(
         "name", F.col("owner.doc_id").alias("owner"), F.coalesce("component", "name").alias("part")
