@@ -21,7 +21,7 @@ FORMS = (
 
 def parse_published(text: Column) -> Column:
     """Timestamp (session time zone UTC) of mail dates, ISO 8601 and plain forms."""
-    bare = F.regexp_replace(strip(text), r"^[A-Za-z]{3},?\s+(?=\d)", "")
+    bare = F.regexp_replace(strip(text), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", "")
     iso = F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}T"), F.try_to_timestamp(bare))
     return F.coalesce(iso, *[F.try_to_timestamp(F.substring(bare, 1, 40), F.lit(f)) for f in FORMS])
 
