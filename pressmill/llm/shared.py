@@ -13,12 +13,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = " \t\n\x0b\x0c\r"
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="pressmill-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="pressmill-"))
+        where = f"file://{_OWN[0]}"
     return where.rstrip("/")
 
 
