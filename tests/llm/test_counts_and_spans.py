@@ -70,7 +70,7 @@ CASES = [
     "4111 1111 1111 1111 and 4111-1111-1111-1112 x4111111111111111x 1 2 3",
     "+1 (743) 555-3824, +44 20 7946 0958 +123 +1(2)3.4-5",
     "card 4242424242424242 phone +15555550100 ip 10.0.0.1 mail q@r.st " * 30,
-    "1" * 50_000 + "@" + "a" * 50_000,
+    "1" * 1_500 + "@" + "a" * 1_500,
     None,
     "",
 ]
@@ -88,11 +88,11 @@ def test_base_spans_equal_plain_version(spark):
 
 
 def test_model_adds_what_resembles_the_base(spark):
-    texts = [f"word call +1 ({200 + i % 700}) 555-{1000 + i} soon" for i in range(300)] + [f"version {i}.{i % 9} of {i * 1000003 % 99991} pieces" for i in range(300)]
+    texts = [f"word call +1 ({200 + i % 700}) 555-{1000 + i} soon" for i in range(900)] + [f"version {i}.{i % 9} of {i * 1000003 % 99991} pieces" for i in range(300)]
     texts += ["word call 1 (222) 555-9999 soon", "only 1234567 pieces"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
-    assert rows[600].added.startswith("phone:10:") and rows[601].added == "" and rows[600].n_phone == 0
+    assert rows[1200].added.startswith("phone:10:") and rows[1201].added == "" and rows[1200].n_phone == 0
 
 
 def test_pii_awkward_rows(documents):
