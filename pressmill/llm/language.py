@@ -135,7 +135,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     for lang, n in shares.items():
         under = F.when(F.col("lang") == lang, min(1.0, (2 * per_language + 20) / n)).otherwise(under)
     chosen = labelled.where(F.col("turn") < under * float(1 << 40)).select("lang", "text", "turn", "key")
-    sparse = chosen.select(F.concat_ws("\x00", "lang", F.col("turn").cast("string"), F.col("key").cast("string")).alias("lang"), "text").mapInArrow(
+    sparse = chosen.select(F.concat_ws("\x00", "lang", F.col("turn").cast("string"), F.coalesce(F.col("key").cast("string"), F.lit(""))).alias("lang"), "text").mapInArrow(
         _sparse, "lang string, at binary, n binary"
     )
     rows: dict[str, list] = {}

@@ -20,6 +20,8 @@ def plain_matches(docs, items):
     out = {}
     for (doc, _), (s, n) in zip(docs, shingles([t for _, t in docs])):
         for (item, _), (q, m) in zip(items, shingles([t for _, t in items])):
+            if not set(s.tolist()) & set(q.tolist()):
+                continue  # similarity 0 everywhere
             wide = max(1, min(n, m) - 4)
             best = max((decontam.weighted_jaccard(s[p : p + wide], q) for p in range(len(s) - wide + 1)), default=0) if len(s) and len(q) else 0
             if best >= 0.75:
