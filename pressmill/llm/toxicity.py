@@ -147,9 +147,13 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
     for label, count in n.items():
         under = F.when(F.col("toxic") == label, min(1.0, (1.3 * per_class + 50) / count)).otherwise(under)
     chosen = labelled.where(F.col("turn") < under * float(1 << 40)).select(F.concat_ws(" ", "turn", "key").alias("key"), F.col("toxic").cast("int"), "text")
-    rows = sorted((int(r["key"].split(" ")[0]), r["key"], r["toxic"], bytes(r["at"])) for r in chosen.mapInArrow(_features, "key string, toxic int, at binary").collect())
+    # One partition at a time, as views of the received bytes: the driver holds the lists once.
+    rows = []
+    for r in chosen.mapInArrow(_features, "key string, toxic int, at binary").toLocalIterator():
+        rows.append((int(r["key"].split(" ")[0]), r["key"], r["toxic"], np.frombuffer(r["at"], np.uint32)))
+    rows.sort(key=lambda r: r[:2])
     rows = [r for label in (0, 1) for r in [x for x in rows if x[2] == label][:per_class]]
-    return fit([np.frombuffer(r[3], np.uint32).astype(np.int64) for r in rows], np.array([r[2] for r in rows]), n.get(1, 0) / sum(n.values()))
+    return fit([r[3] for r in rows], np.array([r[2] for r in rows]), n.get(1, 0) / sum(n.values()))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
