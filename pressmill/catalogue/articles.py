@@ -223,7 +223,7 @@ def date_parse(spark: SparkSession, d: str) -> DataFrame:
         .when(F.col("event_id") % 5 == 3, F.date_format("ts", "yyyy-MM-dd HH:mm"))
         .otherwise(F.lit("yesterday"))
     )
-    return e.select("event_id", F.unix_timestamp(dates.parse_published(form)).alias("unix"))
+    return e.select("event_id", F.coalesce(F.unix_timestamp(dates.parse_published(form)), F.lit(-1)).alias("unix"))
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
@@ -328,7 +328,7 @@ ORACLES = {
     "page_media": """WITH t AS (SELECT page_id, page_id % 4 AS k, regexp_replace(url, '[?#].*$', '') AS u FROM pages)
         SELECT page_id, CASE WHEN k < 3 THEN u END AS image, CASE k WHEN 0 THEN 'https://www.youtube.com/embed/Ab_1' WHEN 1 THEN 'https://vimeo.com/123' WHEN 2 THEN 'https://www.youtube.com/watch?v=Z9' END AS video,
           CASE k WHEN 0 THEN 'https://img.youtube.com/vi/Ab_1/hqdefault.jpg' WHEN 2 THEN 'https://img.youtube.com/vi/Z9/hqdefault.jpg' END AS thumb FROM t""",
-    "date_parse": "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN epoch(date_trunc('minute', ts))::BIGINT END AS unix FROM events",
+    "date_parse": "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN epoch(date_trunc('minute', ts))::BIGINT ELSE -1 END AS unix FROM events",
     "affinity_weights": f"WITH {_SIGNALS} SELECT * FROM w",
     "affinity_rerank": f"""WITH {_SIGNALS} SELECT g.event_id AS pos, g.user_id, coalesce(w.weight, 0.0) AS affinity,
         row_number() OVER (PARTITION BY g.user_id ORDER BY coalesce(w.weight, 0.0) DESC, g.event_id)::INTEGER AS place FROM g LEFT JOIN w USING (user_id, category) WHERE g.event_type = 'view'""",
