@@ -3,12 +3,17 @@
 A text's vector holds the TF-IDF weights of its hashed letter n-grams (one to
 three letters, blanks at word ends), scaled to unit length. Each language has
 up to CENTROIDS unit centroids, found by spherical k-means from its training
-vectors; a text gets the language of the centroid of greatest cosine. It is
-rejected when that cosine is below the centroid's radius.
+vectors; a text gets the language of the centroid of greatest cosine.
+
+Short texts have low cosines even in their own language: for d distinct
+n-grams, d * (1 / cosine^2 - 1) hardly depends on d, and is far greater for
+texts of other languages and for shuffled letters. A text is rejected when that
+spread is above the language's reach and its cosine below the language's radius,
+both taken from texts that were held out of the centroids.
 
 The model is fitted on at most PER_LANGUAGE texts of each language, those of
 least hash, out of all labelled ones. Only their sparse vectors come to the
-driver, so what it holds is bounded by PER_LANGUAGE and MOST_LANGUAGES.
+driver, so what it holds is bounded by PER_LANGUAGE times the languages.
 """
 
 from __future__ import annotations
@@ -26,11 +31,12 @@ from . import ngrams, textvec
 BITS = 13
 SIZES = (1, 2, 3)
 PER_LANGUAGE = 300
-MOST_LANGUAGES = 200
 CENTROIDS = 3
 ROUNDS = 12
-#: A centroid's radius is this share of the cosine that all but a hundredth of its training texts reach.
-SLACK = 0.35
+#: A radius is the cosine that all but this share of a language's held-out texts reach; texts beyond it are near enough at any spread.
+NEAR = 0.1
+#: A reach is this many times the spread that all but a hundredth of all held-out texts, or a tenth of the language's own, stay under.
+MARGIN = 2.0
 UNDETERMINED = "und"
 
 
@@ -67,8 +73,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def _cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from a farthest-first start; the centroids and each row's cosine with its own."""
+def _cluster(x: np.ndarray, k: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means of ``x`` from a farthest-first start; the centroids and the cosines of the rows of ``of`` with each."""
     first = _unit(x.mean(axis=0))
     seeds = [x[int(np.argmax(x @ first))]]
     while len(seeds) < min(k, len(x)):
@@ -77,20 +83,38 @@ def _cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(ROUNDS):
         own = (x @ centres.T).argmax(axis=1)
         centres = np.stack([_unit(x[own == j].mean(axis=0)) if (own == j).any() else centres[j] for j in range(len(centres))])
-    return centres, x @ centres.T
+    return centres, of @ centres.T
+
+
+def spread(distinct: np.ndarray | int, cosine: np.ndarray | float) -> np.ndarray | float:
+    """The squared tangent of a text's angle to a centroid, for each of its distinct n-grams."""
+    return distinct * (1.0 / np.maximum(cosine, 1e-6) ** 2 - 1.0)
+
+
+def _held_out(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spread and cosine of each distinct row of ``x`` against centroids of the other half of the rows."""
+    x = x[np.sort(np.unique([hash(row.tobytes()) for row in x], return_index=True)[1])]
+    if len(x) < 2:
+        return np.zeros(0), np.zeros(0)
+    cosines = np.zeros(len(x))
+    for half in (0, 1):
+        cosines[half::2] = _cluster(x[1 - half :: 2], CENTROIDS, x[half::2])[1].max(axis=1)
+    return spread((x > 0).sum(axis=1), cosines), cosines
 
 
 class Model:
-    """idf, centroids (a row each), their languages and radii."""
+    """idf, centroids (a row each), their languages, radii and reaches."""
 
-    def __init__(self, idf: np.ndarray, centres: np.ndarray, langs: list[str], radii: np.ndarray):
-        self.idf, self.centres, self.langs, self.radii = idf, centres, langs, radii
+    def __init__(self, idf: np.ndarray, centres: np.ndarray, langs: list[str], radii: np.ndarray, reaches: np.ndarray):
+        self.idf, self.centres, self.langs, self.radii, self.reaches = idf, centres, langs, radii, reaches
 
     def predict(self, counts: np.ndarray) -> tuple[str, float, bool]:
         x = counts * self.idf
         cosines = self.centres @ x / max(float(np.sqrt(x @ x)), 1e-12)
         best = int(np.argmax(cosines))
-        return self.langs[best], float(min(1.0, max(0.0, cosines[best]))), bool(cosines[best] < self.radii[best])
+        cosine = float(min(1.0, max(0.0, cosines[best])))
+        far = cosine < self.radii[best] and spread(int(np.count_nonzero(counts)), cosine) > self.reaches[best]
+        return self.langs[best], cosine, bool(far)
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
@@ -100,21 +124,23 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     for _, at, _ in rows:
         df[at] += 1
     idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
-    centres, langs, radii = [np.zeros((0, size), np.float32)], [], []
+    centres, langs, held = [np.zeros((0, size), np.float32)], [], []
     for lang in sorted({r[0] for r in rows}):
         own = [r for r in rows if r[0] == lang]
         x = np.zeros((len(own), size), dtype=np.float32)
         for k, (_, at, n) in enumerate(own):
             x[k, at] = n * idf[at]
-        found, cosines = _cluster(_unit(x), CENTROIDS)
-        best, of = cosines.max(axis=1), cosines.argmax(axis=1)
-        floor = np.quantile(best, 0.01)
-        for j in range(len(found)):
-            mine = best[of == j]
-            radii.append(SLACK * float(min(floor, np.quantile(mine, 0.01)) if len(mine) else floor))
+        x = _unit(x)
+        found, _ = _cluster(x, CENTROIDS, x[:0])
+        held += [_held_out(x)] * len(found)
         centres.append(found.astype(np.float32))
         langs += [lang] * len(found)
-    return Model(idf, np.concatenate(centres), langs, np.array(radii))
+    every = np.concatenate([np.zeros(0), *(s for s, _ in {lang: h for lang, h in zip(langs, held)}.values())])
+    # Where no language has two texts, nothing tells how far its texts lie, and none is rejected.
+    common = float(np.quantile(every, 0.99)) if len(every) else np.inf
+    radii = [float(np.quantile(c, NEAR)) if len(c) else 1.0 for _, c in held]
+    reaches = [MARGIN * max(common, float(np.quantile(s, 0.9)) if len(s) else 0.0) for s, _ in held]
+    return Model(idf, np.concatenate(centres), langs, np.array(radii), np.array(reaches))
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
@@ -122,19 +148,12 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     The share that a language's hashes must lie under comes from its count, so
     no task sorts a language; the rest of the choice is made among the few
-    rows that come to the driver.
+    rows that come to the driver. Every language value is learned.
     """
     labelled = labelled.where("lang is not null and text is not null").withColumn("turn", F.pmod(F.xxhash64("key"), F.lit(1 << 40)))
-    shares = {
-        r["lang"]: r["n"]
-        for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    }
-    if not shares:
-        return fit([])
-    under = F.lit(None).cast("double")
-    for lang, n in shares.items():
-        under = F.when(F.col("lang") == lang, min(1.0, (2 * per_language + 20) / n)).otherwise(under)
-    chosen = labelled.where(F.col("turn") < under * float(1 << 40)).select("lang", "text", "turn", "key")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    under = F.least(F.lit(1.0), F.lit(2.0 * per_language + 20) / F.col("n")) * float(1 << 40)
+    chosen = labelled.join(F.broadcast(counts), "lang").where(F.col("turn") < under).select("lang", "text", "turn", "key")
     sparse = chosen.select(F.concat_ws("\x00", "lang", F.col("turn").cast("string"), F.coalesce(F.col("key").cast("string"), F.lit(""))).alias("lang"), "text").mapInArrow(
         _sparse, "lang string, at binary, n binary"
     )

@@ -26,6 +26,41 @@ def test_language_rejects_noise(spark):
     assert all(r.rejected for r in got) and [r.lang_pred for r in got[2:]] == ["und"] * 3
 
 
+FOREIGN = (
+    "Rada miasta przyjęła wczoraj budżet na przyszły rok, a mieszkańcy mogą zgłaszać uwagi do końca miesiąca. Nowe przepisy wejdą w życie jesienią.",
+    "Belediye meclisi dün gelecek yılın bütçesini kabul etti ve vatandaşlar ay sonuna kadar görüşlerini bildirebilir. Yeni kurallar sonbaharda gelecek.",
+    "Kaupunginvaltuusto hyväksyi eilen ensi vuoden talousarvion, ja asukkaat voivat jättää huomautuksia kuun loppuun asti. Uudet säännöt tulevat voimaan.",
+    "Baraza la jiji lilipitisha jana bajeti ya mwaka ujao, na wakazi wanaweza kutoa maoni yao hadi mwisho wa mwezi. Kanuni mpya zitaanza kutumika baadaye.",
+    "Il consiglio comunale ha approvato ieri il bilancio del prossimo anno e gli abitanti possono presentare osservazioni fino alla fine del mese.",
+    "De gemeenteraad heeft gisteren de begroting voor volgend jaar goedgekeurd en inwoners kunnen tot het einde van de maand opmerkingen indienen.",
+    "def run(x, y):\n    for i in range(len(x)):\n        if x[i] != y[i]:\n            return False\n    return True\n\nclass Node:\n    def __init__(self, left):\n        self.left = left",
+)
+
+
+def test_language_rejects_unlearned_latin_texts(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.train(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
+    rng = random.Random(1)
+    texts = [*FOREIGN, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(60))]
+    for r in docs.where("length(text) between 1000 and 5000").orderBy("doc_id").limit(20).collect():
+        marks = [c for c in r.text if c.isalpha()]
+        rng.shuffle(marks)
+        texts.append("".join(marks.pop() if c.isalpha() else c for c in r.text))
+    got = [model.predict(language.term_counts(t)) for t in texts]
+    assert all(r[2] for r in got[: len(FOREIGN) + 1]) and sum(r[2] for r in got) >= len(got) - 2
+    for lang in ("fr", "en", "de", "es"):
+        rest = language.train(docs.where(F.col("lang") != lang).select(F.col("doc_id").alias("key"), "text", "lang"))
+        out = language.identify(docs.where(F.col("lang") == lang), rest).collect()
+        assert sum(r.rejected for r in out) >= 0.9 * len(out)
+
+
+def test_language_learns_every_value(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, (letters[i % 26] + letters[i // 26]) * 5 + " " + chr(0x4E00 + i) * 4, f"l{i:03}") for i in range(230)]
+    docs = spark.createDataFrame(rows, "key long, text string, lang string")
+    assert language.train(docs).langs == sorted(r[2] for r in rows)
+
+
 def test_language_awkward_rows(documents):
     got = {r.doc_id: r for r in language.language_predictions(documents).collect()}
     assert len(got) == documents.select("doc_id").distinct().count()
