@@ -4,8 +4,8 @@ Each text gives counts; two base rules fail it outright. The others are judged
 by a vector of transformed statistics for each language and source: location
 and scatter are minimum-covariance-determinant estimates, found by
 concentration steps (estimate, keep the share CORE of least distance, repeat)
-from coordinatewise medians, and a text is rejected when its squared
-Mahalanobis distance exceeds CUTOFF. Sources with fewer than LEAST texts in a
+from coordinatewise medians, scaled to be right for normal texts, and a text is
+rejected when its squared Mahalanobis distance exceeds CUTOFF. Sources with fewer than LEAST texts in a
 language are judged together; where those are fewer too, only the base rules
 hold. Every step is a sum over all texts of a group; nothing comes to the driver.
 """
@@ -22,9 +22,15 @@ LEAST_WORDS = 50
 LEAST = 60
 CORE = 0.75
 STEPS = 3
-CUTOFF = 50.0
-#: Standard deviations that a statistic has at least, so that one which most texts of a group share exactly doesn't reject the rest.
-FLOORS = {"f_length": 1.0, "f_word": 0.3, "f_symbols": 0.03, "f_repeats": 0.15, "f_lines": 0.15}
+#: The 0.999 quantile of chi-square with a degree of freedom for each statistic.
+CUTOFF = 20.515
+#: CORE / P(chi-square with 7 degrees <= the CORE quantile with 5): covariances of the core are too small by it.
+CONSISTENCY = 1.412
+#: Standard deviations that a statistic has at least, so that one which most texts of a group share exactly doesn't reject
+#: the rest. Each is small enough that its statistic alone can exceed CUTOFF.
+FLOORS = {"f_length": 0.5, "f_word": 0.3, "f_symbols": 0.03, "f_repeats": 0.12, "f_lines": 0.12}
+#: Words and lines without repeats that each text is taken to have besides its own, so that one repeated line of a short text weighs no more than in a typical one.
+MORE_WORDS, MORE_LINES = 100, 7
 NAMES = list(FLOORS)
 
 
@@ -84,8 +90,8 @@ def _vector() -> dict[str, Column]:
         "f_length": F.log1p(F.col("n_words").cast("double")),
         "f_word": F.col("word_chars") / words,
         "f_symbols": F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
-        "f_repeats": F.sqrt(F.col("n_repeat_words") / words),
-        "f_lines": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
+        "f_repeats": F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + MORE_WORDS)),
+        "f_lines": F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + MORE_LINES)),
     }
 
 
@@ -121,7 +127,7 @@ def _moments(core: DataFrame) -> DataFrame:
     sums = [F.count("*").alias("n")]
     for i, a in enumerate(NAMES):
         sums.append(F.avg(a).alias(f"m_{i}"))
-        sums += [F.covar_pop(a, NAMES[j]).alias(f"v_{i}_{j}") for j in range(i + 1)]
+        sums += [(CONSISTENCY * F.covar_pop(a, NAMES[j])).alias(f"v_{i}_{j}") for j in range(i + 1)]
     return core.groupBy("group").agg(*sums)
 
 

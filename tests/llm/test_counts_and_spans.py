@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -125,3 +126,25 @@ def test_quality_verdicts(spark, documents):
     clean, junk = [r for r in rows if r.quality == 1 and not r.base_failed], [r for r in rows if r.quality == 0]
     assert all(r.kept for r in clean) and sum(not r.kept for r in junk) >= 0.95 * len(junk)
     assert quality.quality_filter(documents).count() == documents.count() and quality.quality_filter(documents.limit(0)).count() == 0
+
+
+def test_quality_each_statistic_rejects(spark):
+    rng = random.Random(4)
+    word = lambda n=5: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    line = lambda n, size=5: " ".join(word(rng.randrange(size - 2, size + 3)) for _ in range(n))
+    usual = ["\n".join(line(rng.randrange(18, 32)) for _ in range(10)) for _ in range(200)]
+    phrases = [line(10) for _ in range(10)]
+    odd = {
+        "length": "\n".join(line(30) for _ in range(300)),
+        "word": "\n".join(line(25, 11) for _ in range(10)),
+        "symbols": "\n".join(line(25) + " ####" for _ in range(10)),
+        "repeats": " ".join(f"{x} {line(3)} {x} {line(24)}" for x in phrases),
+        "lines": "\n".join(f"{line(20)}\nsame" for _ in range(12)),
+        "lines and repeats": "\n".join([line(20) for _ in range(6)] + [line(8)] * 6 + phrases[:6]),
+    }
+    fine = {"one line twice": "\n".join([line(20) for _ in range(5)] + [phrases[0]] * 2), "one phrase twice": f"{phrases[0]} {line(40)} {phrases[0]}"}
+    rows = [(str(i), t, "en", "s") for i, t in enumerate(usual)] + [(k, t, "en", "s") for k, t in (odd | fine).items()]
+    got = {r.doc_id: r for r in quality.quality_filter(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()}
+    assert not any(got[k].base_failed for k in odd)
+    assert [k for k in odd if got[k].kept] == [] and all(got[k].kept for k in fine)
+    assert sum(not got[str(i)].kept for i in range(200)) <= 2
