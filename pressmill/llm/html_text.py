@@ -2,8 +2,10 @@
 
 The page becomes a tree. Every block with text of its own passes points for
 its length and commas to its ancestors, the parent most; an ancestor's points
-are discounted by its link density. The best container is kept with those
-siblings that score near it. Navigation, forms, notices, adverts and reader
+are discounted by its link density. The best container is kept, and on the way
+up from it, to the outermost article or main or else to the body, those
+siblings that are text by their own length and link density; inside of an
+article or main only link lists go. Navigation, forms, notices, adverts and reader
 comments are left out by element and by name, wherever they stand.
 """
 
@@ -38,6 +40,11 @@ UNWANTED = re.compile(
 )
 FAVOURED = {"article": 25.0, "main": 15.0}
 SIBLING_SHARE = 0.2
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that count as text without a sentence's end.
+PARTS = frozenset("ul ol dl section blockquote pre table figure".split())
+TEXT_CHARS = 80
+SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u061f\u0964][\"'\u201d\u2019\u00bb)\]]*$")
 
 
 class Node:
@@ -135,8 +142,8 @@ def _value(node: Node) -> float:
     return node.points * (1.0 - node.link_chars / max(node.text_chars, 1))
 
 
-def _blocks(nodes: list[Node]) -> list[str]:
-    """Text of each block in page order, white space made single."""
+def _blocks(nodes: list) -> list[str]:
+    """Text of each block of nodes and loose text in page order, white space made single; None ends a block."""
     blocks, now = [], []
 
     def end():
@@ -164,6 +171,53 @@ def _blocks(nodes: list[Node]) -> list[str]:
     return blocks
 
 
+def _is_text(run: list, inside: bool, least: float) -> bool:
+    """Whether a sibling (one block, or a run of loose text and inline elements) belongs to the main text."""
+    nodes = [n for n in run if isinstance(n, Node) and not n.dropped]
+    chars = sum(n.text_chars for n in nodes) + sum(len(t.strip()) for t in run if isinstance(t, str))
+    links = sum(n.link_chars for n in nodes)
+    if not chars:
+        return False
+    if inside:
+        return 2 * links <= chars or any(n.tag == "p" for n in nodes)
+    if chars >= TEXT_CHARS:
+        return 4 * links < chars
+    block = nodes[0] if len(run) == 1 and nodes and nodes[0].tag not in INLINE else None
+    if block is not None and _value(block) >= least:
+        return True
+    if links:
+        return False
+    if block is None or block.tag == "p" or any(isinstance(n, Node) and n.tag == "p" for n in block.parts):
+        return bool(SENTENCE_END.search("\n".join(_blocks(run))))
+    return block.tag in PARTS
+
+
+def _beside(parts: list, inside: bool, least: float, last: bool) -> list:
+    """Those of a container's ``parts`` that are text; a heading goes with what follows it, ``last`` if that is the best container."""
+    runs: list[list] = []
+    loose = False
+    for part in parts:
+        inline = isinstance(part, str) or part.tag in INLINE or part.tag == "br"
+        if inline and loose:
+            runs[-1].append(part)
+        else:
+            runs.append([part])
+        loose = inline
+    kept, headings = [], []
+    for run in runs:
+        if isinstance(run[0], Node) and (run[0].dropped or not run[0].text_chars) and len(run) == 1:
+            continue
+        if isinstance(run[0], Node) and run[0].tag in HEADINGS:
+            if 4 * run[0].link_chars < run[0].text_chars or inside:
+                headings.append(run[0])
+        elif _is_text(run, inside, least):
+            kept += [*headings, None, *run, None]
+            headings = []
+        elif "".join(x if isinstance(x, str) else "x" for x in run).strip():
+            headings = []
+    return kept + (headings if last or inside else [])
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page; empty for null, empty and text-free pages."""
     if not html:
@@ -176,14 +230,19 @@ def main_text(html: str | None) -> str:
     if not able:
         return ""
     best = max(able, key=_value)
-    if best.parent is None:
-        return "\n".join(_blocks([best]))
     least = max(10.0, SIBLING_SHARE * _value(best))
-    kept = [
-        n
-        for n in best.parent.parts
-        if n is best or (isinstance(n, Node) and not n.dropped and n.tag not in INLINE and _value(n) >= least)
-    ]
+    path = [best]
+    while path[-1].parent is not None and path[-1].tag not in ("body", "html"):
+        path.append(path[-1].parent)
+    whole = max((k for k, n in enumerate(path) if n.tag in FAVOURED), default=None)
+    before, after = [], []
+    for child, parent in zip(path, path[1:] if whole is None else path[1 : whole + 1]):
+        at = next(k for k, n in enumerate(parent.parts) if n is child)
+        before.append(_beside(parent.parts[:at], whole is not None, least, True))
+        after.append(_beside(parent.parts[at + 1 :], whole is not None, least, False))
+    kept: list = [x for part in reversed(before) for x in (*part, None)]
+    kept += [best, None]
+    kept += [x for part in after for x in (*part, None)]
     return "\n".join(_blocks(kept))
 
 

@@ -37,6 +37,30 @@ def test_page_cases(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("n", [1, 3, 12, 40])
+@pytest.mark.parametrize(
+    ("page", "before", "after"),
+    [
+        ("<article><h1>Head</h1><div class=body>{0}</div><p>Closing words</p></article>", "Head", ["Closing words"]),
+        ("<main><article><h1>Head</h1><section>{0}</section><section><p>Short part</p></section></article><p><a href=a>Source</a></p></main>", "Head", ["Short part", "Source"]),
+        ("<body><div><h1>Head</h1><div><div>{0}</div></div><p>Closing words, to the end.</p></div></body>", "Head", ["Closing words, to the end."]),
+        ("<div><h2>Head</h2><div>{0}</div>Loose words stay with <i>their</i> text.<ul><li>item</ul></div>", "Head", ["Loose words stay with their text.", "item"]),
+        ("<main>Loose head <b>words</b><div>{0}</div><br>and a tail</main>", "Loose head words", ["and a tail"]),
+    ],
+)
+def test_page_keeps_text_beside_the_body(page, before, after, n):
+    block = "Words of a plain paragraph, of some length, that reads on. " * 3
+    assert main_text(page.format(f"<p>{block}</p>" * n)).split("\n") == [before, *[block.strip()] * n, *after]
+
+
+def test_page_drops_links_beside_the_body():
+    block = "<p>" + "Words of a plain paragraph, of some length, that reads on. " * 3 + "</p>"
+    links = "<ul><li><a href=a>Other one</a><li><a href=b>Other two</a></ul>"
+    for page in ("<body><div><h1>Head</h1><div>{0}</div><h2>More</h2>{1}</div></body>", "<main><h1>Head</h1><div>{0}</div><h2>More</h2>{1}</main>"):
+        got = main_text(page.format(block * 20, links)).split("\n")
+        assert got[0] == "Head" and len(got) == 21
+
+
 def test_page_frames(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "<p>x</p>"), (1, None)], "page_id long, html string")
     assert sorted((r.page_id or 0, r.text) for r in extract_main_text(df).collect()) == [(0, "x"), (1, ""), (1, ""), (2, "")]
