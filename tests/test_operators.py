@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from pressmill.catalogue import articles
 from pressmill.functions import text
 from pressmill.operators import cluster, components, dedupe, readers
 
@@ -101,3 +102,25 @@ def test_image_repeats(spark):
 def test_placeholder_range(spark):
     got = {r[0] for r in spark.range(50).select(text.placeholder(F.col("id").cast("string"))).collect()}
     assert got == {0, 1, 2, 3}
+
+
+def _written(spark, folder, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_containment_pairs_equal_brute_force(spark, tmp_path):
+    head = "storm hits the northern coast tonight"
+    docs = [(1, f"{head}\nmore"), (2, f"Breaking news now {head}"), (3, f"{head} and crews wait"), (4, "council passes a budget at last"), (5, None), (6, "tonight")]
+    items = [(1, f"Late {head} again"), (2, "passes a budget at last"), (9, "nothing like the others at all here")]
+    d = _written(spark, tmp_path, documents=([(i, t, "en", "s") for i, t in docs], "doc_id long, text string, lang string, source string"), benchmark=(items, "item_id long, text string"))
+    got = {tuple(r) for r in articles.containment_pairs(spark, d).collect()}
+    titles = [("documents", i, (t or "").split("\n")[0].lower()) for i, t in docs] + [("benchmark", i, t.lower()) for i, t in items]
+    want = set()
+    for k, a in enumerate(sorted(titles)):
+        for b in sorted(titles)[k + 1 :]:
+            short, long_ = sorted((a[2], b[2]), key=len)
+            if len(short) >= 18 and len(short) / len(long_) >= 0.48 and short in long_:
+                want.add((*a[:2], *b[:2]))
+    assert got == want and ("documents", 1, "documents", 2) in got and ("benchmark", 1, "documents", 1) in got and ("benchmark", 2, "documents", 4) in got
