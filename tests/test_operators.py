@@ -124,3 +124,23 @@ def test_containment_pairs_equal_brute_force(spark, tmp_path):
             if len(short) >= 18 and len(short) / len(long_) >= 0.48 and short in long_:
                 want.add((*a[:2], *b[:2]))
     assert got == want and ("documents", 1, "documents", 2) in got and ("benchmark", 1, "documents", 1) in got and ("benchmark", 2, "documents", 4) in got
+
+
+def test_lexical_clusters_equal_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    words = "storm hits coast mayor budget vote fire crews river team wins final council road bridge school".split()
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    long_, body = line(25), line(40)
+    texts = [f"{long_} {line(25)}\n{line(30)}" for _ in range(3)] + [f"{long_} {long_} the end", f"{long_} {long_} the end\n{line(30)}", f"storm on coast\n{body}", f"storm on a coast\n{body}"]
+    texts += [f"fire in the council\n{body}", f"fire in the council minister\n{body}", *(f"{line(4)}\n{line(20)}" for _ in range(20)), None]
+    d = _written(spark, tmp_path, documents=([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string"))
+    got = sorted(tuple(r) for r in articles.lexical_clusters(spark, d).collect())
+    blob = F.lower(F.concat_ws(" ", "title", "excerpt"))
+    prepared = cluster.prepare(articles._docs(spark, d).withColumns({"link": F.lit(""), "topic": articles.classify.keyword_topic(blob, articles.TEST_TOPICS)}))
+    every = prepared.select(F.col("pos").alias("a")).crossJoin(prepared.select(F.col("pos").alias("b"))).where("a < b")
+    label = list(range(len(texts)))
+    for r in cluster.scored_pairs(prepared, every).where(cluster.wording_rule()).collect():
+        x, y = sorted((label[r.a], label[r.b]))
+        label = [x if v == y else v for v in label]
+    want = sorted((x, label.count(x)) for x in set(label) if label.count(x) > 1)
+    assert got == want and want and label[0] != label[1] and label[3] == label[4] and label[5] == label[6]
