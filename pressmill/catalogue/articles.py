@@ -134,15 +134,23 @@ def followed_topics(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.array_join(classify.followed_topics(F.col("p_name"), F.lower("p_type"), topics=topics), ",").alias("topics"))
 
 
-def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct part names with type and brand, by shared words."""
-    p = table(spark, d, "part").where("p_size <= 12")
+def _part_pairs(p: DataFrame) -> DataFrame:
     rows = p.select(F.col("p_partkey").alias("pos"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type", F.concat(F.lit("s"), "p_size"))), " ")).alias("words"))
     pairs = cluster.prefix_pairs(rows, 0.6)
     both = pairs.join(rows.toDF("a", "wa"), "a").join(rows.toDF("b", "wb"), "b")
     return both.where(cluster.jaccard(F.col("wa"), F.col("wb")) >= 0.6).select("a", "b")
 
 
+def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of size 12 and less by shared words of name, type, brand and size, as its SQL has them."""
+    return _part_pairs(table(spark, d, "part").where("p_size <= 12"))
+
+
+def jaccard_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All parts by shared words of name, type, brand and size."""
+    return _part_pairs(table(spark, d, "part"))
+
+
 def containment_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark texts and documents' first lines where one holds the other."""
     of = lambda name, pos, title: (F.struct(F.lit(name).alias("of"), F.col(pos).alias("id")).alias("pos"), text.story_title(F.col(title)).alias("story"))
@@ -275,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         link_normalise, link_dedupe_first, title_fingerprint, title_client, image_dedupe, source_dedupe, greedy_dedupe, merge_new_rows, latest_summary,
-        region_infer, topic_keyword, topic_counts, ingest_counts, followed_topics, jaccard_pairs, containment_pairs, lexical_clusters, cosine_pairs,
+        region_infer, topic_keyword, topic_counts, ingest_counts, followed_topics, jaccard_pairs, jaccard_pairs_whole, containment_pairs, lexical_clusters, cosine_pairs,
         cosine_components, sentence_split, summary_clamp, summary_display, summary_fill, page_paragraph, page_media, date_parse, affinity_weights,
         affinity_rerank, search_interest, seen_unseen, saved_latest, state_json,
     )
