@@ -209,7 +209,7 @@ def page_paragraph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_media(spark: SparkSession, d: str) -> DataFrame:
-    """Pictures and videos of fragments built around the pages' links."""
+    """H2, H10, H11 and H4, H5 in part: pictures and videos of fragments built around the pages' links; see Open in the README."""
     u = F.regexp_replace("url", "[?#].*$", "")
     html = (
         F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<meta property="og:image" content="'), u, F.lit('"><iframe src="https://www.youtube.com/embed/Ab_1"></iframe>')))
