@@ -146,14 +146,17 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fits a model on (key, text, lang) rows: ``per_language`` texts of least hash for each language.
 
-    The share that a language's hashes must lie under comes from its count, so
-    no task sorts a language; the rest of the choice is made among the few
-    rows that come to the driver. Every language value is learned.
+    The hash is of key and text, so rows that repeat a key, or have none,
+    spread; rows equal in both count once. The share that a language's hashes
+    must lie under comes from its count, so no task sorts a language; the rest
+    of the choice is made among the few rows that come to the driver. Every
+    language value is learned.
     """
-    labelled = labelled.where("lang is not null and text is not null").withColumn("turn", F.pmod(F.xxhash64("key"), F.lit(1 << 40)))
+    labelled = labelled.where("lang is not null and text is not null").withColumn("turn", F.pmod(F.xxhash64("key", "text"), F.lit(1 << 40)))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     under = F.least(F.lit(1.0), F.lit(2.0 * per_language + 20) / F.col("n")) * float(1 << 40)
-    chosen = labelled.join(F.broadcast(counts), "lang").where(F.col("turn") < under).select("lang", "text", "turn", "key")
+    chosen = labelled.join(counts, "lang").where(F.col("turn") < under)
+    chosen = chosen.groupBy("lang", "turn").agg(F.min("key").alias("key"), F.min("text").alias("text"))
     sparse = chosen.select(F.concat_ws("\x00", "lang", F.col("turn").cast("string"), F.coalesce(F.col("key").cast("string"), F.lit(""))).alias("lang"), "text").mapInArrow(
         _sparse, "lang string, at binary, n binary"
     )

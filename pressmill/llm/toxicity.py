@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import ngrams, textvec
 from .language import fold
+from .shared import Workspace
 
 BITS = 19
 SIZES = (4, 6, 8)
@@ -55,7 +56,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in textvec.slices(batch, "text"):
             lists = [present(t).astype(np.uint32).tobytes() for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.binary())], names=["key", "toxic", "at"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(lists, pa.binary())], names=["key", "toxic", "at"])
 
 
 class Model:
@@ -137,23 +138,41 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
     return Model(model.weights * slope, model.bias * slope + offset)
 
 
-def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fits a model on (key, text, toxic) rows, ``per_class`` texts of least hash for each label."""
-    labelled = labelled.where("toxic in (0, 1)").withColumn("turn", F.pmod(F.xxhash64("key"), F.lit(1 << 40)))
-    n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not n:
+def chosen_rows(marks: DataFrame, per_class: int, space: Workspace) -> tuple[list[tuple], float]:
+    """(key, text_hash, toxic) of ``per_class`` rows of least hash for each label, and label 1's share of all rows.
+
+    ``marks`` has (key, text_hash, toxic) and no texts. The hash covers both,
+    so rows that repeat an id spread; equal rows count once.
+    """
+    marks = space.keep(marks.where("toxic in (0, 1)").distinct().withColumn("turn", F.xxhash64("key", "text_hash")), "marks")
+    n = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = []
+    for label in (0, 1):
+        rows += marks.where(F.col("toxic") == label).orderBy("turn", "key", "text_hash").limit(per_class).collect()
+    return [(r["key"], r["text_hash"], int(r["toxic"])) for r in rows], n.get(1, 0) / max(1, sum(n.values()))
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """Fits a model on (key, text) rows of ``docs`` and (key, toxic) rows of ``labels``, one for each key.
+
+    Ids, text hashes and labels choose at most ``per_class`` rows of each
+    label; only then are those rows' texts read, by a join with the few chosen
+    ones, which are broadcast. Only their feature lists come to the driver.
+    """
+    spark = docs.sparkSession
+    space = Workspace(spark, "toxicity")
+    hashed = docs.where("key is not null").withColumn("text_hash", F.xxhash64("text"))
+    rows, prior = chosen_rows(hashed.select("key", "text_hash").join(labels, "key"), per_class, space)
+    if not rows:
         return fit([], np.zeros(0), 0.5)
-    under = F.lit(1.0)
-    for label, count in n.items():
-        under = F.when(F.col("toxic") == label, min(1.0, (1.3 * per_class + 50) / count)).otherwise(under)
-    chosen = labelled.where(F.col("turn") < under * float(1 << 40)).select(F.concat_ws(" ", "turn", "key").alias("key"), F.col("toxic").cast("int"), "text")
+    kind = docs.schema["key"].dataType.simpleString()
+    chosen = spark.createDataFrame(rows, f"key {kind}, text_hash long, toxic int")
+    texts = hashed.join(F.broadcast(chosen), ["key", "text_hash"]).groupBy("key", "text_hash", "toxic").agg(F.min("text").alias("text"))
+    sent = texts.select(F.xxhash64("key", "text_hash").alias("key"), "toxic", "text").mapInArrow(_features, "key long, toxic int, at binary")
     # One partition at a time, as views of the received bytes: the driver holds the lists once.
-    rows = []
-    for r in chosen.mapInArrow(_features, "key string, toxic int, at binary").toLocalIterator():
-        rows.append((int(r["key"].split(" ")[0]), r["key"], r["toxic"], np.frombuffer(r["at"], np.uint32)))
-    rows.sort(key=lambda r: r[:2])
-    rows = [r for label in (0, 1) for r in [x for x in rows if x[2] == label][:per_class]]
-    return fit([r[3] for r in rows], np.array([r[2] for r in rows]), n.get(1, 0) / sum(n.values()))
+    lists = [(r["toxic"], r["key"], np.frombuffer(r["at"], np.uint32)) for r in sent.toLocalIterator()]
+    lists.sort(key=lambda r: r[:2])
+    return fit([r[2] for r in lists], np.array([r[0] for r in lists]), prior)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -177,10 +196,13 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; learns from labelled rows that are not held out.
 
-    Several labels of one id count as the greatest. Ids without a label only
-    get a score; without labels of both kinds every text scores the prior.
+    Several labels of one id count as the greatest; rows that repeat an id are
+    each scored, equal ones alike. Null ids learn nothing and are scored. Null,
+    empty and blank texts score as texts without features. Ids without a label
+    only get a score; without labels of both kinds every text scores the prior.
+    An empty table of documents gives an empty result.
     """
     slim = docs.select("doc_id", "text").withColumn("held_out", fold("doc_id", 3) == 1)
-    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("doc_id is not null")
-    known = slim.where("not held_out").join(marks, "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic")
-    return score_toxicity(slim, train(known)).select("doc_id", "held_out", "score", "predicted")
+    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.max("toxic").alias("toxic"))
+    known = slim.where("not held_out").select(F.col("doc_id").alias("key"), "text")
+    return score_toxicity(slim, train(known, marks)).select("doc_id", "held_out", "score", "predicted")
