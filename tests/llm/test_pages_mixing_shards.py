@@ -145,3 +145,23 @@ def test_shards_of_repeats(spark, documents):
         held[r.shard] += r.n_bytes
     assert max(held.values()) <= 30 and sum(held.values()) == 300
     assert sharding.assign_shards(documents).count() == documents.count() and sharding.assign_shards(documents.limit(0)).count() == 0
+
+
+def test_mixing_odds_follow_sizes(spark):
+    rows = [(i, " ".join(["w"] * (10 if i % 2 else 100)), "abc"[i % 3]) for i in range(900)] + [(1000 + i, "w " * 4000, "c") for i in range(2)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source = {r[0]: r[2] for r in rows}
+    own = [r for r in got if source[r.doc_id] == "c"]
+    more, left = [r for r in own if r.copies == 1], [r for r in own if r.copies == 0]
+    assert max(r.rank for r in more) <= min(r.rank for r in left)  # the rank decides
+    share = {s: sum(r.copies for r in own if r.size == s) / sum(r.size == s for r in own) for s in (10, 100, 4000)}
+    assert share[100] > 2 * share[10]  # simple random sampling would take both alike
+    assert share[4000] == 1 and all(r.rank == 0 for r in own if r.size == 4000)  # certain
+
+
+def test_mixing_null_ids_spread(spark):
+    rows = [(None, f"w{i} " * (1 + i % 7), "a") for i in range(900)] + [(i, "x " * 20, "b") for i in range(60)] + [(100 + i, "x " * 9, "c") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    assert len({r.rank for r in got if r.doc_id is None}) > 100
+    check_mix(got, ["a" if r.doc_id is None else "b" if r.doc_id < 100 else "c" for r in got])
