@@ -2,12 +2,16 @@
 
 Each text gives counts; two base rules fail it outright. The others are judged
 by a vector of transformed statistics for each language and source: location
-and scatter are minimum-covariance-determinant estimates, found by
-concentration steps (estimate, keep the share CORE of least distance, repeat)
-from coordinatewise medians, scaled to be right for normal texts, and a text is
-rejected when its squared Mahalanobis distance exceeds CUTOFF. Sources with fewer than LEAST texts in a
-language are judged together; where those are fewer too, only the base rules
-hold. Every step is a sum over all texts of a group; nothing comes to the driver.
+and scatter are minimum-covariance-determinant estimates. Every group has
+STARTS starts, one from coordinatewise medians and deviations and the others
+from small random sets of its texts; each takes concentration steps (estimate,
+keep the share CORE of least distance, repeat), the start of least determinant
+stays, and its steps go on until no group's determinant falls further. The
+scatter is scaled to be right for normal texts, and a text is rejected when its
+squared Mahalanobis distance exceeds CUTOFF. Sources with fewer than LEAST
+texts in a language are judged together; where those are fewer too, only the
+base rules hold. Every step is a sum over all texts of a group; one number a
+step comes to the driver.
 """
 
 from __future__ import annotations
@@ -21,13 +25,18 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 LEAST = 60
 CORE = 0.75
-STEPS = 3
+STARTS, FIRST_STEPS, MOST_STEPS = 4, 2, 10
+#: Texts of a random start, about: two for each that the scatter of so many statistics needs.
+DRAWN = 12
+#: Parts over which a group's texts are dealt in joins, so that no task gets a whole group.
+SALT = 16
 #: The 0.999 quantile of chi-square with a degree of freedom for each statistic.
 CUTOFF = 20.515
 #: CORE / P(chi-square with 7 degrees <= the CORE quantile with 5): covariances of the core are too small by it.
 CONSISTENCY = 1.412
-#: Standard deviations that a statistic has at least, so that one which most texts of a group share exactly doesn't reject
-#: the rest. Each is small enough that its statistic alone can exceed CUTOFF.
+#: Standard deviations whose squares are added to the scatter's diagonal, as in the regularised estimate, so that a
+#: statistic which most texts of a group share exactly doesn't reject the rest and no determinant is 0. Each is small
+#: enough that its statistic alone can exceed CUTOFF.
 FLOORS = {"f_length": 0.5, "f_word": 0.3, "f_symbols": 0.03, "f_repeats": 0.12, "f_lines": 0.12}
 #: Words and lines without repeats that each text is taken to have besides its own, so that one repeated line of a short text weighs no more than in a typical one.
 MORE_WORDS, MORE_LINES = 100, 7
@@ -96,19 +105,18 @@ def _vector() -> dict[str, Column]:
 
 
 def _factor(params: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l_i_j of the covariances v_i_j, whose diagonals get the floors."""
-    d = len(NAMES)
-    for i in range(d):
+    """Adds the Cholesky factor l_i_j of the regularised covariances v_i_j, and logdet, the logarithm of their determinant."""
+    for i in range(len(NAMES)):
         for j in range(i + 1):
-            rest = F.col(f"v_{i}_{j}")
+            rest = F.col(f"v_{i}_{j}") + (FLOORS[NAMES[i]] ** 2 if i == j else 0.0)
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             if i == j:
-                rest = F.sqrt(F.greatest(rest, F.lit(FLOORS[NAMES[i]] ** 2)))
+                rest = F.sqrt(F.greatest(rest, F.lit(0.25 * FLOORS[NAMES[i]] ** 2)))  # no less but for rounding
             else:
                 rest = rest / F.col(f"l_{j}_{j}")
             params = params.withColumn(f"l_{i}_{j}", rest)
-    return params
+    return params.withColumn("logdet", sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(len(NAMES))), F.lit(0.0)))
 
 
 def _distance(joined: DataFrame) -> DataFrame:
@@ -123,37 +131,64 @@ def _distance(joined: DataFrame) -> DataFrame:
     return joined.withColumn("d2", total)
 
 
-def _moments(core: DataFrame) -> DataFrame:
+def _moments(core: DataFrame, scale: float = CONSISTENCY) -> DataFrame:
     sums = [F.count("*").alias("n")]
     for i, a in enumerate(NAMES):
         sums.append(F.avg(a).alias(f"m_{i}"))
-        sums += [(CONSISTENCY * F.covar_pop(a, NAMES[j])).alias(f"v_{i}_{j}") for j in range(i + 1)]
-    return core.groupBy("group").agg(*sums)
+        sums += [(scale * F.covar_pop(a, NAMES[j])).alias(f"v_{i}_{j}") for j in range(i + 1)]
+    return core.groupBy("group", "start").agg(*sums)
 
 
-def robust_parameters(vectors: DataFrame, space: Workspace) -> DataFrame:
-    """Location m_i and Cholesky factor l_i_j for each group, by concentration steps over all its rows."""
-    medians = vectors.groupBy("group").agg(*[F.percentile_approx(n, 0.5, 1000).alias(f"m_{i}") for i, n in enumerate(NAMES)])
-    spread = vectors.join(medians, "group").groupBy("group").agg(
-        *[F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{i}")), 0.5, 1000).alias(f"mad_{i}") for i, n in enumerate(NAMES)]
+def _near(vectors: DataFrame, params: DataFrame) -> DataFrame:
+    """``vectors`` with the parameters of their group, once for each start of it."""
+    dealt = params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return vectors.join(dealt, ["group", "salt"])
+
+
+def _starts(vectors: DataFrame) -> DataFrame:
+    """Parameters of each (group, start): start 0 from medians and deviations, the others from about DRAWN random texts."""
+    medians = vectors.groupBy("group").agg(
+        F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(NAMES)]
     )
-    params = medians.join(spread, "group").select(
+    off = _near(vectors, medians).groupBy("group").agg(
+        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"mad_{i}") for i, x in enumerate(NAMES)]
+    )
+    middle = medians.join(off, "group").select(
         "group",
-        *[f"m_{i}" for i in range(len(NAMES))],
+        F.lit(0).alias("start"),
+        "n",
         *[
-            (F.pow(1.4826 * F.col(f"mad_{i}"), 2) if i == j else F.lit(0.0)).alias(f"v_{i}_{j}")
+            F.col(f"m_{i}") if j < 0 else (F.pow(1.4826 * F.col(f"mad_{i}"), 2) if i == j else F.lit(0.0)).alias(f"v_{i}_{j}")
             for i in range(len(NAMES))
-            for j in range(i + 1)
+            for j in range(-1, i + 1)
         ],
     )
-    params = space.keep(_factor(params), "start")
-    for _ in range(STEPS):
-        far = _distance(vectors.join(params, "group")).select("group", *NAMES, "d2")
-        edge = far.groupBy("group").agg(F.percentile_approx("d2", CORE, 1000).alias("edge"))
-        far = space.keep(far.join(edge, "group").where("d2 <= edge").drop("edge"), "core")
-        params = space.keep(_factor(_moments(far)), "estimate")
-        space.drop(far)
-    return params
+    drawn = _near(vectors, medians.select("group", "n")).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS - 1))))
+    drawn = drawn.where(F.pmod(F.xxhash64("pick", "start"), F.lit(1 << 40)) < F.lit(float(DRAWN << 40)) / F.col("n"))
+    return _factor(middle.unionByName(_moments(drawn.drop("n"), 1.0)))
+
+
+def _step(vectors: DataFrame, params: DataFrame, space: Workspace) -> DataFrame:
+    """One concentration step of each start."""
+    edge = _distance(_near(vectors, params)).groupBy("group", "start").agg(F.percentile_approx("d2", CORE, 10_000).alias("edge"))
+    core = _distance(_near(vectors, params.join(edge, ["group", "start"]))).where("d2 <= edge").select("group", "start", *NAMES)
+    return space.keep(_factor(_moments(core)), "estimate")
+
+
+def robust_parameters(vectors: DataFrame, space: Workspace) -> DataFrame:
+    """Location m_i, Cholesky factor l_i_j and logdet of the least determinant found, for each group of (group, salt, pick, statistics)."""
+    params = space.keep(_starts(vectors), "starts")
+    for _ in range(FIRST_STEPS):
+        params = _step(vectors, params, space)
+    least = params.groupBy("group").agg(F.min(F.struct("logdet", "start"))["start"].alias("start"))
+    params = space.keep(params.join(least, ["group", "start"]), "least")
+    for _ in range(MOST_STEPS):
+        after = _step(vectors, params, space)
+        moved = after.join(params.select("group", F.col("logdet").alias("was")), "group").agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
+        params = after
+        if moved is None or moved < 1e-6:
+            break
+    return params.drop("start", "n")
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -175,9 +210,15 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     group = n_of.select("of", F.when(F.col("n") >= LEAST, F.col("of")).otherwise(F.concat(F.lit("rest "), "rest")).alias("group"), "n")
     size = group.groupBy("group").agg(F.sum("n").alias("group_n"))
     group = space.keep(group.join(size, "group").where(F.col("group_n") >= LEAST).select("of", "group"), "groups")
-    vectors = judged.join(group, "of").select("group", *NAMES)
-    params = robust_parameters(vectors, space)
-    out = _distance(stats.join(group, "of", "left").join(params.drop("n"), "group", "left"))
+    salt = F.pmod("pick", F.lit(SALT)).cast("int").alias("salt")
+    stats = stats.withColumn("pick", F.xxhash64("doc_id", *NAMES)).withColumn("salt", salt)
+    dealt = group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    grouped = stats.join(dealt, ["of", "salt"], "left")
+    vectors = space.keep(
+        grouped.where("not base_failed and group is not null").select("group", "salt", "pick", *NAMES), "vectors"
+    )
+    params = robust_parameters(vectors, space).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    out = _distance(grouped.join(params, ["group", "salt"], "left"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUTOFF)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2"
     )
