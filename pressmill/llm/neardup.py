@@ -21,6 +21,7 @@ a pair misses every bucket with a chance of 2e-5, less above it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,8 @@ OUTSIDE = 1024
 RARE = 4
 MAP_BITS = 2048
 ROWS_A_TASK = 20_000
-HUBS = 8
+HUBS = 2
+SALT = 8
 
 _RNG = np.random.default_rng(75)
 _MUL = _RNG.integers(1, 2**63, size=SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,11 +100,33 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, SLOTS)
             keys = chunk_keys(sig)
             rows = np.repeat(np.arange(len(batch)), keys.shape[1])
+            chunk = np.tile(np.repeat(np.arange(CHUNKS, dtype=np.int32), WIDTH), len(batch))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel(), pa.int64()), batch.column(0).take(pa.array(rows))], names=["key", "name"]
+                [pa.array(keys.ravel(), pa.int64()), batch.column(0).take(pa.array(rows)), pa.array(chunk)],
+                names=["key", "name", "chunk"],
             )
 
 
+def _second_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, size, shared, key, chunk, sig) to one row for each cell of the entry's bucket that the signature lies in."""
+    kept = list(combinations(range(WIDTH), WIDTH - RADIUS // (CHUNKS - 1)))
+    for batch in batches:
+        if len(batch):
+            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint16).reshape(-1, SLOTS)
+            key, chunk = batch.column(3).to_numpy().view(np.uint64), batch.column(4).to_numpy()
+            for c in range(CHUNKS):
+                rows = np.flatnonzero(chunk != c)
+                for number, slots in enumerate(kept):
+                    cell = textvec.mix(key[rows] + np.uint64(c * len(kept) + number + 1))
+                    for s in slots:
+                        cell = textvec.mix(cell * np.uint64(0x9E3779B97F4A7C15) + sig[rows, c * WIDTH + s].astype(np.uint64))
+                    at = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(k).take(at) for k in range(3)), pa.array(cell.view(np.int64)), batch.column(4).take(at)],
+                        names=["name", "size", "shared", "key", "chunk"],
+                    )
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops pairs whose signatures differ in more than FAR slots."""
     for batch in batches:
@@ -251,20 +275,18 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
     other components and then done with. A bucket is closed when one component
     holds all its nodes but OUTSIDE at most (SMALL in the first round), whose
     pairs with the others, as far as the bounds allow a link, are then
-    compared, each in the first bucket that its nodes share. So links to a text
-    in the middle of a group cost a row for each member, and no pair that could
-    join two components stays uncompared.
+    compared. A pair becomes one row, however many buckets its nodes share. So
+    links to a text in the middle of a group cost a row for each member, and no
+    pair that could join two components stays uncompared. Buckets that are
+    still open after two rounds are dealt to finer ones, see ``_cells``.
     """
     space = run.space
-    own = entries.groupBy("name").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    maps = texts.join(own.select("name"), "name", "left_semi").mapInArrow(_bit_maps, "name binary, bits binary")
+    own = entries.groupBy("name").agg(F.collect_list(F.struct("key", "chunk")).alias("entries"))
     inside = space.keep(
-        own.join(nodes.select("name", "size"), "name")
-        .join(maps, "name")
-        .coalesce(tasks)
-        .withColumn("node", F.xxhash64("name")),
-        "inside",
+        own.join(nodes.select("name", "size"), "name").coalesce(tasks).withColumn("node", F.xxhash64("name")), "inside"
     )
+    maps = texts.join(inside.select("name"), "name", "left_semi").mapInArrow(_bit_maps, "name binary, bits binary")
+    maps = space.keep(maps.join(inside.select("name", "size"), "name").coalesce(tasks), "bit-maps")
     spread = space.keep(
         texts.join(inside.select("name", "node"), "name")
         .select("node", "text")
@@ -278,7 +300,8 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
         inside.join(rare, "node", "left")
         .withColumn("shared", F.col("size") - F.coalesce(F.col("rare"), F.lit(0)))
         .where("4 * shared >= 3 * size")
-        .select("name", "size", "shared", "keys", "bits", F.explode("keys").alias("key")),
+        .select("name", "size", "shared", F.explode("entries").alias("entry"))
+        .select("name", "size", "shared", "entry.key", "entry.chunk"),
         "open",
     )
     couples = spread.where("y is not null").select("x", "y").distinct()
@@ -291,7 +314,7 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
     )
     couples = space.keep(_pairs_near(couples, nodes), "couples")
     links = space.keep(links.unionByName(run.confirm(couples, texts)).distinct(), "links")
-    limit = SMALL
+    limit, refined = SMALL, False
     while True:
         labels = connected_components(links, space)
         state = open_.join(labels, open_["name"] == labels["node"], "left").select(
@@ -304,22 +327,16 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
         state = space.keep(state.join(main.where("main_n < all_n"), "key").coalesce(tasks), "state")
         few = F.col("all_n") - F.col("main_n") <= limit
         outside = state.where("part != main")
-        best = space.keep(_top(outside.where(~few)).coalesce(tasks), "hubs")
-        hubs = outside.where(few).select(best.columns).unionByName(best)
-        hubs = hubs.select("key", *(F.col(c).alias(f"hub_{c}") for c in best.columns if c != "key"))
-        pairs = (
-            state.join(hubs, "key")
-            .where("part != hub_part and 7 * least(shared, hub_shared) >= 3 * (size + hub_size)")
-            .where(F.array_min(F.array_intersect("keys", "hub_keys")) == F.col("key") if limit == OUTSIDE else F.lit(True))
-            .select(F.least("name", "hub_name").alias("a"), F.greatest("name", "hub_name").alias("b"), "size", "hub_size", "bits", "hub_bits")
-            .mapInArrow(_may_link, "a binary, b binary")
-            .distinct()
-        )
-        pairs = space.keep(pairs.coalesce(4 * tasks), "hub-pairs")
+        best = _top(outside.where(~few))
+        hubs = space.keep(outside.where(few).select(best.columns).unionByName(best).coalesce(tasks), "hubs")
+        pairs = space.keep(_hub_pairs(state, hubs).distinct().coalesce(4 * tasks), "hub-pairs")
+        pairs = space.keep(_possible(pairs, maps).coalesce(4 * tasks), "possible")
         links = space.keep(links.unionByName(run.confirm(pairs, texts)).distinct().coalesce(tasks), "links")
-        rest = state.where(~few).select(open_.columns)
-        open_ = space.keep(rest.join(best.select("key", "name"), ["key", "name"], "left_anti").coalesce(tasks), "open")
-        space.drop(state, pairs, best)
+        rest = state.where(~few).select(open_.columns).join(hubs.select("key", "name"), ["key", "name"], "left_anti")
+        if limit == OUTSIDE and not refined:
+            rest, refined = _cells(rest, nodes), True
+        open_ = space.keep(rest.coalesce(tasks), "open")
+        space.drop(state, pairs, hubs)
         if open_.isEmpty():
             return links
         limit = OUTSIDE
@@ -327,9 +344,58 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
 
 def _top(outside: DataFrame) -> DataFrame:
     """Up to HUBS nodes of each bucket, the one that shares most among them."""
-    order = F.struct("shared", "name", "size", "part", "keys", "bits")
+    order = F.struct("shared", "name", "size", "part")
     salted = outside.groupBy("key", F.pmod(F.xxhash64("name"), F.lit(HUBS)).alias("salt")).agg(F.max(order).alias("top"))
-    return salted.select("key", "top.name", "top.size", "top.shared", "top.part", "top.keys", "top.bits")
+    return salted.select("key", "top.name", "top.size", "top.shared", "top.part")
+
+
+def _hub_pairs(state: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(a, b): each node with each hub of its buckets that is of another component and that the exact bounds leave open.
+
+    A bucket's hubs, OUTSIDE at most, travel as one list, dealt over SALT parts
+    of its rows, so the join makes one row for each entry of a bucket, and no
+    task gets a whole one. The lists are cut by the bounds there, and what is
+    left of a node's buckets is put together before a pair becomes a row.
+    """
+    lists = (
+        hubs.groupBy("key")
+        .agg(F.collect_list(F.struct("name", "size", "shared", "part")).alias("hubs"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    )
+    salted = state.select("key", "name", "size", "shared", "part", F.pmod(F.xxhash64("name"), F.lit(SALT)).cast("int").alias("salt"))
+    able = F.expr(
+        "transform(filter(hubs, h -> h.part != part and 7 * least(h.shared, shared) >= 3 * (h.size + size)), h -> h.name)"
+    )
+    met = salted.join(lists, ["key", "salt"]).select("name", able.alias("able")).where(F.size("able") > 0)
+    whole = met.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list("able"))).alias("able"))
+    return whole.select(F.col("name").alias("a"), F.explode("able").alias("b"))
+
+
+def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs that the bit maps leave open."""
+    one = maps.select(F.col("name").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
+    two = maps.select(F.col("name").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
+    return (
+        pairs.join(one, "a")
+        .join(two, "b")
+        .select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
+        .mapInArrow(_may_link, "a binary, b binary")
+    )
+
+
+def _cells(open_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Entries of large buckets dealt to finer ones, by a second chunk.
+
+    Signatures that agree in a chunk but for ERRORS slots and differ in RADIUS
+    at most have RADIUS // (CHUNKS - 1) errors at most in some other chunk; all
+    ways to leave out that many of its slots give the cells. A pair that no
+    cell brings together lies beyond the radius.
+    """
+    return (
+        open_.join(nodes.select("name", "sig"), "name")
+        .select("name", "size", "shared", "key", "chunk", "sig")
+        .mapInArrow(_second_chunks, "name binary, size long, shared long, key long, chunk int")
+    )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,11 +409,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     run = _Run(docs)
     space = run.space
     sketch = space.keep(
         docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-            _sketch, "doc_id long, text_hash long, n_shingles long, name binary, sig binary"
+            _sketch, f"doc_id {kind}, text_hash long, n_shingles long, name binary, sig binary"
         ),
         "sketch",
     )
@@ -360,7 +427,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ),
         "nodes",
     )
-    entries = space.keep(nodes.select("name", "sig").mapInArrow(_keyed, "key long, name binary"), "keys")
+    entries = space.keep(nodes.select("name", "sig").mapInArrow(_keyed, "key long, name binary, chunk int"), "keys")
     counts = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = space.keep(entries.join(counts, "key"), "met")
     space.drop(entries)
@@ -373,7 +440,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .distinct()
     )
     pairs = space.keep(_pairs_near(pairs, nodes), "pairs")
-    large = met.where(F.col("n") > SMALL).select("key", "name")
+    large = met.where(F.col("n") > SMALL).select("key", "name", "chunk")
     ends = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name")))
     texts = run.texts(nodes, ends.unionByName(large.select("name")).distinct())
     links = space.keep(run.confirm(pairs, texts), "links")
