@@ -4,19 +4,22 @@ A benchmark item's fingerprint is the SimHash, BITS wide, of its weighted
 shingles (a shingle's weight is how often it occurs). A document is read in
 windows of an item's number of words, at every position; a window's fingerprint
 comes from running sums over the document's shingles. Fingerprints within
-RADIUS bits agree in one of BLOCKS blocks but for floor(RADIUS / BLOCKS) bits
+RADIUS bits agree in one of BLOCKS blocks of 16 bits but for ERRORS bits
 (pigeonhole), so the blocks of the items, with those bits changed in every way,
-give all items within the radius of a window. The distance is then exact, and
-the best windows are verified by the weighted Jaccard similarity of their
-shingles, at least SIMILARITY. At that similarity a pair of 30 shingles lies
-within the radius with a chance above 0.999.
+give all items within the radius of a window. An unrelated item is met by a
+window with a chance of 16 %. The distance is then exact, and all windows
+within the radius are verified by the weighted Jaccard similarity of their
+shingles, at least SIMILARITY. Bits of a pair at that similarity differ with a
+chance of 0.172 (the angle of a cosine of 6/7), 44 of BITS on average with a
+deviation of 6, so a pair lies within the radius with a chance above 0.999.
 
-Windows that share no shingle with any item have similarity 0 and are not
-fingerprinted; that is all that the table of item shingles is used for.
+A window that shares no shingle with any item has similarity 0, which no radius
+changes; a lookup of the items' shingles passes such windows over before the
+fingerprints. That is exact, and all that the lookup does.
 
 The items are the small side by nature, and that is checked: they are packed
-into tables of at most ITEMS_AT_ONCE items, one broadcast each, and the
-documents are read once for each table.
+into tables of at most ITEMS_AT_ONCE items (some 45 KB each), one broadcast
+each, and the documents are read once for each table.
 """
 
 from __future__ import annotations
@@ -28,26 +31,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textvec
 
-BITS = 128
-RADIUS = 44
-BLOCKS = 16
+BITS = 256
+BLOCKS = BITS // 16
+ERRORS = 3
+RADIUS = BLOCKS * (ERRORS + 1) - 1
 SIMILARITY = 0.75
-ITEMS_AT_ONCE = 20_000
+ITEMS_AT_ONCE = 2_000
+WINDOWS_AT_ONCE = 1 << 12
 
-_WIDTH = BITS // BLOCKS
-_ERRORS = RADIUS // BLOCKS
-_FLIPS = np.array(
-    sorted({sum(1 << b for b in bits) for e in range(_ERRORS + 1) for bits in combinations(range(_WIDTH), e)}), dtype=np.int64
-)
+#: All ways to change at most ERRORS of 16 bits.
+_FLIPS = np.array([sum(1 << b for b in bits) for e in range(ERRORS + 1) for bits in combinations(range(16), e)], dtype=np.uint16)
 _SECOND = np.uint64(0xE7037ED1A0B428DB)
 
 
 def _signs(shingles: np.ndarray) -> np.ndarray:
     """+1 or -1 for each of BITS bits of each shingle."""
-    words = np.stack([shingles, textvec.mix(shingles * _SECOND + np.uint64(1))], axis=1)
+    words = [textvec.mix(shingles * _SECOND + np.uint64(k)) for k in range(BITS // 64)]
+    words = np.stack(words, axis=1)
     bits = np.unpackbits(words.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1)
     return bits.astype(np.int32) * 2 - 1
 
@@ -86,28 +90,39 @@ class Items:
         flat = np.concatenate(self.shingles) if kept else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.flat, self.owner = flat[order], owner[order]
-        self.blocks: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        for k, row in enumerate(self._blocks(self.prints)):
-            for block, value in enumerate(row.tolist()):
-                for flip in _FLIPS.tolist():
-                    self.blocks[block].setdefault(value ^ flip, []).append(k)
-
-    @staticmethod
-    def _blocks(prints: np.ndarray) -> np.ndarray:
-        bits = np.unpackbits(prints, axis=1).reshape(len(prints), BLOCKS, _WIDTH)
-        return (bits.astype(np.int64) << np.arange(_WIDTH)).sum(axis=2)
-
-    def near(self, prints: np.ndarray) -> list[set[int]]:
-        """For each fingerprint, all items within RADIUS, by way of the blocks."""
-        out = []
-        for row, values in zip(prints, self._blocks(prints)):
-            met: set[int] = set()
-            for block, value in enumerate(values.tolist()):
-                met.update(self.blocks[block].get(value, ()))
-            near = np.fromiter(met, dtype=np.int64, count=len(met))
-            far = np.unpackbits(self.prints[near] ^ row, axis=1).sum(axis=1)
-            out.append(set(near[far <= RADIUS].tolist()))
-        return out
+        blocks = self.prints.view(np.uint16).reshape(-1, BLOCKS)
+        self.begin, self.met = [], []  # of each block value: where its items stand in the block's list
+        for k in range(BLOCKS):
+            values = (blocks[:, k : k + 1] ^ _FLIPS).ravel()
+            order = np.argsort(values, kind="stable")
+            self.begin.append(np.searchsorted(values[order], np.arange((1 << 16) + 1)).astype(np.int32))
+            self.met.append((order // len(_FLIPS)).astype(np.int32))
+
+    def met_by(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, item) for each block in which the two agree but for ERRORS bits; pairs may repeat."""
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
+        rows, items = [], []
+        for k in range(BLOCKS):
+            lo, hi = self.begin[k][blocks[:, k]], self.begin[k][blocks[:, k].astype(np.int64) + 1]
+            n = (hi - lo).astype(np.int64)
+            rows.append(np.repeat(np.arange(len(blocks)), n))
+            at = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            items.append(self.met[k][at])
+        return np.concatenate(rows), np.concatenate(items)
+
+    def near(self, prints: np.ndarray, able: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, item) for all pairs within RADIUS, by way of the blocks; ``able`` marks the items asked for."""
+        found = []
+        wide, own = np.ascontiguousarray(prints).view(np.uint64), self.prints.view(np.uint64)
+        for lo in range(0, len(prints), WINDOWS_AT_ONCE):
+            row, item = self.met_by(prints[lo : lo + WINDOWS_AT_ONCE])
+            if able is not None:
+                row, item = row[able[item]], item[able[item]]
+            pair = np.unique((row + lo) * len(own) + item)
+            row, item = np.divmod(pair, max(1, len(own)))
+            far = np.bitwise_count(wide[row] ^ own[item]).sum(axis=1)
+            found.append(pair[far <= RADIUS])
+        return np.divmod(np.concatenate([np.zeros(0, np.int64), *found]), max(1, len(own)))
 
     def matches(self, shingles: np.ndarray, n_words: int) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of the best window for each item that a document holds."""
@@ -136,13 +151,11 @@ class Items:
                 sums = np.zeros((len(signs) + 1, BITS), dtype=np.int32)
                 np.cumsum(signs, axis=0, out=sums[1:])
                 prints = _pack(sums[group - lo + wide] - sums[group - lo])
-                for start, near in zip(group.tolist(), self.near(prints)):
-                    for item in near:
-                        if min(int(self.words[item]), n_words) != size:
-                            continue
-                        similarity = weighted_jaccard(shingles[start : start + wide], self.shingles[item])
-                        if similarity >= SIMILARITY and (-similarity, start) < (-best.get(item, (0.0, 0, 0))[0], best.get(item, (0.0, 0, 0))[1]):
-                            best[item] = (similarity, start, size)
+                for at, item in zip(*(x.tolist() for x in self.near(prints, np.minimum(self.words, n_words) == size))):
+                    start = int(group[at])
+                    similarity = weighted_jaccard(shingles[start : start + wide], self.shingles[item])
+                    if similarity >= SIMILARITY and (item not in best or (-similarity, start) < (-best[item][0], best[item][1])):
+                        best[item] = (similarity, start, size)
         return [(item, *found) for item, found in sorted(best.items())]
 
 
@@ -164,11 +177,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Documents without a window of similarity SIMILARITY or more give no row. A
     text shorter than an item is one window; fewer than five words are one
-    shingle. Null and blank texts and items match nothing. Repeated rows give
-    repeated results. Both tables may be empty.
+    shingle. Of equally similar windows the first counts. Null and blank texts
+    and items match nothing. Repeated rows give repeated results; items that
+    repeat an id with other texts are items of their own. Ids may be of any
+    type and null. Both tables may be empty.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {kind}, item_id {item_kind}, similarity double, first_word long, n_words long"
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = None
@@ -188,7 +204,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column(0).take(pa.array(rows, pa.int64())),
-                            pa.array([sent.value.ids[m[0]] for m in found]).cast(run_item_type),
+                            pa.array([sent.value.ids[m[0]] for m in found], item_type),
                             pa.array([m[1] for m in found], pa.float64()),
                             pa.array([m[2] for m in found], pa.int64()),
                             pa.array([m[3] for m in found], pa.int64()),
@@ -196,7 +212,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         names=["doc_id", "item_id", "similarity", "first_word", "n_words"],
                     )
 
-        run_item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
         rows = slim.mapInArrow(run, schema)
         out = rows if out is None else out.unionByName(rows)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out

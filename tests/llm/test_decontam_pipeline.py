@@ -55,7 +55,40 @@ def test_blocks_guarantee_the_radius():
     for k in range(40):
         bits = np.unpackbits(items.prints[k])
         bits[rng.choice(decontam.BITS, size=decontam.RADIUS, replace=False)] ^= 1
-        assert k in items.near(np.packbits(bits)[None])[0]
+        assert k in items.near(np.packbits(bits)[None])[1]
+
+
+def test_blocks_select():
+    """Few unrelated items are met by a window, and those that are lie beyond the radius."""
+    items = decontam.Items(list(range(400)), [" ".join(f"q{i}-{k}" for k in range(35)) for i in range(400)])
+    rng = np.random.default_rng(9)
+    prints = np.stack([decontam.fingerprint(rng.integers(0, 2**63, size=31, dtype=np.uint64)) for _ in range(200)])
+    rows, met = items.met_by(prints)
+    share = len(np.unique(rows * 400 + met)) / (200 * 400)
+    assert 0.10 < share < 0.20 and len(items.near(prints)[0]) == 0
+
+
+def test_ties_ids_and_awkward_tables(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    docs = [("d1", f"{item} and {item}"), ("d1", f"{item} and {item}"), (None, item), ("d2", None), ("d3", ""), ("d4", "x " * 200_000 + item)]
+    df = spark.createDataFrame([(*d, "s") for d in docs], "doc_id string, text string, similarity string")
+    bench = spark.createDataFrame([(1.5, item), (1.5, item), (2.5, item), (None, None), (3.5, " ")], "item_id double, text string")
+    got = sorted((r.doc_id or "", r.item_id, r.similarity, r.first_word) for r in decontam.contaminated(df, bench).collect())
+    assert got == sorted((d, i, 1.0, at) for d, at in (("", 0), ("d1", 0), ("d1", 0), ("d4", 200_000)) for i in (1.5, 2.5))
+    assert decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
+    assert sorted(r.doc_id or "" for r in decontam.decontaminate(df, bench).collect()) == ["", "d2", "d3"]
+
+
+def test_recall_on_the_given_tables(spark):
+    """Against every window of every document that shares a shingle with an item."""
+    import duckdb
+
+    read = lambda t, c: duckdb.sql(f"select {c} from '/root/testdata/sf0.01/{t}.parquet' where text is not null").fetchall()
+    docs, items = read("documents", "doc_id, text"), read("benchmark", "item_id, text")
+    want = plain_matches(docs, items)
+    found = decontam.contaminated(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet"))
+    got = {(r.doc_id, r.item_id): r.similarity for r in found.collect()}
+    assert want and set(got) == set(want) and all(want[k] == v for k, v in got.items())
 
 
 def test_awkward_rows(spark, documents):
