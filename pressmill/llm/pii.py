@@ -2,20 +2,27 @@
 
 The base patterns give spans that always stay. High-recall generators propose
 further spans of the same four kinds, which may overlap each other and the base
-spans: anything around an @, dotted digit groups, and digit runs with up to two
-separators between digits. Each candidate has format and context features of
-few values. Those that agree with a base span teach, together with those that
-no pattern supports, one model for each kind: boosted trees of depth DEPTH over
-the table of distinct feature vectors with their counts (all documents count;
-the table is bounded by the product of the features' values, at most
-MOST_VECTORS rows come to the driver). The trees become one column expression.
-The threshold of a kind is the least score at which the calibrated share of
-true candidates among those above it is PRECISION. Candidates at or above it
-that touch no base span are added, the leftmost, then longest, first.
+spans: anything around an @ or a bracketed at, digit groups with plain,
+bracketed or spaced dots, and digit runs with up to two separators between
+digits. Each candidate has format and context features of few values, worked
+out on its plain form (bracketed marks made plain, a leading + dropped), so
+that the mark which decides a base pattern is not among them.
+
+Labels come from validation: a candidate on a base span of its kind teaches
+yes, with its deciding mark hidden; one that is shown to be something else
+teaches no (see ``_taught``); all others teach nothing, as what the base
+patterns miss may be among them, and are what the model judges. Each kind gets
+boosted trees of depth DEPTH over the table of its distinct feature vectors
+with their counts, of all documents; the features' values bound that table.
+Half of the documents, by hash, fit the trees, the other half gives the
+threshold: the least score at which PRECISION of the labelled candidates above
+it are true. The trees become one column expression. Candidates at or above the
+threshold that touch no base span are added, the leftmost, then longest, first.
 
 Positions are code points. They come from the lengths of the pieces between
-matches, so a text is scanned twice for each pattern, and only where it has the
-character that the pattern needs.
+matches by block sums, so a text of n matches costs n^(4/3) additions; a text
+is scanned twice for each pattern, and only where it has the character that the
+pattern needs.
 """
 
 from __future__ import annotations
@@ -36,43 +43,67 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_AT = r"(?:@|\x20?[\[({]\x20?(?:[Aa][Tt]|@)\x20?[\])}]\x20?)"
+_DOT = r"(?:\.|\x20?[\[({]\x20?(?:[Dd][Oo][Tt]|\.)\x20?[\])}]\x20?|\x20[Dd][Oo][Tt]\x20|\x20\.\x20)"
 GENERATORS = {
-    "email": r"(?<![^\x20\x09-\x0D<>\"'(),;])[^\x20\x09-\x0D<>\"'(),;@]++@[^\x20\x09-\x0D<>\"'(),;@]++",
-    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}+(?:\.[0-9]{1,3}+)++",
-    "card": r"(?<![0-9])[0-9](?:[\x20.-]{0,2}[0-9])++",
+    "email": rf"(?<![^\x20\x09-\x0D<>\"'(),;:])[^\x20\x09-\x0D<>\"'(),;:@\[\]{{}}]++{_AT}[^\x20\x09-\x0D<>\"'(),;:@\[\]{{}}]++(?:{_DOT}[A-Za-z0-9-]++)*+",
+    "ip": rf"(?<![0-9A-Za-z.])[0-9]{{1,3}}+(?:{_DOT}[0-9]{{1,3}}+)++",
+    "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9])++",
     "phone": r"(?<![0-9A-Za-z])[+(]{0,2}[0-9](?:[\x20().-]{0,3}[0-9])++",
 }
 NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
+#: What a text needs for a generator, where that is more than the base pattern's.
+WIDER = NEEDS | {"email": r"@|(?i)[\[({]\x20?at\x20?[\])}]"}
 DEPTH = 3
 TREES = 40
 RATE = 0.3
 PRECISION = 0.995
-MOST_VECTORS = 20_000
 FEATURES = ("digits", "groups", "widest", "dots", "hyphens", "blanks", "parens", "luhn", "octets", "tail", "before", "after", "cue")
+_MATCH = "array<struct<start: int, end: int, s: string, left: string, right: string>>"
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _spans(text: Column, pattern: str, needs: str) -> Column:
-    """array<struct<start, end, s>> of the matches, leftmost first."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    none = F.expr("cast(array() as array<struct<start: int, end: int, s: string>>)")
-    placed = F.zip_with(
-        found,
-        F.slice(F.transform(gaps, lambda g: F.length(g)), 1, F.size(found)),
-        lambda s, gap: F.struct(gap.alias("gap"), F.length(s).alias("len"), s.alias("s")),
-    )
-    run = F.aggregate(
-        placed,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["len"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["len"]).alias("end"), p["s"].alias("s"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    """array<struct<start, end, s, left, right>> of the matches, leftmost first.
+
+    ``left`` and ``right`` are up to 15 and 2 characters around a match, from
+    the neighbouring matches and what lies between. A match starts at the sum
+    of all lengths before it: whole blocks, then what precedes it in its own.
+    """
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
+
+    def placed(m: Column) -> Column:
+        found, gaps = m["found"], m["gaps"]
+        lengths = F.transform(found, lambda s, i: F.length(s) + F.length(F.get(gaps, i)))
+        block = F.greatest(F.lit(16), F.ceil(1.26 * F.pow(F.size(found), F.lit(1 / 3))).cast("int"))
+        return _bound(F.struct(lengths.alias("n"), block.alias("b")), lambda x: _bound(
+            F.transform(F.sequence(F.lit(0), F.floor((F.size(x["n"]) - 1) / x["b"]).cast("int")), lambda k: total(F.slice(x["n"], k * x["b"] + 1, x["b"]))),
+            lambda sums: _bound(
+                F.transform(sums, lambda _, k: total(F.slice(sums, F.lit(1), k))),
+                lambda begin: F.transform(found, lambda s, i: F.transform(
+                    F.array(
+                        F.get(begin, F.floor(i / x["b"]).cast("int"))
+                        + total(F.slice(x["n"], F.floor(i / x["b"]).cast("int") * x["b"] + 1, i % x["b"]))
+                        + F.length(F.get(gaps, i))
+                    ),
+                    lambda at: F.struct(
+                        at.alias("start"),
+                        (at + F.length(s)).alias("end"),
+                        s.alias("s"),
+                        F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i)), F.lit(15)).alias("left"),
+                        F.left(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), F.lit(""))), F.lit(2)).alias("right"),
+                    ),
+                )[0]),
+            ),
+        ))
+
+    pieces = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    none = F.expr(f"cast(array() as {_MATCH})")
+    run = _bound(pieces, lambda m: F.when(F.size(m["found"]) > 0, placed(m)).otherwise(none))
     return F.when(text.rlike(needs), run).otherwise(none)
 
 
@@ -113,10 +144,19 @@ def base_spans(docs: DataFrame, text: str) -> DataFrame:
     return docs
 
 
+def _plain(kind: str, s: Column) -> Column:
+    """The candidate with bracketed and spelled marks made plain, one separator in cards, and without a leading plus."""
+    if kind == "card":
+        return F.regexp_replace(s, r"[\x20._/-]+", "-")
+    at = F.regexp_replace(s, r"(?i)\x20?[\[({]\x20?(?:at|@)\x20?[\])}]\x20?", "@")
+    return F.regexp_replace(F.regexp_replace(at, rf"{_DOT}", "."), r"^[(]?\+", "")
+
+
 def _features(s: Column, left: Column, right: Column) -> dict[str, Column]:
-    """Format and context of a candidate as small integers."""
+    """Format and context of a candidate in plain form as small integers; their product bounds the table of vectors."""
     digits = F.regexp_replace(s, "[^0-9]", "")
     groups = F.filter(F.split(s, "[^0-9]+"), lambda g: g != "")
+    count = lambda mark, most: F.least(F.length(s) - F.length(F.translate(s, mark, "")), F.lit(most))
     kind_of = lambda c: (
         F.when(c.rlike(r"[\x20\x09-\x0D]"), 0).when(c == "", 0).when(c.rlike(r"[\p{L}]"), 1).when(c.rlike(r"[=\"'#/_]"), 2).otherwise(3)
     )
@@ -124,45 +164,63 @@ def _features(s: Column, left: Column, right: Column) -> dict[str, Column]:
         "digits": F.least(F.length(digits), F.lit(20)),
         "groups": F.least(F.size(groups), F.lit(6)),
         "widest": F.least(F.coalesce(F.array_max(F.transform(groups, lambda g: F.length(g))), F.lit(0)), F.lit(8)),
-        "dots": F.least(F.length(s) - F.length(F.translate(s, ".", "")), F.lit(4)),
-        "hyphens": F.least(F.length(s) - F.length(F.translate(s, "-", "")), F.lit(4)),
-        "blanks": F.least(F.length(s) - F.length(F.translate(s, " ", "")), F.lit(4)),
+        "dots": count(".", 4),
+        "hyphens": count("-", 3),
+        "blanks": count(" ", 3),
         "parens": (F.instr(s, "(") > 0).cast("int"),
         "luhn": F.when(F.length(digits).between(12, 20), _luhn(digits)).otherwise(False).cast("int"),
         "octets": s.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$").cast("int"),
-        "tail": s.rlike(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,10}$").cast("int"),
-        "before": kind_of(F.substring(left, -1, 1)),
-        "after": kind_of(F.substring(right, 1, 1)),
-        "cue": F.lower(left).rlike(r"(tel|phone|call|fax|mobile|card|visa|mail|contact|ip|address|host|server)[^\p{L}]{0,4}$").cast("int"),
+        "tail": s.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,10}$").cast("int"),
+        "before": kind_of(F.right(left, F.lit(1))),
+        "after": kind_of(F.left(right, F.lit(1))),
+        "cue": F.lower(left).rlike(r"(tel|phone|call|fax|mobile|cell|card|visa|mail|contact|ip|address|host|server|reach|at|on)[^\p{L}]{0,4}$").cast("int"),
     }
 
 
+def _refuted(kind: str, s: Column, right: Column) -> Column:
+    """Whether a candidate's plain form is shown to be no ``kind``."""
+    digits = F.length(F.regexp_replace(s, "[^0-9]", ""))
+    if kind == "email":
+        return ~s.rlike(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$")
+    if kind == "ip":
+        return ~s.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
+    if kind == "card":
+        return ~digits.between(14, 19) | ~_valid("card", s)
+    date = s.rlike(r"^(?:[0-9]{4}[-. /][0-9]{1,2}[-. /][0-9]{1,2}|[0-9]{1,2}[-. /][0-9]{1,2}[-. /][0-9]{2,4}|[12][0-9]{3}[-\x20]+[12][0-9]{3})$")
+    decimal = s.rlike(r"^[0-9]+\.[0-9]+$") | s.rlike(r"^[0-9]{1,3}(?:[.\x20][0-9]{3})+$")
+    return ~digits.between(10, 15) | date | decimal | right.rlike(r"^[\p{L}%_=/]") | s.rlike(r"^[0-9]+$")
+
+
+def _taught(own: Column, touched: Column, refuted: Column) -> Column:
+    """1 for a candidate on a base span of its kind, 0 for one that is refuted or lies on another kind's span, else null."""
+    return F.when(own, 1).when(touched | refuted, 0)
+
+
 def _candidates(docs: DataFrame) -> DataFrame:
-    """A row for each candidate: doc_id, kind, start, end, its features and what the base says of it."""
+    """A row for each candidate: row, kind, start, end, touched, label (null: none), fold and its features."""
     parts = []
     for kind in KINDS:
-        found = docs.where(F.col("text").rlike(NEEDS[kind])).select(
-            "row", "text", *[f"base_{k}" for k in KINDS], F.explode(_spans(F.col("text"), GENERATORS[kind], NEEDS[kind])).alias("m")
+        found = docs.where(F.col("text").rlike(WIDER[kind])).select(
+            "row", *[f"base_{k}" for k in KINDS], F.explode(_spans(F.col("text"), GENERATORS[kind], WIDER[kind])).alias("m")
         )
         if kind in ("card", "phone"):
             found = found.where(F.length(F.regexp_replace("m.s", "[^0-9]", "")).between(7, 24))
         if kind == "ip":
-            found = found.where(F.length("m.s") - F.length(F.translate("m.s", ".", "")) == 3)
-        own = F.exists(f"base_{kind}", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start")))
-        touched = own
+            found = found.where(F.length("m.s") - F.length(F.translate("m.s", ".", "")) >= 2)
+        meets = lambda k: F.exists(f"base_{k}", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start")))
+        touched = F.lit(False)
         for k in KINDS:
-            touched = touched | F.exists(f"base_{k}", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start")))
-        left = F.substring(F.col("text"), F.greatest(F.col("m.start") - 14, F.lit(1)), F.least(F.col("m.start"), F.lit(15)))
-        right = F.substring(F.col("text"), F.col("m.end") + 1, F.lit(2))
+            touched = touched | meets(k)
         parts.append(
             found.select(
-                "row", F.lit(kind).alias("kind"), "m.start", "m.end", own.alias("own"), touched.alias("touched"), "m.s", left.alias("left"), right.alias("right")
-            )
+                "row", F.lit(kind).alias("kind"), "m.start", "m.end", meets(kind).alias("own"), touched.alias("touched"), _plain(kind, F.col("m.s")).alias("s"), "m.left", "m.right"
+            ).withColumn("label", _taught(F.col("own"), F.col("touched"), _refuted(kind, F.col("s"), F.col("right"))))
         )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumns(_features(F.col("s"), F.col("left"), F.col("right"))).drop("s", "left", "right")
+    out = out.withColumn("fold", F.pmod(F.xxhash64("row.text_hash"), F.lit(2)).cast("int"))
+    return out.withColumns(_features(F.col("s"), F.col("left"), F.col("right"))).drop("s", "left", "right", "own")
 
 
 class Trees:
@@ -179,34 +237,31 @@ class Trees:
             p = 1 / (1 + np.exp(-z))
             tree = self._grow(x, yes - all_ * p, all_ * p * (1 - p), np.arange(len(x)), DEPTH)
             self.trees.append(tree)
-            z = z + np.array([self._leaf(tree, row) for row in x])
+            z = z + self._leaves(tree, x)
         return self
 
     def _grow(self, x, g, h, rows, depth):
         total_g, total_h = g[rows].sum(), h[rows].sum()
         best = (1e-6, None)
-        if depth:
-            for j in range(x.shape[1]):
-                v = x[rows, j]
-                for cut in np.unique(v)[:-1]:
-                    left = v <= cut
-                    lg, lh = g[rows][left].sum(), h[rows][left].sum()
-                    gain = lg * lg / (lh + 1) + (total_g - lg) ** 2 / (total_h - lh + 1) - total_g**2 / (total_h + 1)
-                    if gain > best[0]:
-                        best = (gain, (j, int(cut), left))
+        for j in range(x.shape[1] if depth else 0):
+            v = x[rows, j]
+            of_g, of_h = np.bincount(v, weights=g[rows]).cumsum(), np.bincount(v, weights=h[rows]).cumsum()
+            gain = of_g**2 / (of_h + 1) + (total_g - of_g) ** 2 / (total_h - of_h + 1) - total_g**2 / (total_h + 1)
+            cut = int(np.argmax(gain[:-1])) if len(gain) > 1 else -1
+            if cut >= 0 and gain[cut] > best[0]:
+                best = (gain[cut], (j, cut, v <= cut))
         if best[1] is None:
             return float(RATE * total_g / (total_h + 1))
         j, cut, left = best[1]
         return (j, cut, self._grow(x, g, h, rows[left], depth - 1), self._grow(x, g, h, rows[~left], depth - 1))
 
-    @staticmethod
-    def _leaf(tree, row):
-        while isinstance(tree, tuple):
-            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-        return tree
+    def _leaves(self, tree, x: np.ndarray) -> np.ndarray:
+        if not isinstance(tree, tuple):
+            return np.full(len(x), tree)
+        return np.where(x[:, tree[0]] <= tree[1], self._leaves(tree[2], x), self._leaves(tree[3], x))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.array([self.bias + sum(self._leaf(t, row) for t in self.trees) for row in x])
+        return sum((self._leaves(t, x) for t in self.trees), np.full(len(x), self.bias))  # in the order of the column's sum
 
     def column(self) -> Column:
         def of(tree) -> Column:
@@ -220,37 +275,36 @@ class Trees:
         return total
 
 
-def _models(candidates: DataFrame) -> dict[str, tuple[Trees, float]]:
-    """A model and a threshold for each kind with both true and other candidates.
+def _threshold(z: np.ndarray, yes: np.ndarray, n: np.ndarray) -> float | None:
+    """The least score at which the share of true ones among those at or above it, with one failure more, is PRECISION."""
+    order = np.argsort(-z, kind="stable")
+    precision = np.cumsum(yes[order]) / (np.cumsum(n[order]) + 1.0)
+    last = np.append(z[order][1:] != z[order][:-1], True)  # equal scores stand together
+    good = np.flatnonzero((precision >= PRECISION) & last)
+    return float(z[order][good[-1]]) if len(good) else None
 
-    A candidate teaches yes where it touches a base span of its kind, no where
-    it touches none of any kind; one that only touches another kind's teaches
-    nothing. The table of vectors is ordered by count, then values, so reruns agree.
-    """
-    taught = candidates.where("own or not touched")
+
+def _models(candidates: DataFrame) -> dict[str, tuple[Trees, float]]:
+    """A model and a threshold for each kind whose two folds both have true and other candidates."""
     table = (
-        taught.groupBy("kind", *FEATURES)
-        .agg(F.count("*").alias("n"), F.sum(F.col("own").cast("long")).alias("yes"))
-        .orderBy(F.desc("n"), "kind", *FEATURES)
-        .limit(MOST_VECTORS)
+        candidates.where("label is not null")
+        .groupBy("kind", "fold", *FEATURES)
+        .agg(F.count("*").alias("n"), F.sum("label").alias("yes"))
         .collect()
     )
     out = {}
     for kind in KINDS:
-        rows = [r for r in table if r["kind"] == kind]
-        yes, n = np.array([float(r["yes"]) for r in rows]), np.array([float(r["n"]) for r in rows])
-        if not rows or yes.sum() == 0 or yes.sum() == n.sum():
+        rows = sorted((r["fold"], *(r[f] for f in FEATURES), r["n"], r["yes"]) for r in table if r["kind"] == kind)
+        if not rows:
+            continue
+        t = np.array(rows, dtype=np.int64)
+        fits, tests = t[t[:, 0] == 0], t[t[:, 0] == 1]
+        if any(len(part) == 0 or not 0 < part[:, -1].sum() < part[:, -2].sum() for part in (fits, tests)):
             continue
-        x = np.array([[r[f] for f in FEATURES] for r in rows])
-        model = Trees().fit(x, yes, n)
-        z = model.scores(x)
-        order = np.argsort(-z, kind="stable")
-        # Of the candidates above a score, those that no pattern supports are what the model would add; the share of
-        # true ones, with one failure more, is the calibrated precision there.
-        precision = np.cumsum(yes[order]) / (np.cumsum(n[order]) + 1.0)
-        good = np.flatnonzero(precision >= PRECISION)
-        if len(good):
-            out[kind] = (model, float(z[order][good[-1]]))
+        model = Trees().fit(fits[:, 1:-2], fits[:, -1].astype(float), fits[:, -2].astype(float))
+        least = _threshold(model.scores(tests[:, 1:-2]), tests[:, -1].astype(float), tests[:, -2].astype(float))
+        if least is not None:
+            out[kind] = (model, least)
     return out
 
 
@@ -278,7 +332,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if models:
         chosen = None
         for kind, (model, least) in models.items():
-            part = candidates.where((F.col("kind") == kind) & ~F.col("touched")).where(model.column() >= least)
+            part = candidates.where((F.col("kind") == kind) & ~F.col("touched") & F.col("label").isNull()).where(model.column() >= least)
             part = part.select("row", F.struct(F.lit(kind).alias("kind"), "start", "end").alias("span"))
             chosen = part if chosen is None else chosen.unionByName(part)
         added = chosen.groupBy("row").agg(F.collect_set("span").alias("more"))
