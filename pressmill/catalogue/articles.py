@@ -73,7 +73,7 @@ def source_dedupe(spark: SparkSession, d: str) -> DataFrame:
 def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """Links and contents of articles with few values of each."""
     docs = _docs(spark, d).select(
-        "pos", F.concat(F.lit("http://x/"), (F.xxhash64("pos") % 300).cast("string")).alias("link"), F.concat(F.lit("t"), (F.xxhash64("excerpt") % 400).cast("string")).alias("title"),
+        "pos", F.concat(F.lit("http://x/"), (F.col("pos") * 7919 % 300).cast("string")).alias("link"), F.concat(F.lit("t"), (F.col("pos") * F.col("pos") % 397).cast("string")).alias("title"),
         "source", F.lit("").alias("published_text"),
     )
     return dedupe.dedupe_greedy(dedupe.with_keys(docs.withColumn("source", F.lit("s")))).select("pos", "kept")
@@ -98,7 +98,7 @@ def merge_new_rows(spark: SparkSession, d: str) -> DataFrame:
 def latest_summary(spark: SparkSession, d: str) -> DataFrame:
     """K5: the last update of each row."""
     e = table(spark, d, "events")
-    return dedupe.latest(e, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+    return dedupe.latest(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 def region_infer(spark: SparkSession, d: str) -> DataFrame:
@@ -114,10 +114,10 @@ def topic_keyword(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Topics with up to four first titles."""
+    """Topics with the first four titles of each."""
     blob = F.lower(F.substring(F.concat_ws(" ", "title", "excerpt"), 1, 12000))
-    t = _docs(spark, d).select("pos", classify.keyword_topic(blob, TEST_TOPICS).alias("topic"))
-    return t.groupBy("topic").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    t = _docs(spark, d).select("pos", "title", classify.keyword_topic(blob, TEST_TOPICS).alias("topic"))
+    return classify.topic_samples(t, 4).select("topic", "n", F.array_join("titles", "|").alias("titles"))
 
 
 def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -142,11 +142,6 @@ def _part_pairs(p: DataFrame) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of size 12 and less by shared words of name, type, brand and size, as its SQL has them."""
-    return _part_pairs(table(spark, d, "part").where("p_size <= 12"))
-
-
-def jaccard_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
     """All parts by shared words of name, type, brand and size."""
     return _part_pairs(table(spark, d, "part"))
 
@@ -169,10 +164,11 @@ def lexical_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of one label by cosine."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", cluster.unit(F.col("embedding")).alias("v"))
-    a, b = e.toDF("a", "label", "va"), e.toDF("b", "label", "vb")
-    return a.join(b, "label").where("a < b").where(cluster.dot(F.col("va"), F.col("vb")) >= 0.3).select("a", "b")
+    """All vectors and a copy of each without its first four numbers, paired at the clusters' cosine."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
+    less = F.transform("embedding", lambda x, i: F.when(i < 4, F.lit(0.0).cast("float")).otherwise(x))
+    both = e.unionByName(e.select((-1 - F.col("pos")).alias("pos"), less.alias("embedding")))
+    return cluster.near_vectors(both, cluster.ClusterConfig().cosine).select("a", "b")
 
 
 def cosine_components(spark: SparkSession, d: str) -> DataFrame:
@@ -283,7 +279,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         link_normalise, link_dedupe_first, title_fingerprint, title_client, image_dedupe, source_dedupe, greedy_dedupe, merge_new_rows, latest_summary,
-        region_infer, topic_keyword, topic_counts, ingest_counts, followed_topics, jaccard_pairs, jaccard_pairs_whole, containment_pairs, lexical_clusters, cosine_pairs,
+        region_infer, topic_keyword, topic_counts, ingest_counts, followed_topics, jaccard_pairs, containment_pairs, lexical_clusters, cosine_pairs,
         cosine_components, sentence_split, summary_clamp, summary_display, summary_fill, page_paragraph, page_media, date_parse, affinity_weights,
         affinity_rerank, search_interest, seen_unseen, saved_latest, state_json,
     )
@@ -295,13 +291,50 @@ _TOPIC = rf"""CASE WHEN regexp_matches({_BLOB}, 'thentand|{_EDGE}the{_EDGE}|mini
     WHEN regexp_matches({_BLOB}, '{_EDGE}tion{_EDGE}') THEN 'Other words' ELSE 'Other' END"""
 _SIGNALS = """g AS (SELECT event_id, user_id, 'cat' || ((props->>'$.k')::INTEGER % 5) AS category, CASE event_type WHEN 'view' THEN 2.0::DOUBLE WHEN 'purchase' THEN 8.0::DOUBLE WHEN 'click' THEN 1.5::DOUBLE END AS delta, event_type FROM events),
     w AS (SELECT user_id, category, least(200.0::DOUBLE, sum(delta)) AS weight FROM g WHERE delta IS NOT NULL GROUP BY 1, 2)"""
-_UNIT = "u AS (SELECT vec_id, label, embedding::DOUBLE[64] AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)"
-_COS = f"""{_UNIT}, c AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id
-    WHERE array_inner_product(a.v, b.v) / (a.n * b.n) >= 0.3)"""
+_COS = """u AS (SELECT vec_id AS pos, embedding::DOUBLE[64] AS v FROM embeddings UNION ALL SELECT -1 - vec_id, list_transform(embedding, lambda x, i: CASE WHEN i <= 4 THEN 0.0::DOUBLE ELSE x::DOUBLE END)::DOUBLE[64] FROM embeddings),
+    c AS (SELECT a.pos AS a, b.pos AS b FROM u a JOIN u b ON a.pos < b.pos WHERE array_cosine_similarity(a.v, b.v) >= 0.88)"""
+
+_SQUEEZED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+_STORY = r"""CASE WHEN {0} = '' THEN 'untitled' ELSE {0} END""".format(
+    _SQUEEZED.format(r"regexp_replace(regexp_replace(lower(trim(coalesce(t, ''))), '^(?:(?:breaking|just in|watch live|live updates?|live:|watch:|exclusive|update:?)\s*[:|\-–]?\s*)+', ''), '[^\p{L}\p{M}\p{N}_\s]+', ' ', 'g')")
+)
+
+
+def _tidy_sql(s: str) -> str:
+    """The closing mark of a summary, as SQL."""
+    one = rf"regexp_replace(regexp_replace(replace(trim({s}), '...', '…'), '[.]{{2,}}$', '…'), '[.!?]{{2,}}$', '.')"
+    return f"CASE WHEN {one} = '' THEN '' WHEN regexp_matches({one}, '[.!?…]$') THEN {one} ELSE {one} || '.' END"
+
+
+def _clamp_sql(s: str) -> str:
+    """A squeezed text cut at 220 characters, as SQL."""
+    before = f"regexp_extract(substr({s}, 1, 220), '^(.*) [^ ]*$', 1)"
+    cut = f"CASE WHEN length({before}) > 110 THEN {before} ELSE substr({s}, 1, 220) END"
+    whole, short = _tidy_sql(s), _tidy_sql(f"regexp_replace({cut}, '[.,; ]+$', '') || '…'")
+    return f"CASE WHEN length({s}) <= 220 THEN {whole} ELSE {short} END"
+
+
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 
 ORACLES = {
+    "greedy_dedupe": """WITH RECURSIVE a AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id AS pos, doc_id * 7919 % 300 AS link, doc_id * doc_id % 397 AS content FROM documents),
+        r AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS pos, []::BIGINT[] AS links, []::BIGINT[] AS contents, FALSE AS kept
+          UNION ALL SELECT a.n, a.pos, CASE WHEN list_contains(links, link) OR list_contains(contents, content) THEN links ELSE list_append(links, link) END,
+            CASE WHEN list_contains(links, link) OR list_contains(contents, content) THEN contents ELSE list_append(contents, content) END, NOT (list_contains(links, link) OR list_contains(contents, content)) FROM r JOIN a ON a.n = r.n + 1)
+        SELECT pos, kept FROM r WHERE n > 0""",
+    "containment_pairs": f"""WITH t AS (SELECT 'documents' AS of, doc_id AS id, split_part(text, chr(10), 1) AS t FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark), s AS (SELECT of, id, {_STORY} AS s FROM t)
+        SELECT a.of AS x_of, a.id AS x, b.of AS y_of, b.id AS y FROM s a JOIN s b ON (a.of, a.id) < (b.of, b.id)
+        WHERE least(length(a.s), length(b.s)) >= 18 AND least(length(a.s), length(b.s)) / greatest(length(a.s), length(b.s)) >= 0.48::DOUBLE AND (contains(a.s, b.s) OR contains(b.s, a.s))""",
+    "summary_clamp": f"WITH t AS (SELECT doc_id AS pos, {_SQUEEZED.format('text')} AS s FROM documents) SELECT pos, {_clamp_sql('s')} AS summary FROM t",
+    "summary_display": f"""WITH t AS (SELECT doc_id AS pos, trim(split_part(text, chr(10), 1)) AS title, trim(text) AS ex, {_SQUEEZED.format("regexp_replace(trim(text), '<[^>]*>', ' ', 'g')")} AS body FROM documents),
+        p AS (SELECT *, array_to_string({_SENTENCES.format('body')}[:2], ' ') AS two FROM t), c AS (SELECT *, {_clamp_sql('two')} AS lead, {_clamp_sql('body')} AS whole FROM p)
+        SELECT pos, CASE WHEN length(body) >= 40 AND length(lead) < 180 AND length(body) > length(lead) THEN whole WHEN length(body) >= 40 THEN lead WHEN length(body) >= 15 THEN whole ELSE {_clamp_sql("CASE WHEN title = '' THEN 'News update.' ELSE " + _SQUEEZED.format('title') + " END")} END AS summary,
+          CASE WHEN length(body) < 15 THEN 'title_fallback' WHEN contains(ex, '<') AND contains(ex, '>') THEN 'html' ELSE 'rss' END AS summary_source FROM c""",
+    "page_paragraph": rf"""WITH p AS (SELECT page_id, regexp_extract(html, '(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|<p[\s>]|$)', 1) AS x FROM pages),
+        q AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS x FROM p)
+        SELECT page_id, {_SQUEEZED.format("replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '&mdash;', '—'), '&eacute;', 'é'), '&hellip;', '…'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', ' '), '&#39;', chr(39))")} AS first_text FROM q""",
     "link_normalise": f"""WITH {_PARTS_SQL} SELECT page_id, CASE WHEN regexp_matches(whole, '^/+$') THEN '/' ELSE rtrim(whole, '/') END AS ingest_key,
-        scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE lower(path) END AS story_key, host || lower(path) AS image_key, rtrim(lower(url), '/') AS client_key FROM n""",
+        scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE lower(path) END AS story_key, CASE WHEN host <> '' AND rtrim(lower(path), '/') <> '' THEN host || rtrim(lower(path), '/') ELSE lower(url) END AS image_key, rtrim(lower(url), '/') AS client_key FROM n""",
     "link_dedupe_first": f"""WITH {_PARTS_SQL} SELECT min(page_id) AS pos, rtrim(whole, '/') AS link_key FROM n GROUP BY 2""",
     "title_fingerprint": f"""WITH {_DOCS_SQL}, t AS (SELECT *, {_KEY_SQL} AS title_key FROM d)
         SELECT pos, title_key, substr(sha256(title_key || '|' || lower(trim(source)) || '|' || lower(trim(lang))), 1, 32) AS fingerprint FROM t""",
@@ -319,12 +352,12 @@ ORACLES = {
         r AS (SELECT pos, CASE WHEN contains(x, 'thand ') OR contains(x, 'eing') THEN 'First' WHEN contains(x, 'éau') OR contains(x, 'ung') THEN 'Second' WHEN contains(x, 'ción') THEN 'World' ELSE 'Home' END AS region FROM t)
         SELECT pos, region FROM r WHERE region <> 'World'""",
     "topic_keyword": f"WITH {_DOCS_SQL} SELECT pos, {_TOPIC} AS topic FROM d",
-    "topic_counts": f"WITH {_DOCS_SQL} SELECT {_TOPIC} AS topic, count(*) AS n, min(pos) AS first_pos FROM d GROUP BY 1",
+    "topic_counts": f"WITH {_DOCS_SQL} SELECT {_TOPIC} AS topic, count(*) AS n, array_to_string(list(title ORDER BY pos)[:4], '|') AS titles FROM d GROUP BY 1",
     "ingest_counts": "SELECT source, count(*) AS n, count(*) FILTER (lang = 'en') AS n_en, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY 1",
     "followed_topics": r"""WITH t AS (SELECT p_partkey, lower(p_name) || ' ' || lower(p_type) AS x FROM part)
         SELECT p_partkey, array_to_string(list_filter([CASE WHEN regexp_matches(x, '(?:^|[^a-z0-9])(?:red|hot\s+gear)(?:[^a-z0-9]|$)') THEN 'a' END,
           CASE WHEN regexp_matches(x, '(?:^|[^a-z0-9])(?:ring|blue\s+bolt)(?:[^a-z0-9]|$)') THEN 'b' END, CASE WHEN regexp_matches(x, '(?:^|[^a-z0-9])(?:small)(?:[^a-z0-9]|$)') THEN 'c' END], lambda y: y IS NOT NULL), ',') AS topics FROM t""",
-    "jaccard_pairs": """WITH w AS (SELECT p_partkey AS pos, list_distinct(string_split(lower(p_name || ' ' || p_brand || ' ' || p_type || ' s' || p_size), ' ')) AS w FROM part WHERE p_size <= 12)
+    "jaccard_pairs": """WITH w AS (SELECT p_partkey AS pos, list_distinct(string_split(lower(p_name || ' ' || p_brand || ' ' || p_type || ' s' || p_size), ' ')) AS w FROM part)
         SELECT a.pos AS a, b.pos AS b FROM w a JOIN w b ON a.pos < b.pos WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.6""",
     "cosine_pairs": f"WITH {_COS} SELECT a, b FROM c",
     "cosine_components": f"""WITH RECURSIVE {_COS}, e AS (SELECT a, b FROM c UNION SELECT b, a FROM c), r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a)
@@ -336,7 +369,7 @@ ORACLES = {
         FROM d WHERE pos % 3 <> 0""",
     "page_media": """WITH t AS (SELECT page_id, page_id % 4 AS k, regexp_replace(url, '[?#].*$', '') AS u FROM pages)
         SELECT page_id, CASE WHEN k < 3 THEN u END AS image, CASE k WHEN 0 THEN 'https://www.youtube.com/embed/Ab_1' WHEN 1 THEN 'https://vimeo.com/123' WHEN 2 THEN 'https://www.youtube.com/watch?v=Z9' END AS video,
-          CASE k WHEN 0 THEN 'https://img.youtube.com/vi/Ab_1/hqdefault.jpg' WHEN 2 THEN 'https://img.youtube.com/vi/Z9/hqdefault.jpg' END AS thumb FROM t""",
+          CASE k WHEN 0 THEN 'https://img.youtube.com/vi/Ab_1/hqdefault.jpg' WHEN 1 THEN 'https://i.vimeocdn.com/video/123.jpg' WHEN 2 THEN 'https://img.youtube.com/vi/Z9/hqdefault.jpg' END AS thumb FROM t""",
     "date_parse": "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN epoch(date_trunc('minute', ts))::BIGINT ELSE -1 END AS unix FROM events",
     "affinity_weights": f"WITH {_SIGNALS} SELECT * FROM w",
     "affinity_rerank": f"""WITH {_SIGNALS} SELECT g.event_id AS pos, g.user_id, coalesce(w.weight, 0.0) AS affinity,

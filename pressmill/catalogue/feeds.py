@@ -78,16 +78,28 @@ def rank_category(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", rank.category(label).alias("category"), rank.image(url).alias("image"))
 
 
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    picture = F.when(F.col("id") % 3 == 0, F.lit(" ")).when(F.col("id") % 3 == 1, F.lit("http://i/x.jpg"))
+    topic = F.get(F.array(*[F.lit(t) for t in ("Politics", "Local Sports", "world", "Canada business", "Other")]), (F.col("id") % 5).cast("int"))
+    parts = rank.rank_parts(F.col("published_ts"), F.col("trending"), F.col("n_sources"), picture, topic, as_of())
+    return stories(spark, d).withColumn("parts", parts)
+
+
 def rank_strongest(spark: SparkSession, d: str) -> DataFrame:
-    """The strongest part of the ten best scores."""
-    parts = F.struct(
-        F.lit(0.0).alias("recency"),
-        rank.coverage(F.col("trending")).alias("coverage"),
-        rank.diversity(F.col("n_sources")).alias("diversity"),
-        F.lit(0.0).alias("image"),
-        F.lit(0.0).alias("category"),
-    )
-    return feed.feed_top(_scored(spark, d), 10, "rank_e4").select("id", rank.strongest_part(parts).alias("strongest"))
+    """The strongest of all five parts of the score, for each story."""
+    return _parts(spark, d).select("id", rank.strongest_part(F.col("parts")).alias("strongest"))
+
+
+def rank_rounded(spark: SparkSession, d: str) -> DataFrame:
+    """The five parts to two places and their sum."""
+    part = lambda n: rank.scaled(F.col(f"parts.{n}"), 2).alias(f"{n}_e2")
+    return _parts(spark, d).select("id", *[part(n) for n in ("recency", "coverage", "diversity", "image", "category")], rank.scaled(rank.rank_score(F.col("parts")), 2).alias("score_e2"))
+
+
+_PARTS_SQL = f"""r AS (SELECT id, greatest(0.0::DOUBLE, date_diff('second', published_ts, TIMESTAMP '{AS_OF}') / 3600.0::DOUBLE) AS age, trending, n_sources FROM s),
+k AS (SELECT id, round_even(44.0::DOUBLE * exp(-age / 30.0::DOUBLE) + CASE WHEN age <= 2.0 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END, 2) AS recency,
+        round_even(least(greatest(1, trending), 14) * 3.2::DOUBLE, 2) AS coverage, round_even(least(greatest(1, n_sources), 9) * 4.5::DOUBLE, 2) AS diversity,
+        CASE WHEN id % 3 = 1 THEN 11.0::DOUBLE ELSE 0.0::DOUBLE END AS image, [18.0::DOUBLE, 9.0::DOUBLE, 4.0::DOUBLE, 14.0::DOUBLE, 0.0::DOUBLE][1 + id % 5] AS category FROM r)"""
 
 
 def search_page(spark: SparkSession, d: str) -> DataFrame:
@@ -104,12 +116,12 @@ def search_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def client_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Free text over joined columns, with an outlet."""
+    """Free text over joined columns, with an outlet that a story's list decides, and its source only where there is no list."""
     p = table(spark, d, "part").select(
-        F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit("").alias("summary"), F.col("p_type").alias("topic"),
-        F.lit("").alias("region"), F.col("p_brand").alias("source"), F.array("p_brand", "p_type").alias("sources"),
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit("").alias("summary"), F.lit("red").alias("topic"), F.col("p_brand").alias("category"),
+        F.lit("").alias("region"), F.col("p_type").alias("source"), F.when(F.col("p_size") % 3 > 0, F.array("p_brand", F.concat(F.lit(" "), "p_name"))).alias("sources"),
     )
-    return feed.client_filter(p, None, "Red", "SMALL").select("id", "title")
+    return feed.client_filter(p, "red", "Ed", "SMALL").unionByName(feed.client_filter(p, None, "red", "Brand#11")).select("id", "title")
 
 
 def facets(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +163,7 @@ def local_feed(spark: SparkSession, d: str) -> DataFrame:
     boost = rank.location_boost(F.col("region"), CITY, PROVINCE, city_province=CITY_OF, provinces=REGIONS)
     outlet = local.source_boost(F.col("source"), F.col("region"), F.col("coverage_city"), CITY, HUB, ("BUILD",), ("MACHIN",))
     ordered = local.local_order(p, _tier(p), F.col("rank_score") + boost["boost"] + outlet)
-    return ordered.limit(200).select("id", "tier", rank.scaled(F.col("local_score"), 2).alias("score_e2"), boost["reason"].alias("reason"))
+    return ordered.select("id", "tier", rank.scaled(F.col("local_score"), 2).alias("score_e2"), boost["reason"].alias("reason"))
 
 
 def tier_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -183,9 +195,9 @@ u AS (SELECT *, CASE
   WHEN region = '' THEN 4
   WHEN lower(home) = '{PROVINCE.lower()}' THEN 2
   WHEN region = 'Canada' THEN 3 ELSE 4 END AS tier FROM t)"""
-_REASON_SQL = f"""CASE WHEN region <> '' AND lower(region) = '{CITY.lower()}' THEN 'city' WHEN lower(home) = '{PROVINCE.lower()}' THEN 'province'
-  WHEN region = 'Canada' THEN 'national' ELSE 'none' END"""
-_BOOST_SQL = f"""CASE {_REASON_SQL} WHEN 'city' THEN 92.0::DOUBLE WHEN 'province' THEN 50.0::DOUBLE WHEN 'national' THEN 24.0::DOUBLE ELSE 0.0::DOUBLE END
+_REASON_SQL = f"""CASE WHEN trim(region) = '' THEN 'empty_region' WHEN lower(region) = '{CITY.lower()}' THEN 'city_exact' WHEN lower(region) = '{PROVINCE.lower()}' THEN 'province_exact'
+  WHEN lower(home) = '{PROVINCE.lower()}' THEN 'province_via_city' WHEN region = 'Canada' THEN 'national' ELSE 'baseline' END"""
+_BOOST_SQL = f"""CASE {_REASON_SQL} WHEN 'city_exact' THEN 92.0::DOUBLE WHEN 'province_exact' THEN 50.0::DOUBLE WHEN 'province_via_city' THEN 50.0::DOUBLE WHEN 'national' THEN 24.0::DOUBLE ELSE 0.0::DOUBLE END
   + CASE WHEN lower(coverage_city) IN ('{CITY.lower()}', '{HUB.lower()}') OR lower(region) = '{HUB.lower()}' OR source LIKE '%BUILD%' OR source LIKE '%MACHIN%' THEN 38.0::DOUBLE ELSE 0.0::DOUBLE END"""
 
 
@@ -233,14 +245,14 @@ def cluster_collapse(spark: SparkSession, d: str) -> DataFrame:
 
 def cluster_quality(spark: SparkSession, d: str) -> DataFrame:
     """A7."""
-    sizes = table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("trending_score"))
+    sizes = table(spark, d, "part").groupBy(F.concat_ws("/", "p_name", F.col("p_size").cast("string")).alias("cluster_id")).agg(F.count("*").alias("trending_score"))
     return cluster.cluster_quality(sizes)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        feed_page, feed_top_k, feed_look_ahead, feed_counts, scope_counts, rank_recency, rank_category, rank_strongest, search_page, search_count,
+        feed_page, feed_top_k, feed_look_ahead, feed_counts, scope_counts, rank_recency, rank_category, rank_strongest, rank_rounded, search_page, search_count,
         client_filter, facets, daily_brief, reading_time, local_tier, local_feed, tier_counts, location_mix, feed_plan_sources, registry_stats,
         registry_groups, city_suggest, cluster_collapse, cluster_quality,
     )
@@ -263,16 +275,19 @@ ORACLES = {
         SELECT event_id, floor((44.0::DOUBLE * exp(-age / 30.0::DOUBLE) + CASE WHEN age <= 2.0 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END) * 1000000.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS recency_e6 FROM a""",
     "rank_category": f"""WITH a AS (SELECT event_id, lower(CASE event_id % 9 {_CAT} END || ' ' || event_type) AS l FROM events)
         SELECT event_id, greatest({_CATS}) AS category, CASE WHEN event_id % 3 = 0 THEN 0.0::DOUBLE ELSE 11.0::DOUBLE END AS image FROM a""",
-    "rank_strongest": _SCORED_SQL
-    + """ SELECT id, CASE WHEN least(greatest(1, n_sources), 9) * 4.5::DOUBLE >= least(greatest(1, trending), 14) * 3.2::DOUBLE THEN 'diversity' ELSE 'coverage' END AS strongest
-        FROM q ORDER BY rank_e4 DESC, id DESC LIMIT 10""",
+    "rank_strongest": f"""WITH {STORIES_SQL}, {_PARTS_SQL} SELECT id,
+        list_max([struct_pack(v := recency, n := 'recency'), struct_pack(v := coverage, n := 'coverage'), struct_pack(v := diversity, n := 'diversity'), struct_pack(v := image, n := 'image'), struct_pack(v := category, n := 'category')]).n AS strongest FROM k""",
+    "rank_rounded": f"""WITH {STORIES_SQL}, {_PARTS_SQL} SELECT id, floor(recency * 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS recency_e2, floor(coverage * 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS coverage_e2,
+        floor(diversity * 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS diversity_e2, floor(image * 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS image_e2, floor(category * 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS category_e2,
+        floor(round_even(recency + coverage + diversity + image + category, 4) * 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS score_e2 FROM k""",
     "search_page": r"""SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders
         WHERE (lower(coalesce(o_orderpriority, '')) LIKE '%ig%' OR lower(coalesce(o_orderstatus, '')) LIKE '%ig%') AND NOT lower(coalesce(o_orderpriority, '')) LIKE '%\%%' ESCAPE '\'
         ORDER BY coalesce(o_totalprice, 0) DESC, o_orderkey DESC LIMIT 30 OFFSET 20""",
     "search_count": """SELECT count(*) AS n FROM documents WHERE contains(lower(coalesce(text, '')), 'token') OR contains(lower(coalesce(lang, '')), 'token')
         OR contains(lower(coalesce(source, '')), 'token')""",
-    "client_filter": """SELECT p_partkey AS id, p_name AS title FROM part WHERE (p_type = 'SMALL' OR p_brand = 'SMALL')
-        AND contains(lower(p_name || '  ' || p_type || '  ' || p_brand || ' ' || p_brand || ' ' || p_type), 'red')""",
+    "client_filter": """WITH p AS (SELECT p_partkey AS id, p_name AS title, lower(p_name || ' ' || p_brand || ' ' || p_type || CASE WHEN p_size % 3 > 0 THEN ' ' || p_brand || '  ' || p_name ELSE '' END) AS hay,
+          CASE WHEN p_size % 3 > 0 THEN [p_brand, p_name] ELSE [p_type] END AS outlets FROM part)
+        SELECT id, title FROM p WHERE contains(hay, 'ed') AND list_contains(outlets, 'SMALL') UNION ALL SELECT id, title FROM p WHERE contains(hay, 'red') AND list_contains(outlets, 'Brand#11')""",
     "facets": """SELECT DISTINCT kind, value FROM (SELECT 'topic' AS kind, p_type AS value FROM part UNION ALL SELECT 'source', p_brand FROM part
         UNION ALL SELECT 'source', p_type FROM part WHERE p_size > 25) WHERE value <> ''""",
     "daily_brief": _SCORED_SQL
@@ -284,7 +299,7 @@ ORACLES = {
         SELECT conv_id, n_words, greatest(20, least(180, round_even(n_words / 200.0::DOUBLE * 60.0::DOUBLE, 0)::INTEGER)) AS seconds FROM w""",
     "local_tier": f"WITH {PLACES_SQL},{_TIER_SQL} SELECT id, tier FROM u",
     "local_feed": f"""WITH {PLACES_SQL},{_TIER_SQL}, v AS (SELECT id, tier, rank_score + {_BOOST_SQL} AS score, {_REASON_SQL} AS reason FROM u WHERE tier <= 3)
-        SELECT id, tier, floor(score * 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS score_e2, reason FROM v ORDER BY tier, score DESC, id DESC LIMIT 200""",
+        SELECT id, tier, floor(score * 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS score_e2, reason FROM v""",
     "tier_counts": f"WITH {PLACES_SQL},{_TIER_SQL} SELECT tier, count(*) AS n FROM u GROUP BY tier",
     "location_mix": f"WITH {PLACES_SQL},{_TIER_SQL} SELECT {_REASON_SQL} AS reason, count(*) AS n FROM u GROUP BY 1",
     "feed_plan_sources": f"""WITH t AS (SELECT *, CASE WHEN coverage_level = 'city' AND lower(city) = 'mississauga' THEN 0 WHEN coverage_level = 'city' AND lower(city) = 'toronto' THEN 1
@@ -307,6 +322,7 @@ ORACLES = {
                JOIN g ON g.o_custkey = x.o_custkey AND x.link <> g.head_link GROUP BY 1)
         SELECT cluster_id, pos, trending_score, sources, coalesce(related_links, '') AS related_links, coalesce(coverage_level, '') AS coverage_level, coalesce(registry_key, '') AS registry_key
         FROM g JOIN so USING (o_custkey) LEFT JOIN li USING (o_custkey)""",
-    "cluster_quality": """WITH c AS (SELECT count(*) AS n FROM part GROUP BY p_name) SELECT count(*) AS n_clusters, sum(n)::BIGINT AS n_articles,
-        count(*) FILTER (n = 1) AS singletons, count(*) FILTER (n > 1) AS multi FROM c""",
+    "cluster_quality": """WITH c AS (SELECT p_name || '/' || p_size AS id, count(*) AS n FROM part GROUP BY 1), l AS (SELECT id, n FROM c WHERE n > 1 ORDER BY n DESC, id LIMIT 8)
+        SELECT count(*) AS n_clusters, sum(n)::BIGINT AS n_articles, count(*) FILTER (n = 1) AS singletons, count(*) FILTER (n > 1) AS multi,
+          round_even(100.0::DOUBLE * count(*) FILTER (n > 1) / count(*), 1) AS multi_percent, (SELECT string_agg(id || ':' || n, ',' ORDER BY n DESC, id) FROM l) AS largest FROM c""",
 }

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+from html import unescape
+from html.entities import html5 as entities
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +16,12 @@ SUMMARY_MAX, SUMMARY_MIN = 220, 180
 DEFAULT_TITLE = "News update."
 # Words that carry no topic.
 STOPWORDS = (
-    "a an the and or but in on at to for of as by with from is are was were be been being have has had do does did will would could "
-    "should may might must can not no yes it its this that these those than then so if about into over after before out up down more "
-    "most some such just also only even both all any each other new say says said here how what when where why who which"
-).split()
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "as", "by", "with", "from", "is", "are", "was", "were", "be", "been",
+    "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "can", "not", "no", "yes", "it",
+    "its", "this", "that", "these", "those", "than", "then", "so", "if", "about", "into", "over", "after", "before", "out", "up", "down", "more",
+    "most", "some", "such", "just", "also", "only", "even", "both", "all", "any", "each", "other", "new", "say", "says", "said", "here", "how",
+    "what", "when", "where", "why", "who", "which",
+)
 # Opening phrases without content.
 PREFIXES = r"breaking|just in|watch live|live updates?|live:|watch:|exclusive|update:?"
 
@@ -79,13 +86,39 @@ def clamp(text: Column, limit: int = SUMMARY_MAX) -> Column:
     )
 
 
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+@lru_cache(maxsize=1)
+def _references() -> str:
+    """JSON of all named character references, and of the numbers that stand for other characters, without & and ;."""
+    named = {name[:-1]: char for name, char in entities.items() if name.endswith(";")}
+    return json.dumps(named | {f"#{n}": unescape(f"&#{n};") for n in (0, *range(0x80, 0xA0))})
+
+
+def decoded(c: Column) -> Column:
+    """Character references decoded, once; unknown ones stay."""
+    known = F.from_json(F.lit(_references()), "map<string,string>")
+
+    def char(ref: Column) -> Column:
+        body = F.substr(ref, F.lit(2), F.length(ref) - 2)
+        digits = F.regexp_extract(body, "^#([0-9]+)$", 1)
+        number = F.when(digits != "", digits).otherwise(F.conv(F.regexp_extract(body, "^#[xX]([0-9a-fA-F]+)$", 1), 16, 10)).try_cast("int")
+        able = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        by_number = F.when(able, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        name = F.when(number.isNotNull(), F.concat(F.lit("#"), number.cast("string"))).otherwise(body)
+        return F.coalesce(F.try_element_at(known, name), by_number, ref)
+
+    chars = F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)), char)
+    joined = F.transform(F.array(chars), lambda found: F.array_join(F.transform(F.split(c, REFERENCE, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(found, i), F.lit("")))), ""))
+    return F.when(c.contains("&"), joined[0]).otherwise(c)
+
+
 def plain(markup: Column) -> Column:
-    """Text of a fragment of HTML: tags and hidden parts out, common references decoded, blanks single."""
+    """Text of a fragment of HTML: tags and hidden parts out, references decoded (twice, as feeds encode twice), blanks single."""
     s = F.regexp_replace(F.coalesce(markup, F.lit("")), r"(?is)<(script|style|template)\b.*?</\1\s*>|<!--.*?-->", " ")
     s = F.regexp_replace(s, r"<[^>]*>", " ")
-    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        s = F.replace(s, F.lit(ref), F.lit(char))
-    return squeeze(s)
+    return squeeze(decoded(decoded(s)))
 
 
 def looks_like_html(c: Column) -> Column:
@@ -136,6 +169,12 @@ def read_seconds(n_words: Column) -> Column:
     return F.greatest(F.lit(20), F.least(F.lit(180), F.bround(n_words / 200.0 * 60.0).cast("int")))
 
 
+def read_label(seconds: Column) -> Column:
+    """'~n sec' below a minute, else '~n min'."""
+    minutes = F.greatest(F.lit(1), F.bround(seconds / 60.0).cast("int"))
+    return F.when(seconds < 60, F.format_string("~%d sec", seconds)).otherwise(F.format_string("~%d min", minutes))
+
+
 def hash_hue(text: Column) -> Column:
     """A hue from the 31-multiplier string hash, modulo 2^32."""
     codes = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))

@@ -49,8 +49,13 @@ def scheme(link: Column) -> Column:
     return F.lower(F.regexp_extract(strip(link), _URL, 1))
 
 
+def raw_authority(link: Column) -> Column:
+    """Host and port as written."""
+    return F.regexp_extract(strip(link), _URL, 2)
+
+
 def authority(link: Column) -> Column:
-    return F.lower(F.regexp_extract(strip(link), _URL, 2))
+    return F.lower(raw_authority(link))
 
 
 def host(link: Column) -> Column:
@@ -90,8 +95,9 @@ def story_link(link: Column) -> Column:
 
 
 def image_key(link: Column) -> Column:
-    """Key for equal pictures: host and path."""
-    return F.when(authority(link) != "", F.concat(authority(link), F.lower(path(link)))).otherwise(F.lower(strip(link)))
+    """Key for equal pictures: host and path without closing slashes; the whole address where either is missing."""
+    p = F.regexp_replace(F.lower(path(link)), "/+$", "")
+    return F.when((authority(link) != "") & (p != ""), F.concat(authority(link), p)).otherwise(F.lower(strip(link)))
 
 
 def client_link(link: Column) -> Column:
@@ -114,3 +120,20 @@ def is_home_host(link: Column) -> Column:
 
 def is_aggregator(link: Column) -> Column:
     return F.lower(F.coalesce(link, F.lit(""))).contains("news.google.com")
+
+
+def is_http(link: Column) -> Column:
+    return strip(link).rlike("^https?://")
+
+
+def looks_like_image(link: Column) -> Column:
+    """Whether the path ends as pictures do."""
+    return F.substring_index(F.lower(F.coalesce(link, F.lit(""))), "?", 1).rlike(r"\.(?:jpg|jpeg|png|gif|webp|svg|bmp)$")
+
+
+def encoded(c: Column) -> Column:
+    """Percent-encoded as for one part of an address: blanks as %20, and ! ' ( ) ~ as they are."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for code, char in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out

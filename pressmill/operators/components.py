@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Points checkpoints at spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """Points checkpoints at spark.checkpoint.dir; a temporary folder only where that is unset and the master is local (tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             import tempfile
 
             where = tempfile.mkdtemp(prefix="pressmill-")
         context.setCheckpointDir(where)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); component is the least node reachable.
 
     Each round takes the least label among neighbours, then the label of that
@@ -29,7 +31,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = edges.selectExpr("a as node", "b as other").unionByName(edges.selectExpr("b as node", "a as other"))
     both = both.where("node != other").distinct().checkpoint()
     labels = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")).checkpoint()
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         near = (
             both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("seen")), "other")
             .groupBy("node")
@@ -46,4 +48,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = after.select("node", "component")
         if not moved:
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -31,32 +31,35 @@ def dedupe_stable(df: DataFrame, pos: str = "pos") -> DataFrame:
     return first_by(df, F.coalesce(F.concat(F.lit("l:"), "link_key"), F.concat(F.lit("c:"), "content_key")), pos)
 
 
-def dedupe_greedy(df: DataFrame, pos: str = "pos", max_rounds: int = 100) -> DataFrame:
+def dedupe_greedy(df: DataFrame, pos: str = "pos") -> DataFrame:
     """Two-key form: a row goes if an earlier kept row has its link or its content; a dropped row bars nothing.
 
-    Equal to the scan in order of ``pos``. In each round the undecided rows
-    that come first for both of their keys are kept, and undecided rows that
-    share a key with them go. Adds ``kept``; rows without a link are judged by
-    content alone. Rounds grow with the longest chain of alternating keys.
+    Equal to the scan in order of ``pos``. Rows whose keys occur once are kept
+    before the rounds. In each round the undecided rows that come first for
+    both of their keys are kept, and undecided rows that share a key with them
+    go; the first undecided row always is one, so the rounds end, after as many
+    as the longest chain of alternating keys. Adds ``kept``; rows without a
+    link are judged by content alone.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    rows = df.select(pos, "link_key", "content_key").checkpoint()
-    left, kept = rows, None
-    for _ in range(max_rounds):
+    rows = df.select(pos, "link_key", "content_key")
+    again = lambda key: rows.where(f"{key} is not null").groupBy(key).agg(F.count("*").alias(f"n_{key}")).where(f"n_{key} > 1")
+    counted = rows.join(again("link_key"), "link_key", "left").join(again("content_key"), "content_key", "left").checkpoint()
+    kept = counted.where("n_link_key is null and n_content_key is null").select(rows.columns)
+    left = counted.where("n_link_key is not null or n_content_key is not null").select(rows.columns)
+    while not left.isEmpty():
         links = left.where("link_key is not null").groupBy("link_key").agg(F.min(pos).alias("first_link"))
         contents = left.groupBy("content_key").agg(F.min(pos).alias("first_content"))
         judged = left.join(links, "link_key", "left").join(contents, "content_key")
         new = judged.where(f"{pos} = first_content and (link_key is null or {pos} = first_link)").select(rows.columns).checkpoint()
-        kept = new if kept is None else kept.unionByName(new)
+        kept = kept.unionByName(new)
         left = (
             left.join(new.select(pos), pos, "left_anti")
             .join(new.where("link_key is not null").select("link_key"), "link_key", "left_anti")
             .join(new.select("content_key").distinct(), "content_key", "left_anti")
             .checkpoint()
         )
-        if left.isEmpty():
-            return df.join(kept.select(pos, F.lit(True).alias("__kept")), pos, "left").withColumn("kept", F.coalesce("__kept", F.lit(False))).drop("__kept")
-    raise RuntimeError(f"deduplication did not settle in {max_rounds} rounds")
+    return df.join(kept.select(pos, F.lit(True).alias("__kept")), pos, "left").withColumn("kept", F.coalesce("__kept", F.lit(False))).drop("__kept")
 
 
 def merge_new(batch: DataFrame, stored: DataFrame, pos: str = "pos") -> DataFrame:
@@ -92,10 +95,11 @@ def unique_images(df: DataFrame, image: str, key: Column, placeholder_key: Colum
     )
 
 
-def latest(df: DataFrame, keys: list[str], by: list[Column]) -> DataFrame:
-    """The last row of each key: bookmark upserts and point updates kept as appends."""
-    order = Window.partitionBy(*keys).orderBy(*by)
-    return df.withColumn("__turn", F.row_number().over(order)).where("__turn = 1").drop("__turn")
+def latest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """The row of each key that is last by some columns: bookmark upserts and point updates kept as appends. One aggregation, so hot keys combine first."""
+    columns = df.columns
+    row = F.struct(*[F.col(c) for c in columns])
+    return df.groupBy(*keys).agg(F.max_by(row, F.struct(*[F.col(c) for c in by])).alias("__row")).select("__row.*")
 
 
 def search_any(term: str, *columns: str) -> Column:

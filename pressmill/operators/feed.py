@@ -106,15 +106,23 @@ def facets(news: DataFrame, topic: str = "topic", source: str = "source", source
     return topics.unionByName(outlets).where("value != ''").distinct()
 
 
+def outlets(sources: str = "sources", source: str = "source") -> Column:
+    """A story's outlets: its list, else its one source."""
+    return F.when(F.size(F.coalesce(F.col(sources), F.array())) > 0, F.col(sources)).otherwise(F.array(F.col(source)))
+
+
 def client_filter(news: DataFrame, topic: str | None = None, term: str | None = None, outlet: str | None = None) -> DataFrame:
-    """The reader's filter: topic, any outlet, and free text over joined columns."""
+    """The reader's filter: topic (else category), any outlet, and free text over joined columns."""
     out = news
-    if topic:
-        out = out.where(F.col("topic") == topic)
-    if outlet:
-        out = out.where(F.array_contains("sources", outlet) | (F.col("source") == outlet))
+    label = F.coalesce(*[F.col(c) for c in ("topic", "category") if c in news.columns], F.lit(""))
+    if topic and topic != "All":
+        out = out.where(label == topic)
+    if outlet and outlet != "All":
+        out = out.where(F.exists(outlets(), lambda s: urls.strip(s) == outlet.strip()))
     if term and term.strip():
-        hay = F.lower(F.concat_ws(" ", "title", "summary", "topic", "region", "source", F.concat_ws(" ", "sources")))
+        of = [F.col(c) for c in ("title", "summary", "category", "region", "source") if c in news.columns]
+        parts = F.concat(F.array(*of), F.coalesce(F.col("sources"), F.array()))
+        hay = F.lower(F.array_join(F.filter(parts, lambda p: F.coalesce(p, F.lit("")) != ""), " "))
         out = out.where(hay.contains(term.strip().lower()))
     return out
 

@@ -89,17 +89,39 @@ def province_of(region: Column, city_province: dict[str, str] = CITY_PROVINCE, p
     return F.when(r.isin(*provinces), r).otherwise(known[r])
 
 
-def location_boost(region: Column, city: str, province: str, **dims) -> Column:
-    """struct<boost, reason> for a reader's place."""
-    r = strip(region)
+def location_boost(region: Column, city: str | None, province: str | None, **dims) -> Column:
+    """struct<boost, reason> for a reader's place, either part of which may be missing."""
+    r, c, p = strip(region), (city or "").strip().lower(), (province or "").strip().lower()
     made = lambda b, why: F.struct(F.lit(b).alias("boost"), F.lit(why).alias("reason"))
+    if not c and not p:
+        return made(0.0, "no_preference")
+    out = F.when(r == "", made(0.0, "empty_region"))
+    if c:
+        out = out.when(F.lower(r) == c, made(CITY_BOOST, "city_exact"))
+    if p:
+        out = out.when(F.lower(r) == p, made(PROVINCE_BOOST, "province_exact"))
+        out = out.when(F.lower(province_of(region, **dims)) == p, made(PROVINCE_BOOST, "province_via_city"))
+    return out.when(r == "Canada", made(NATIONAL_BOOST, "national")).otherwise(made(0.0, "baseline"))
+
+
+def location_bucket(reason: Column) -> Column:
+    """What a boost's reason counts as in a mix of stories."""
     return (
-        F.when((F.lower(r) == city.strip().lower()) & (r != ""), made(CITY_BOOST, "city"))
-        .when((F.lower(province_of(region, **dims)) == province.strip().lower()), made(PROVINCE_BOOST, "province"))
-        .when(r == "Canada", made(NATIONAL_BOOST, "national"))
-        .otherwise(made(0.0, "none"))
+        F.when(reason == "no_preference", "no_preference")
+        .when(reason == "city_exact", "local")
+        .when(reason.startswith("province"), "province")
+        .when(reason == "national", "national")
+        .otherwise("other")
     )
 
 
+def by_place(news, city: str | None, province: str | None, score: str = "rank_score", id_col: str = "id", **dims):
+    """``news`` with boost, reason and effective rank, best first."""
+    place = location_boost(F.col("region"), city, province, **dims)
+    out = news.withColumn("boost", place["boost"]).withColumn("reason", place["reason"])
+    out = out.withColumn("effective", F.coalesce(F.col(score), F.lit(0.0)) + F.col("boost"))
+    return out.orderBy(F.desc("effective"), F.desc(id_col))
+
+
 def brief_score(score: Column, published: Column, as_of: Column) -> Column:
     return F.coalesce(score, F.lit(0.0)) + F.when(F.to_date(published) == F.to_date(as_of), BRIEF_TODAY).otherwise(0.0)

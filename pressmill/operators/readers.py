@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import client_link, strip
 from .classify import FOLLOWED, followed_topics
+from .dedupe import latest
 
 # How much a signal adds, and the most a category holds.
 OPENED, SAVED, SEARCHED, MOST = 2.0, 8.0, 1.5, 200.0
@@ -53,9 +54,9 @@ def unseen(articles: DataFrame, seen: DataFrame) -> DataFrame:
 
 def saved_latest(events: DataFrame) -> DataFrame:
     """Bookmarks after upserts and removals: the last event of each (user, link) where it saves, newest first."""
-    order = Window.partitionBy("user_id", client_link(F.col("link"))).orderBy(F.desc("ts"), F.desc("event_id"))
-    last = events.withColumn("turn", F.row_number().over(order)).where("turn = 1 and action = 'save'")
-    return last.drop("turn").orderBy(F.desc("ts"))
+    keyed = events.withColumn("__key", client_link(F.col("link")))
+    last = latest(keyed, ["user_id", "__key"], ["ts", "event_id"]).drop("__key").where("action = 'save'")
+    return last.orderBy(F.desc("ts"), F.desc("event_id"))
 
 
 def for_you(articles: DataFrame, followed: list[str], pos: str = "pos") -> DataFrame:

@@ -127,3 +127,11 @@ def sql_values(rows: list[tuple], columns: str) -> str:
         return str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
 
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({columns})"
+
+# Pictures shown where a story has none.
+PLACEHOLDER_IMAGES = (
+    "https://images.unsplash.com/photo-1504711434969-e33886168f5c?auto=format&fit=crop&w=1200&q=60",
+    "https://images.unsplash.com/photo-1585829365295-ab7cd400c167?auto=format&fit=crop&w=1200&q=60",
+    "https://images.unsplash.com/photo-1495020689067-958852a7765e?auto=format&fit=crop&w=1200&q=60",
+    "https://images.unsplash.com/photo-1451187580459-43490279c0fa?auto=format&fit=crop&w=1200&q=60",
+)

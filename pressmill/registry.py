@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalogue import articles, feeds
+from .catalogue import articles, feeds, newsroom
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**feeds.QUERIES, **articles.QUERIES}
+    return {**feeds.QUERIES, **articles.QUERIES, **newsroom.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**feeds.ORACLES, **articles.ORACLES}
+    return {**feeds.ORACLES, **articles.ORACLES, **newsroom.ORACLES}

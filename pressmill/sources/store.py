@@ -51,7 +51,7 @@ class Store:
         updates.write.mode("append").parquet(self.path("summary_updates"))
 
     def with_summaries(self, news: DataFrame) -> DataFrame:
-        last = dedupe.latest(self.read("summary_updates"), ["id"], [F.desc("updated_at")]).select(
+        last = dedupe.latest(self.read("summary_updates"), ["id"], ["updated_at", "summary"]).select(
             F.col("id"), F.col("summary").alias("__s"), F.col("summary_status").alias("__t")
         )
         joined = news.join(last, "id", "left")

@@ -25,7 +25,7 @@ def test_normalize_link(spark):
 def test_other_link_keys(spark):
     links = ("HTTP://A.com/X/?q=1#f", "http://a.com")
     assert values(spark, urls.story_link, *links) == ["http://a.com/x/", "http://a.com/"]
-    assert values(spark, urls.image_key, *links) == ["a.com/x/", "a.com"]
+    assert values(spark, urls.image_key, *links) == ["a.com/x", "http://a.com"]
     assert values(spark, urls.client_link, *links) == ["http://a.com/x/?q=1#f", "http://a.com"]
 
 
