@@ -250,10 +250,12 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(all columns but the html), text, n_chars for each row of ``pages``.
 
     Null, empty and malformed pages give what text they have, or an empty
-    string with 0 code points; pages are read whole. Equal rows give equal rows;
-    columns named text or n_chars must be dropped first.
+    string with 0 code points; pages are read whole. Equal rows give equal rows,
+    and an empty table gives an empty one. Of containers with equal scores the
+    first in page order counts. Columns that are named text or n_chars already
+    are replaced.
     """
-    rest = [f.name for f in pages.schema.fields if f.name != html_col]
+    rest = [f.name for f in pages.schema.fields if f.name != html_col and f.name.lower() not in ("text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

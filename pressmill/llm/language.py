@@ -177,9 +177,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """``docs`` with lang_pred, score and rejected added.
 
     lang_pred is ``und`` with score 0, and rejected, where the text is null or
-    has no letter. Nothing but the text is read. Rows keep their columns, order
-    and repeats; clashing names must be dropped first.
+    has no letter. Nothing but the text is read. Of equal cosines the first
+    language by name counts. Rows keep their other columns and repeats; columns
+    that are named as the results already are replaced. An empty table gives an
+    empty one.
     """
+    docs = docs.drop(*[c for c in docs.columns if c != text_col and c.lower() in ("lang_pred", "score", "rejected")])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,14 +215,25 @@ def fold(key: str | Column, parts: int) -> Column:
 
 
 def language_predictions(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected for documents(doc_id, text, lang); learns from the rows not held out."""
+    """doc_id, held_out, lang_pred, score, rejected for documents(doc_id, text, lang); learns from the rows not held out.
+
+    Rows that repeat an id are each predicted, equal ones alike. Null ids count
+    as the empty text in the split. Null languages and texts teach nothing;
+    null texts and texts without a letter are undetermined. Without labels all
+    are. An empty table gives an empty result.
+    """
     slim = docs.select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 5) == 0)
     model = train(slim.where("not held_out").select(F.col("doc_id").alias("key"), "text", "lang"))
     return identify(slim.select("doc_id", "held_out", "text"), model).drop("text")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language the model of their own labels does not reject, columns as they were."""
+    """The rows of ``docs`` whose language the model of their own labels does not reject, columns as they were.
+
+    Null texts and texts without a letter go; repeats stay or go alike. Where
+    no language has two texts to measure a reach from, every text with a letter
+    stays; without any labelled text all go. An empty table stays empty.
+    """
     slim = docs.select(F.col("doc_id").alias("key"), "text", "lang")
     model = train(slim)
     names = [c for c in docs.columns if c.lower() in ("lang_pred", "score", "rejected")]

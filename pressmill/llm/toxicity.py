@@ -8,7 +8,8 @@ with a small ratio take no part, so that long clean texts gather no noise.
 
 Training reads at most PER_CLASS labelled texts of each label, those of least
 hash; only their feature lists come to the driver. The model is a table of 2^BITS
-weights, whatever the input.
+weights, at most MOST_FEATURES of them other than 0 (those whose share differs
+most between the labels), whatever the input.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ LEAST_RATIO = 1.5
 MOST_FEATURES = 20_000
 STEPS = 250
 PENALTY = 0.001
-FOLDS = 3
+#: Models of so many folds calibrate the scores; with few labelled texts each must learn from nearly all of them.
+FOLDS, LEAST_FOLDS = 8, 3
 THRESHOLD = 0.7
 
 
@@ -109,18 +111,19 @@ def _fit_once(lists: list[np.ndarray], labels: np.ndarray, prior: float) -> Mode
 def fit(lists: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
     """A model of feature lists and 0/1 labels; ``prior`` is the share of label 1 among all labelled texts.
 
-    Scores are calibrated: FOLDS models score the texts that they haven't seen,
+    Scores are calibrated: FOLDS models (fewer where a label has fewer texts) score the texts that they haven't seen,
     and the slope and offset that fit those scores to the labels go into the model.
     """
     prior = min(max(prior, 1e-4), 1 - 1e-4)
-    if len(lists) < 2 * FOLDS or min(labels.sum(), (1 - labels).sum()) < FOLDS:
+    folds = int(min(FOLDS, labels.sum(), (1 - labels).sum())) if len(lists) else 0
+    if folds < LEAST_FOLDS:
         return Model(np.zeros(1 << BITS), np.log(prior / (1 - prior)))
     model = _fit_once(lists, labels, prior)
     fold_of = np.empty(len(labels), dtype=int)
     for y in (0, 1):
-        fold_of[labels == y] = np.arange((labels == y).sum()) % FOLDS
+        fold_of[labels == y] = np.arange((labels == y).sum()) % folds
     z = np.empty(len(labels))
-    for k in range(FOLDS):
+    for k in range(folds):
         seen = np.flatnonzero(fold_of != k)
         part = _fit_once([lists[i] for i in seen], labels[seen], prior)
         for i in np.flatnonzero(fold_of == k):
@@ -176,9 +179,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(all columns but the text), score, predicted; null and empty texts score as texts without features."""
+    """(all columns but the text), score, predicted; null and empty texts score as texts without features.
+
+    Columns that are named score or predicted already are replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [f.name for f in docs.schema.fields if f.name != text_col]
+    rest = [f.name for f in docs.schema.fields if f.name != text_col and f.name.lower() not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

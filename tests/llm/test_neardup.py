@@ -103,3 +103,76 @@ def test_components(spark):
     df = spark.createDataFrame([(bytearray(a) if a else None, bytearray(b)) for a, b in edges], "a binary, b binary")
     got = {bytes(r.node): bytes(r.component) for r in connected_components(df, Workspace(spark, "t")).collect()}
     assert got[b"c"] == b"a" and got[b"y"] == b"x" and got[bytes([80])] == bytes([60]) and b"z" not in got
+
+
+def test_cells_guarantee_the_radius():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        pair = np.tile(rng.integers(0, 1 << 16, size=neardup.SLOTS, dtype=np.uint16), (2, 1))
+        pair[1, rng.choice(neardup.SLOTS, size=neardup.RADIUS, replace=False)] ^= 1
+        keys = neardup.chunk_keys(pair)
+        for at in np.flatnonzero(keys[0] == keys[1]):
+            batch = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([b"a", b"b"], pa.binary()),
+                    pa.array([9, 9]),
+                    pa.array([9, 9]),
+                    pa.array(keys[:, at]),
+                    pa.array([at // neardup.WIDTH] * 2, pa.int32()),
+                    pa.array([x.tobytes() for x in pair], pa.binary()),
+                ],
+                names=["name", "size", "shared", "key", "chunk", "sig"],
+            )
+            cells = {b"a": set(), b"b": set()}
+            for out in neardup._second_chunks(iter([batch])):
+                for row in out.to_pylist():
+                    cells[row["name"]].add(row["key"])
+            assert cells[b"a"] & cells[b"b"] and len(cells[b"a"]) == 42
+
+
+def test_refined_buckets_match_brute_force(spark, monkeypatch):
+    """Buckets that no component fills are dealt to finer cells; links stay whole."""
+    monkeypatch.setattr(neardup, "SMALL", 3)
+    monkeypatch.setattr(neardup, "OUTSIDE", 3)
+    monkeypatch.setattr(neardup, "HUBS", 1)
+    dealt = []
+    cells = neardup._cells
+    monkeypatch.setattr(neardup, "_cells", lambda open_, nodes: dealt.append(1) or cells(open_, nodes))
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for group in range(12):  # texts that share most with others of their group and much with all
+        own = list(base)
+        for k in range(group * 4, group * 4 + 10):
+            own[k % 60] = f"g{group}-{k}"
+        for _ in range(4):
+            text = list(own)
+            text[rng.randrange(60)] = f"e{rng.randrange(3)}"
+            rows.append((len(rows), " ".join(text)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows)[0] and dealt
+
+
+def test_recall_on_a_given_table(spark):
+    """All links of ids divisible by 50 against all rows end in one component."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = docs.orderBy("doc_id").collect()
+    sets = [x for lo in range(0, len(rows), 500) for x in textvec.shingle_sets(pa.array([r.text for r in rows[lo : lo + 500]], pa.string()))]
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner, sizes = flat[order], owner[order], np.array([len(s) for s in sets])
+    part = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    links = found = 0
+    for k in (k for k, r in enumerate(rows) if r.doc_id % 50 == 0 and len(sets[k])):
+        lo, hi = np.searchsorted(flat, sets[k], "left"), np.searchsorted(flat, sets[k], "right")
+        both = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo, hi)]), minlength=len(sets))
+        for other in np.flatnonzero(100 * both >= 75 * (sizes + sizes[k] - both)):
+            if other != k:
+                links += 1
+                found += part[rows[k].doc_id] == part[rows[other].doc_id]
+    assert links >= 70 and found == links
+
+
+def test_ids_of_other_types(spark):
+    got = neardup.near_duplicates(spark.createDataFrame([("b", "one two three"), ("a", "One two three"), (None, "x")], "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {("a", "a", True), ("b", "a", False), (None, None, True)}

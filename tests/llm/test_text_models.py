@@ -1,10 +1,14 @@
+import collections
+import math
 import random
+import unicodedata
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pressmill.llm import language, toxicity
+from pressmill.llm import language, ngrams, toxicity
 
 DATA = "/root/testdata/sf0.01"
 
@@ -99,3 +103,80 @@ def test_toxicity_awkward_rows(spark, documents, labelled):
     assert len(rows) == documents.count() and len({r.score for r in rows}) == 1
     assert toxicity.toxicity_scores(documents, labels.limit(0)).count() == documents.count()
     assert toxicity.toxicity_scores(documents.limit(0), labels).count() == 0
+
+
+def plain_bucket(points, bits):
+    """One n-gram's bucket, in Python integers."""
+    h, top = len(points), (1 << 64) - 1
+    for k, c in enumerate(points):
+        h = (h + int(c) * int(ngrams._MUL[k])) & top
+        h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & top
+    return h >> (64 - bits)
+
+
+def test_toxicity_scores_equal_a_plain_version(spark, labelled):
+    docs, labels = labelled
+    known = docs.select(F.col("doc_id").alias("key"), "text")
+    model = toxicity.train(known, labels.withColumnRenamed("doc_id", "key"), per_class=60)
+    rows = toxicity.score_toxicity(docs.limit(25).unionByName(spark.createDataFrame([(-1, "Grunchface ÉÉ"), (-2, ""), (-3, None)], "doc_id long, text string")), model).collect()
+    text_of = {r.doc_id: r.text for r in docs.collect()} | {-1: "Grunchface ÉÉ", -2: "", -3: None}
+    for r in rows:
+        stream = [32, *map(ord, text_of[r.doc_id].lower()), 32] if text_of[r.doc_id] else []
+        found = {plain_bucket(stream[i : i + n], toxicity.BITS) for n in toxicity.SIZES for i in range(len(stream) - n + 1)}
+        z = model.bias + sum(float(model.weights[k]) for k in sorted(found))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6) and r.predicted == int(r.score >= 0.7)
+    assert len(np.flatnonzero(model.weights)) > 0
+
+
+def test_toxicity_reads_few_texts(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    known = docs.select(F.col("doc_id").alias("key"), "text")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda lists, y, prior: seen.append((len(lists), int(y.sum()), prior)))
+    toxicity.train(known.unionByName(known), labels.withColumnRenamed("doc_id", "key"), per_class=40)
+    assert seen == [(80, 40, pytest.approx(0.25))]  # repeated rows count once
+
+
+def test_small_toxicity_tables_still_predict():
+    rng = np.random.default_rng(4)
+    lists = [np.unique(rng.integers(0, 5000, size=60)) for _ in range(90)]
+    lists = [np.unique(np.append(x, [7001, 7002, 7003, 7004, 7005, 7006])) if i < 12 else x for i, x in enumerate(lists)]
+    y = (np.arange(90) < 12).astype(int)
+    model = toxicity.fit(lists, y, 0.13)
+    z = np.array([model.bias + model.weights[x].sum() for x in lists])
+    assert (z[y == 1] > math.log(0.7 / 0.3)).all() and (z[y == 0] < 0).all()
+
+
+def test_language_predictions_equal_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language.train(docs.select(F.col("doc_id").alias("key"), "text", "lang"), per_language=8)
+    rows = docs.where("text is not null").orderBy("doc_id").limit(15).collect()
+    got = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    for r in rows:
+        words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in r.text.lower()).split()
+        stream = [0, *[p for w in words for p in (*map(ord, w), 0)]]
+        counts = np.zeros(1 << language.BITS)
+        for n in language.SIZES:
+            for i in range(len(stream) - n + 1):
+                counts[plain_bucket(stream[i : i + n], language.BITS)] += 1
+        x = counts * model.idf
+        cosines = [float(c @ x / math.sqrt(x @ x)) for c in model.centres]
+        best = max(range(len(cosines)), key=lambda k: cosines[k])
+        assert got[r.doc_id].lang_pred == model.langs[best] and got[r.doc_id].score == pytest.approx(cosines[best], abs=1e-5)
+
+
+def test_language_ties_and_repeats(spark):
+    same = "the same words are said in both of these two languages today"
+    rows = [(i, f"{same} x{i % 3}", lang) for i in range(30) for lang in ("bb", "aa")]
+    model = language.train(spark.createDataFrame(rows, "key long, text string, lang string"))
+    got = language.identify(spark.createDataFrame([(same, "mine"), (same, "mine")], "text string, lang_pred string"), model).collect()
+    assert [r.lang_pred for r in got] == ["aa", "aa"] and got[0] == got[1]
+
+
+def test_rows_without_ids_stay_bounded(spark, monkeypatch):
+    rows = [(None, f"word{i} alpha beta {i * 7}", "en") for i in range(3000)] + [(None, "copy of one text", "fr")] * 3000
+    df = spark.createDataFrame(rows, "key long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda found: seen.append(collections.Counter(r[0] for r in found)))
+    language.train(df, per_language=20)
+    assert seen == [{"en": 20, "fr": 1}]
