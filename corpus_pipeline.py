@@ -18,14 +18,16 @@ from pressmill.llm.shared import Workspace
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose language is rejected."""
+    """Drops the documents whose language is rejected; null texts and texts without a letter are. Null ids and repeats are judged by text alone; an empty table stays empty."""
     return keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one of least id.
 
-    Of rows that repeat an id one stays; rows with a null id are kept.
+    Of rows that repeat an id the one of least hash over all columns stays, so
+    reruns agree; rows with a null id, and null, empty and blank texts, are
+    kept. An empty table stays empty.
     """
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
@@ -33,22 +35,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if repeated.isEmpty():
         return left
     twice = left["doc_id"] == repeated["__repeated"]
-    once = left.join(repeated, twice, "left_semi").dropDuplicates(["doc_id"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = left.join(repeated, twice, "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
     return left.join(repeated, twice, "left_anti").unionByName(once)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item; null and blank texts hold none, null ids are kept, repeats of an id go together. Empty tables are fine."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as its source's target asks for."""
+    """Takes each document as often as its source's target asks for: null sources are a source, null and blank texts get their source's whole copies, equal rows the same number. An empty table stays empty."""
     return mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, shard and depth of each row."""
+    """doc_id, n_bytes, shard and depth of each row; null texts have 0 bytes, copies of one id share a shard or its parts. An empty table gives an empty result."""
     return assign_shards(docs)
 
 
