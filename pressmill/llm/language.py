@@ -155,7 +155,8 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     labelled = labelled.where("lang is not null and text is not null").withColumn("turn", F.pmod(F.xxhash64("key", "text"), F.lit(1 << 40)))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     under = F.least(F.lit(1.0), F.lit(2.0 * per_language + 20) / F.col("n")) * float(1 << 40)
-    chosen = labelled.join(counts, "lang").where(F.col("turn") < under)
+    # One row a language, which the model outweighs by its centroids, so it is broadcast; texts are not shuffled for it.
+    chosen = labelled.join(F.broadcast(counts), "lang").where(F.col("turn") < under)
     chosen = chosen.groupBy("lang", "turn").agg(F.min("key").alias("key"), F.min("text").alias("text"))
     sparse = chosen.select(F.concat_ws("\x00", "lang", F.col("turn").cast("string"), F.coalesce(F.col("key").cast("string"), F.lit(""))).alias("lang"), "text").mapInArrow(
         _sparse, "lang string, at binary, n binary"
