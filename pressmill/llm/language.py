@@ -153,7 +153,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     language value is learned.
     """
     labelled = labelled.where("lang is not null and text is not null").withColumn("turn", F.pmod(F.xxhash64("key", "text"), F.lit(1 << 40)))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = labelled.select("lang", "turn").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     under = F.least(F.lit(1.0), F.lit(2.0 * per_language + 20) / F.col("n")) * float(1 << 40)
     # One row a language, which the model outweighs by its centroids, so it is broadcast; texts are not shuffled for it.
     chosen = labelled.join(F.broadcast(counts), "lang").where(F.col("turn") < under)
