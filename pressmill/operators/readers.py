@@ -59,6 +59,11 @@ def saved_latest(events: DataFrame) -> DataFrame:
     return last.orderBy(F.desc("ts"), F.desc("event_id"))
 
 
+def cleared(events: DataFrame, readers: DataFrame) -> DataFrame:
+    """Bookmark events without those of readers (user_id) who cleared all."""
+    return events.join(readers.select(F.col("user_id").alias("__gone")).distinct(), F.col("user_id") == F.col("__gone"), "left_anti")
+
+
 def for_you(articles: DataFrame, followed: list[str], pos: str = "pos") -> DataFrame:
     """The eight articles that match most followed topics, ties in feed order."""
     hits = followed_topics(F.col("title"), F.col("summary"), F.col("topic"), F.col("category"))

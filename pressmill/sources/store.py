@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +61,18 @@ class Store:
         return joined.withColumns({"summary": F.coalesce("__s", "summary"), "summary_status": F.coalesce("__t", "summary_status")}).drop("__s", "__t")
 
 
-def fill_pending(news: DataFrame) -> DataFrame:
-    """Summary updates for the pending rows (id, title, excerpt, summary_status)."""
-    made = add_summary(news.where(is_pending(F.col("summary_status"))), "title", "excerpt")
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's address in spark.checkpoint.dir, which all executors share; in a temporary one only on a local master without that setting."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='pressmill-')}"
+    return f"{where.rstrip('/')}/pressmill-{name}-{uuid.uuid4().hex}"
+
+
+def fill_pending(news: DataFrame, most: int | None = None) -> DataFrame:
+    """Summary updates for the pending rows (id, title, excerpt, summary_status), the first ``most`` by id where given."""
+    pending = news.where(is_pending(F.col("summary_status")))
+    made = add_summary(pending if most is None else pending.orderBy("id").limit(most), "title", "excerpt")
     return made.select("id", "made.summary", F.lit("ready").alias("summary_status"), "made.summary_source")

@@ -57,3 +57,40 @@ def test_stream_equals_batch(spark, tmp_path):
     once = dedupe.dedupe_greedy(dedupe.with_keys(_articles(spark, range(20)))).where("kept")
     assert {(r.link_key, r.content_key) for r in store.read("news").collect()} == {(r.link_key, r.content_key) for r in once.collect()}
     assert store.read("news").groupBy("link_key").count().where("count > 1").count() == 0
+
+
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><title>F</title><entry><title>It&amp;#8217;s on</title><link rel="alternate" href="https://x.ca/a?b=1&amp;c=2"/>
+<updated>2026-03-20T18:40:00Z</updated><content type="html">&lt;p&gt;Regina caf&amp;eacute;&lt;/p&gt;</content></entry><entry><title>No link</title></entry><entry><title>broken</tittle></entry></feed>"""
+
+
+def test_items_of_bodies(spark):
+    bodies = spark.createDataFrame([("national_cbc_top", FEED, 1), ("national_global_top", ATOM, 2), ("national_global_top", None, 3), ("national_global_top", "no feed", 4)], "registry_key string, body string, feed int")
+    items = rss.items_of(bodies)
+    assert sorted((r.feed, r.entry_pos) for r in items.collect()) == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1)]
+    rows = sorted(rss.to_articles(items, dims.sources(spark), F.lit("2026-03-21 00:00:00").cast("timestamp")).collect(), key=lambda r: r.link)
+    assert [(r.link, r.title) for r in rows] == [("https://x.ca/1", "Election & vote"), ("https://x.ca/2", "https://x.ca/2"), ("https://x.ca/a?b=1&c=2", "It&#8217;s on")]
+    assert rows[0].image_url == "https://i/2.jpg" and rows[2].excerpt == "Regina café" and rows[2].region == "Regina" and str(rows[2].published_ts) == "2026-03-20 18:40:00"
+
+
+def test_ingest_small_batch(spark, tmp_path):
+    """The whole way: duplicates and foreign stories out, reports of one story merged, ranked, stored once."""
+    from pressmill.operators import ingest
+
+    story = "Council passes the budget after a long debate on transit"
+    rows = [
+        (1, story, "https://cbc.ca/1?utm_source=a", "CBC - Ottawa", "p1", "2026-03-20 10:00:00", "Ottawa", "https://i.ca/1.jpg"),
+        (2, story, "https://cbc.ca/1", "CBC - Ottawa", "p2", "2026-03-20 11:00:00", "Ottawa", None),
+        (3, story + " plan", "https://globalnews.ca/2", "Global News", "p3", "2026-03-20 12:00:00", "Ottawa", "https://i.ca/1.jpg"),
+        (4, "Goat wins the county race again this year", "https://bbc.com/3", "BBC", "p4", "2026-03-20 13:00:00", "World", None),
+        (5, "Goat wins the county race again this year", "https://x.ca/4", "X", "p5", "2026-03-20 09:00:00", "", None),
+    ]
+    df = spark.createDataFrame(rows, "pos long, title string, link string, source string, published_text string, published string, region string, image_url string")
+    df = df.withColumn("published_ts", F.col("published").cast("timestamp_ntz")).drop("published")
+    df = df.withColumns({"excerpt": F.lit(""), "topic": F.lit(""), "category": F.lit(""), "coverage_level": F.lit(""), "coverage_city": F.lit(""), "coverage_province": F.lit(""), "registry_key": F.lit("k")})
+    as_of = F.lit("2026-03-20 14:00:00").cast("timestamp_ntz")
+    stories, report = ingest.ingest(df, as_of)
+    assert report.first().asDict() == {"raw_entries": 5, "skipped_duplicate_link": 1, "skipped_duplicate_content": 0, "after_dedupe": 4, "after_home_filter": 3, "filtered_not_home": 1, "candidates": 3}
+    got = sorted(stories.collect(), key=lambda r: -r.rank_score)
+    assert [(r.pos, r.trending_score, r.sources) for r in got] == [(3, 2, ["CBC Ottawa", "Global News"]), (5, 1, ["X"])]
+    assert got[0].summary == story + " plan." and got[0].rank_score > got[1].rank_score and got[0].link == "https://globalnews.ca/2"
+    assert ingest.ingest(df.limit(0), as_of)[0].count() == 0
