@@ -22,9 +22,10 @@ SHARD_BYTES = 64 << 20
 HASH_BITS = 60
 
 
-def prefix_hash(id_col: str) -> Column:
-    """HASH_BITS bits as a non-negative long, from md5, so that other SQL engines can repeat it."""
-    digits = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 1, HASH_BITS // 4)
+def prefix_hash(id_col: str, text_col: str) -> Column:
+    """HASH_BITS bits as a non-negative long, from md5 of the id, or of the text where the id is null, so that other SQL engines can repeat it."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    digits = F.substring(F.md5(key), 1, HASH_BITS // 4)
     return F.conv(digits, 16, 10).cast("long")
 
 
@@ -54,15 +55,15 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``shard`` is the bits of the bucket's prefix, with ``.k`` for part k of
     rows that no bit can part; ``depth`` is the number of bits. Null texts have
-    0 bytes, null ids share one hash. Repeated ids may share a shard or fall in
-    parts. An empty table gives an empty result.
+    0 bytes; null ids are dealt by their texts. Repeated ids may share a shard or
+    fall in parts. An empty table gives an empty result.
     """
     space = Workspace(docs.sparkSession, "shards")
     rows = space.keep(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
-            prefix_hash(id_col).alias("hash"),
+            prefix_hash(id_col, text_col).alias("hash"),
         ),
         "rows",
     )
@@ -99,7 +100,7 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 ORACLE_SQL = f"""
 WITH r AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, {HASH_BITS // 4}))::BIGINT AS hash
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, {HASH_BITS // 4}))::BIGINT AS hash
   FROM documents),
 d AS (SELECT unnest(range(0, 25))::INTEGER AS depth),
 s AS (SELECT d.depth, r.hash >> ({HASH_BITS} - d.depth) AS prefix, sum(r.n_bytes) AS n FROM r, d GROUP BY ALL),
