@@ -25,15 +25,29 @@ def affinity(signals: DataFrame) -> DataFrame:
     return keyed.groupBy("user_id", "category").agg(F.least(F.lit(MOST), F.sum("delta")).alias("weight"))
 
 
+def _substrings(c: Column, longest: int) -> Column:
+    """Distinct substrings of three letters up to ``longest``."""
+    at = F.sequence(F.lit(1), F.length(c) - 2)
+    of = lambda i: F.transform(F.sequence(F.lit(3), F.least(F.lit(max(longest, 3)), F.length(c) - i + 1)), lambda n: F.substr(c, i, n))
+    return F.when(F.length(c) >= 3, F.array_distinct(F.flatten(F.transform(at, of))))
+
+
 def search_interest(searches: DataFrame, categories: DataFrame) -> DataFrame:
-    """Search signals: (user_id, search_id, category) where a word of three letters or more and a category contain each other."""
+    """Search signals: (user_id, search_id, category) where a word of three letters or more and a category contain each other.
+
+    Both ways are joins on equal strings: a word with a category's substrings,
+    and a word's substrings, as long as the longest category at most, with categories.
+    """
     words = searches.where(F.length(strip(F.col("query"))) >= 2).select(
         "user_id", "search_id", F.explode(F.split(F.lower(strip(F.col("query"))), r"\s+")).alias("word")
     )
     words = words.where(F.length("word") >= 3)
     keys = categories.select(category_key(F.col("category")).alias("category")).where("category != ''").distinct()
-    hit = F.col("category").contains(F.col("word")) | ((F.length("category") >= 3) & F.col("word").contains(F.col("category")))
-    return words.join(keys, hit).select("user_id", "search_id", "category").distinct()
+    longest = keys.agg(F.max(F.length("category"))).first()[0] or 0
+    parts = keys.select("category", F.explode(_substrings(F.col("category"), longest)).alias("word"))
+    inside = words.join(parts, "word").select("user_id", "search_id", "category")
+    pieces = words.select("user_id", "search_id", F.explode(_substrings(F.col("word"), longest)).alias("category"))
+    return inside.unionByName(pieces.join(keys, "category", "left_semi")).distinct()
 
 
 def rerank(articles: DataFrame, weights: DataFrame, pos: str = "pos") -> DataFrame:
