@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .urls import strip
 
-SUMMARY_MAX, SUMMARY_MIN = 220, 180
+SUMMARY_MAX, SUMMARY_MIN, FRONT = 220, 180, 2000
 DEFAULT_TITLE = "News update."
 # Words that carry no topic.
 STOPWORDS = (
@@ -26,6 +26,11 @@ STOPWORDS = (
 PREFIXES = r"breaking|just in|watch live|live updates?|live:|watch:|exclusive|update:?"
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once for each row, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
@@ -71,19 +76,18 @@ def sentences(text: Column) -> Column:
 
 def tidy_tail(text: Column) -> Column:
     """One closing mark: runs of marks become one, and a full stop is added where none is."""
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(text), r"\.\.\.", "…"), r"[.]{2,}$", "…"), r"[.!?]{2,}$", ".")
-    return F.when(s == "", "").when(s.rlike("[.!?…]$"), s).otherwise(F.concat(s, F.lit(".")))
+    single = F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(text), r"\.\.\.", "…"), r"[.]{2,}$", "…"), r"[.!?]{2,}$", ".")
+    return once(single, lambda s: F.when(s == "", "").when(s.rlike("[.!?…]$"), s).otherwise(F.concat(s, F.lit("."))))
 
 
 def clamp(text: Column, limit: int = SUMMARY_MAX) -> Column:
     """At most ``limit`` characters, cut at a blank past the middle, with one closing mark."""
-    s = squeeze(text)
-    head = F.substring(s, 1, limit)
-    before = F.regexp_extract(head, r"^(?s)(.*) [^ ]*$", 1)
-    cut = F.when(F.length(before) > limit // 2, before).otherwise(head)
-    return F.when(F.length(s) <= limit, tidy_tail(s)).otherwise(
-        tidy_tail(F.concat(F.regexp_replace(cut, "[.,; ]+$", ""), F.lit("…")))
-    )
+
+    def cut(head: Column) -> Column:
+        before = F.regexp_extract(head, r"^(?s)(.*) [^ ]*$", 1)
+        return F.concat(F.regexp_replace(F.when(F.length(before) > limit // 2, before).otherwise(head), "[.,; ]+$", ""), F.lit("…"))
+
+    return once(squeeze(text), lambda s: tidy_tail(F.when(F.length(s) <= limit, s).otherwise(once(F.substring(s, 1, limit), cut))))
 
 
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
@@ -109,9 +113,12 @@ def decoded(c: Column) -> Column:
         name = F.when(number.isNotNull(), F.concat(F.lit("#"), number.cast("string"))).otherwise(body)
         return F.coalesce(F.try_element_at(known, name), by_number, ref)
 
-    chars = F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)), char)
-    joined = F.transform(F.array(chars), lambda found: F.array_join(F.transform(F.split(c, REFERENCE, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(found, i), F.lit("")))), ""))
-    return F.when(c.contains("&"), joined[0]).otherwise(c)
+    def whole(s: Column) -> Column:
+        chars = F.transform(F.regexp_extract_all(s, F.lit(REFERENCE), F.lit(0)), char)
+        put = lambda found: F.array_join(F.transform(F.split(s, REFERENCE, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(found, i), F.lit("")))), "")
+        return F.when(s.rlike(REFERENCE), once(chars, put)).otherwise(s)
+
+    return once(c, whole)
 
 
 def plain(markup: Column) -> Column:
@@ -135,10 +142,14 @@ def add_summary(df: DataFrame, title: str, excerpt: str, to: str = "made") -> Da
     """
     keep = df.columns
     out = df.withColumn("__ex", strip(F.col(excerpt))).withColumn("__body", plain(F.col("__ex")))
+    # A summary ends within its first SUMMARY_MAX letters, so what lies beyond FRONT changes none.
+    out = out.withColumn("__body", F.substring("__body", 1, FRONT))
     out = out.withColumn("__parts", F.slice(sentences(F.col("__body")), 1, 2))
     out = out.withColumn("__joined", F.when(F.size("__parts") >= 1, F.concat_ws(" ", "__parts")).otherwise(F.col("__body")))
     out = out.withColumn("__lead", clamp(F.col("__joined"))).withColumn("__clamped", clamp(F.col("__body")))
-    out = out.withColumn("__text", squeeze(F.regexp_replace("__ex", r"<[^>]+>", " ")))
+    # The raw excerpt counts only where its text is nearly all markup.
+    bare = squeeze(F.regexp_replace("__ex", r"<[^>]+>", " "))
+    out = out.withColumn("__text", F.when(F.length("__body") < 15, bare).otherwise(""))
     out = out.withColumn("__chunk", F.substring("__text", 1, 2000))
     out = out.withColumn("__long", F.slice(F.filter(sentences(F.col("__chunk")), lambda s: F.length(s) > 20), 1, 2))
     out = out.withColumn("__words", F.filter(F.split("__chunk", " "), lambda w: w != ""))
