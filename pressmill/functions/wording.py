@@ -44,6 +44,16 @@ SOFTER = (
     (r"\bamid\b", "during"),
     (r"\bamidst\b", "during"),
 )
+# Headlines of known forms, what figures in them rule out, and the wordings that replace them.
+WON_LATE = r"(?i)^(.+?)\s+down\s+(.+?)\s+in\s+OT\.?$"
+WON = r"(?i)^(.+?)\s+down\s+(.+)$"
+FIGURES = r"(?i)\d|%|points?|percent"
+POLICE_WELCOME = r"(?i)^(.+?)\s+Police\s+Service\s+welcomes\s+new\s+(.+)$"
+SEARCH_DOG = r"(?i)electronic\s+storage\s+detection\s+dog$"
+DETAINED = r"(?is)^ICE\s+detains\s+(.+?)\s+in\s+Texas,?\s*amid\s+(.+)$"
+DETAINED_SHORT = r"(?is)^ICE\s+detains\s+(.*)$"
+LONG_ROAD, ROAD = r"(?i)bumpy\s+road\s+to\s+citizenship", r"(?i)^bumpy\s+road\b"
+ATTRIBUTED = (r"(?i),\s*(?:says|reports?|according to|per)\b.*$", r"(?i)\s+(?:says|reports?)\s+.+$")
 
 
 def _words(c: Column) -> Column:
@@ -129,8 +139,9 @@ def softened(c: Column) -> Column:
 
 
 def without_attribution(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?i),\s*(?:says|reports?|according to|per)\b.*$", "")
-    return F.regexp_replace(c, r"(?i)\s+(?:says|reports?)\s+.+$", "")
+    for pattern in ATTRIBUTED:
+        c = F.regexp_replace(c, pattern, "")
+    return c
 
 
 def _two_from_split(title: Column) -> Column:
@@ -146,34 +157,29 @@ def _two_from_split(title: Column) -> Column:
 
 def _won(title: Column) -> Column:
     """'A down B': who beat whom, unless figures went down."""
-    late = r"(?i)^(.+?)\s+down\s+(.+?)\s+in\s+OT\.?$"
-    plain = r"(?i)^(.+?)\s+down\s+(.+)$"
     side = lambda p, k: strip(F.regexp_extract(title, p, k))
     said = lambda p, end: F.concat(F.lit("The "), side(p, 1), F.lit(" beat the "), side(p, 2), F.lit(end))
-    names = ~side(plain, 2).rlike(r"(?i)\d|%|points?|percent") & (F.size(_words(side(plain, 1))) >= 2) & (F.size(_words(side(plain, 2))) >= 2)
-    return F.when(title.rlike(late), said(late, " in overtime")).when(title.rlike(plain) & names, said(plain, ""))
+    names = ~side(WON, 2).rlike(FIGURES) & (F.size(_words(side(WON, 1))) >= 2) & (F.size(_words(side(WON, 2))) >= 2)
+    return F.when(title.rlike(WON_LATE), said(WON_LATE, " in overtime")).when(title.rlike(WON) & names, said(WON, ""))
 
 
 def _police_welcome(title: Column) -> Column:
-    pattern = r"(?i)^(.+?)\s+Police\s+Service\s+welcomes\s+new\s+(.+)$"
-    rest = F.regexp_replace(strip(F.regexp_extract(title, pattern, 2)), r"\.+$", "")
-    what = F.when(rest.rlike(r"(?i)electronic\s+storage\s+detection\s+dog$"), "dog trained to detect electronic storage devices").otherwise(rest)
-    return F.when(title.rlike(pattern), F.concat(strip(F.regexp_extract(title, pattern, 1)), F.lit(" police have introduced a new "), what))
+    rest = F.regexp_replace(strip(F.regexp_extract(title, POLICE_WELCOME, 2)), r"\.+$", "")
+    what = F.when(rest.rlike(SEARCH_DOG), "dog trained to detect electronic storage devices").otherwise(rest)
+    return F.when(title.rlike(POLICE_WELCOME), F.concat(strip(F.regexp_extract(title, POLICE_WELCOME, 1)), F.lit(" police have introduced a new "), what))
 
 
 def _detained(title: Column) -> Column:
-    whole = r"(?is)^ICE\s+detains\s+(.+?)\s+in\s+Texas,?\s*amid\s+(.+)$"
-    who = F.regexp_replace(strip(F.regexp_extract(title, whole, 1)), ",+$", "")
+    who = F.regexp_replace(strip(F.regexp_extract(title, DETAINED, 1)), ",+$", "")
     who = F.regexp_replace(F.regexp_replace(who, r"(?i)\bmom,\s*daughter\b", "mother and daughter"), r"(?i)\bmom\b", "mother")
-    why = F.regexp_replace(strip(F.regexp_extract(title, whole, 2)), r"\.+$", "")
+    why = F.regexp_replace(strip(F.regexp_extract(title, DETAINED, 2)), r"\.+$", "")
     why = (
-        F.when(why.rlike(r"(?i)bumpy\s+road\s+to\s+citizenship"), "during a complicated citizenship process")
-        .when(why.rlike(r"(?i)^bumpy\s+road\b"), "during a difficult process")
+        F.when(why.rlike(LONG_ROAD), "during a complicated citizenship process")
+        .when(why.rlike(ROAD), "during a difficult process")
         .otherwise(F.concat(F.lit("amid "), why))
     )
-    short = r"(?is)^ICE\s+detains\s+(.*)$"
-    return F.when(title.rlike(whole), F.concat(F.lit("A "), who, F.lit(" were detained by ICE in Texas "), why)).when(
-        title.rlike(short), F.concat(F.lit("ICE detained "), strip(F.regexp_extract(title, short, 1)))
+    return F.when(title.rlike(DETAINED), F.concat(F.lit("A "), who, F.lit(" were detained by ICE in Texas "), why)).when(
+        title.rlike(DETAINED_SHORT), F.concat(F.lit("ICE detained "), strip(F.regexp_extract(title, DETAINED_SHORT, 1)))
     )
 
 
