@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import exact_dedup, fill_middle, lexical_search, mixing, sharding
 from .decontam import contaminated
 from .html_text import extract_main_text
 from .language import language_predictions
@@ -67,6 +68,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256")
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -79,8 +95,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_sharding": sharding.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {
+        "op7_sharding": sharding.ORACLE_SQL,
+        "op10_mixing": mixing.ORACLE_SQL,
+        "op11_fill_in_middle": fill_middle.ORACLE_SQL,
+        "op12_lexical_search": lexical_search.ORACLE_SQL,
+        "op13_exact_dedup": exact_dedup.ORACLE_SQL,
+    }
