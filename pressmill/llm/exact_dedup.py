@@ -73,9 +73,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumns(
         {"n_bytes": F.octet_length("text").cast("long"), "head": lower(F.substring("text", 1, head))}
     )
+    # The heads in question grow with the table, so the plan is the same at every size: both sides are shuffled.
     heads = read.groupBy("n_bytes", "head").agg(F.count("*").alias("n")).where("n > 1").select("n_bytes", "head", F.lit(True).alias("shared"))
     rows = space.keep(
-        read.join(space.keep(heads, "heads"), ["n_bytes", "head"], "left")
+        read.join(space.keep(heads, "heads").hint("merge"), ["n_bytes", "head"], "left")
         .select("doc_id", "n_bytes", F.coalesce("shared", F.lit(False)).alias("shared"), lower(F.col("text")).alias("text"))
         .select(
             F.monotonically_increasing_id().alias("row"),
