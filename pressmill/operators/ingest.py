@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,7 +160,7 @@ def union_counts(items: DataFrame, edges: dict[str, DataFrame], pos: str = "pos"
 def stories(rows: DataFrame, as_of: Column, vectors: DataFrame | None = None) -> DataFrame:
     """Clustered rows with summary, parts of the score, rank_score and last_updated_at."""
     merged = cluster.cluster_articles(rows, vectors)
-    heads = merged.join(rows.select(F.col("link").alias("__l"), "excerpt", F.col("pos").alias("__p")), (F.col("link") == F.col("__l")) & (F.col("pos") == F.col("__p")), "left")
+    heads = merged.join(rows.select(F.col("link").alias("__l"), "excerpt", "published_text", F.col("pos").alias("__p")), (F.col("link") == F.col("__l")) & (F.col("pos") == F.col("__p")), "left")
     parts = rank.rank_parts(F.col("published_ts"), F.col("trending_score"), F.size("sources"), F.col("image_url"), F.col("topic"), as_of)
     told = text.add_summary(heads.drop("__l", "__p"), "title", "excerpt")
     return (
@@ -178,23 +180,40 @@ def ingest(items: DataFrame, as_of: Column, vectors: DataFrame | None = None, mo
     return stories(pictured.drop("idx", "verdict", "link_key", "content_key"), as_of, vectors), report(verdicts, most)
 
 
-def refresh(items: DataFrame, store, as_of: Column, scope: DataFrame | None = None, forced: bool = False) -> str:
-    """Ingests into the store where asked for, where it is empty, or where a local scope is stale; says which."""
+def refresh(store, make: Callable[[tuple[str, str] | None], DataFrame], as_of: Column, place: tuple[str, str] | None = None, forced: bool = False) -> str:
+    """Decides what a request of the feed, or of a place (city, province), does with the store, does it, and says which.
+
+    ingest_local and ingest_general: asked for. stale_local: the place has no
+    rows or old ones. cold_start_general: the store has no news. read: nothing.
+    An ingest takes ``make(place)``, with None for the general feed, and swaps
+    the table in a new version; whoever reads an older version goes on with it.
+    """
     from .feed import is_stale
 
+    def stale() -> bool:
+        return not store.has(store.scope(*place)) or is_stale(store.read_scope(*place), as_of).first()["stale"]
+
     if forced:
-        mode = "refresh"
-    elif scope is not None and is_stale(scope, as_of).first()["stale"]:
+        mode = "ingest_local" if place else "ingest_general"
+    elif place and stale():
         mode = "stale_local"
-    elif store.read().isEmpty():
-        mode = "cold_start"
+    elif not store.has("news") or store.read("news").isEmpty():
+        mode = "cold_start_general"
     else:
         return "read"
-    made, _ = ingest(items, as_of)
-    store.merge(made)
+    if mode in ("ingest_local", "stale_local"):
+        store.replace_scope(make(place), *place)
+    else:
+        store.replace(make(None))
     return mode
 
 
+def merge_ingest(items: DataFrame, store, as_of: Column, vectors: DataFrame | None = None, most: int = BATCH_MAX) -> DataFrame:
+    """The periodic form: new stories go beside the stored ones; what became of each story, by reason."""
+    made, _ = ingest(items, as_of, vectors, most)
+    return store.merge(dedupe.with_keys(made))
+
+
 def warm_up(rows: DataFrame) -> DataFrame:
     """The first stories of the feed, which are prepared ahead."""
     return rows.orderBy(F.desc(F.coalesce("rank_score", F.lit(0.0))), F.desc("id")).limit(WARM_UP)

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalogue import articles, desk, feeds, newsroom
+from .catalogue import articles, desk, feeds, library, newsroom
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**feeds.QUERIES, **articles.QUERIES, **newsroom.QUERIES, **desk.QUERIES}
+    return {**feeds.QUERIES, **articles.QUERIES, **newsroom.QUERIES, **desk.QUERIES, **library.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**feeds.ORACLES, **articles.ORACLES, **newsroom.ORACLES, **desk.ORACLES}
+    return {**feeds.ORACLES, **articles.ORACLES, **newsroom.ORACLES, **desk.ORACLES, **library.ORACLES}

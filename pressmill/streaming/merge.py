@@ -1,8 +1,8 @@
 """Periodic merge of arriving articles into the store, as a micro-batch stream.
 
-A batch is judged against what the store holds, then appended at once. The
-batch number is kept with the rows, so a batch that is run again after a
-failure adds nothing twice.
+A batch is judged against the keys that the store holds, opening only the key
+buckets it may hit, then appended at once. The batch number is part of the
+store's version, so a batch that is run again after a failure adds nothing twice.
 """
 
 from __future__ import annotations
@@ -11,27 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import dedupe
+from ..operators import dedupe, readers
 from ..sources.store import Store
 
 
 def merge_batch(store: Store, name: str = "news"):
     def run(batch: DataFrame, batch_id: int) -> None:
-        keyed = dedupe.with_keys(batch)
-        try:
-            stored = store.read(name)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = None
-        if stored is None:
-            judged = dedupe.dedupe_greedy(keyed.where("link_key is not null")).where("kept").drop("kept")
-        else:
-            known = stored.select("link_key", "content_key", "batch_id").where(F.col("batch_id") != batch_id)
-            if not stored.where(F.col("batch_id") == batch_id).isEmpty():
-                return
-            judged = dedupe.merge_new(keyed, known).where("reason = 'new'").drop("reason")
-        store.append(judged.withColumn("batch_id", F.lit(batch_id).cast("long")), name)
+        store.merge(dedupe.with_keys(batch), name, batch_id)
 
     return run
 
@@ -42,8 +28,22 @@ def start_merge(articles: DataFrame, store: Store, checkpoint: str, every: str |
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def affinity_stream(signals: DataFrame) -> DataFrame:
-    """Running category weights of a signal stream (user_id, category, kind), for update mode."""
-    from ..operators.readers import affinity
+def start_affinity(signals: DataFrame, store: Store, checkpoint: str, every: str | None = "150 seconds", name: str = "affinity") -> StreamingQuery:
+    """Running category weights of a signal stream (user_id, category, kind), in update mode.
 
-    return affinity(signals)
+    The state holds one sum for each reader and category. A batch's changed
+    weights are appended as one version of the store under its number, so a
+    stream that goes on from its checkpoint adds no batch twice.
+    """
+
+    def keep(changed: DataFrame, batch_id: int) -> None:
+        if batch_id not in store.batches(name):
+            store.append(changed.withColumn("batch_id", F.lit(batch_id).cast("long")), name, batch_id)
+
+    writer = readers.affinity(signals).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def affinity_state(store: Store, name: str = "affinity") -> DataFrame:
+    """The last weight of each reader and category."""
+    return dedupe.latest(store.read(name), ["user_id", "category"], ["batch_id"]).drop("batch_id")

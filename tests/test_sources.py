@@ -94,3 +94,105 @@ def test_ingest_small_batch(spark, tmp_path):
     assert [(r.pos, r.trending_score, r.sources) for r in got] == [(3, 2, ["CBC Ottawa", "Global News"]), (5, 1, ["X"])]
     assert got[0].summary == story + " plan." and got[0].rank_score > got[1].rank_score and got[0].link == "https://globalnews.ca/2"
     assert ingest.ingest(df.limit(0), as_of)[0].count() == 0
+
+
+def test_refresh_modes(spark, tmp_path):
+    """An empty store, one that is served, a place without rows, with fresh and with old ones, and forced requests; readers keep their version."""
+    from pressmill.operators import ingest
+
+    store, ts = Store(spark, str(tmp_path)), lambda t: F.lit(f"2026-03-20 {t}").cast("timestamp_ntz")
+    make = lambda n, at="14:00:00": lambda place: dedupe.with_keys(_articles(spark, range(n))).withColumn("last_updated_at", ts(at))
+    place = ("Ottawa", "Ontario")
+    n_rows = lambda: (store.read("news").count(), store.read_scope(*place).count())
+    assert ingest.refresh(store, make(2), ts("14:00:00")) == "cold_start_general"
+    assert ingest.refresh(store, make(3), ts("14:00:00")) == "read" and store.version() == 1
+    old = store.read("news")
+    assert ingest.refresh(store, make(1), ts("14:00:00"), place) == "stale_local" and n_rows() == (2, 1)
+    assert ingest.refresh(store, make(3), ts("14:14:59"), place) == "read"
+    assert ingest.refresh(store, make(2), ts("14:15:00"), place) == "stale_local" and n_rows() == (2, 2)
+    assert ingest.refresh(store, make(3), ts("14:00:00"), place, True) == "ingest_local" and n_rows() == (2, 3)
+    assert ingest.refresh(store, make(4), ts("14:00:00"), forced=True) == "ingest_general" and n_rows() == (4, 3)
+    assert old.count() == store.read("news", 1).count() == 2
+    assert ingest.refresh(Store(spark, str(tmp_path / "new")), make(2), ts("14:00:00"), place) == "stale_local"
+
+
+def test_merge_ingest(spark, tmp_path):
+    """A whole ingest merged beside stories stored without keys."""
+    from pressmill.operators import ingest
+
+    titles = ("Council passes the budget", "Goat wins the county race", "Storm closes the harbour bridge")
+    rows = [(k, t, f"https://cbc.ca/{k}", "CBC", f"p{k}", f"2026-03-20 1{k}:00:00", "Ottawa") for k, t in enumerate(titles)]
+    items = spark.createDataFrame(rows, "pos long, title string, link string, source string, published_text string, published string, region string")
+    store = Store(spark, str(tmp_path))
+    store.replace(items.where("pos < 2").select("pos", "title", "link", "source", "published_text"))
+    store.index()
+    items = items.withColumn("published_ts", F.col("published").cast("timestamp_ntz")).drop("published")
+    items = items.withColumns({c: F.lit("") for c in ("excerpt", "topic", "category", "coverage_level", "coverage_city", "coverage_province", "image_url")} | {"registry_key": F.lit("k")})
+    counts = {r.reason: r.n for r in ingest.merge_ingest(items, store, F.lit("2026-03-20 14:00:00").cast("timestamp_ntz")).collect()}
+    assert counts == {"stored_link": 2, "new": 1} and store.read("news").count() == 3
+
+
+def test_lookup_opens_few_buckets_however_large_the_store(spark, tmp_path):
+    """A fixed batch of new keys and some stored ones, against stores of two sizes."""
+    from pressmill.sources.keys import KeyLayout
+
+    rows = lambda a, b: spark.range(a, b).select(F.concat(F.lit("https://a.ca/"), "id").alias("link_key"), F.md5(F.col("id").cast("string")).alias("content_key"))
+    asked = spark.range(10**6, 10**6 + 40).select(F.concat(F.lit("l:https://a.ca/"), "id").alias("key")).unionByName(spark.createDataFrame([("l:https://a.ca/7",), ("l:https://a.ca/8",)], "key string"))
+    opened = []
+    for n in (300, 3000):
+        store = Store(spark, str(tmp_path / str(n)), KeyLayout(32, 1))
+        store.append(rows(0, n))
+        found = store.look_up(asked)
+        assert sorted(r.key for r in found.known.collect()) == ["l:https://a.ca/7", "l:https://a.ca/8"]
+        opened.append((found.buckets_opened, found.files_opened))
+    assert opened[0] == opened[1] and opened[0][0] <= 2
+
+
+def test_compaction_and_layouts(spark, tmp_path):
+    import pytest
+
+    from pressmill.sources.keys import KeyLayout
+
+    store = Store(spark, str(tmp_path), KeyLayout(4, 1))
+    for k in range(3):
+        store.merge(dedupe.with_keys(_articles(spark, range(4 * k, 4 * k + 5))), batch_id=k)
+    store.merge(dedupe.with_keys(_articles(spark, range(100))), batch_id=2)  # run again: adds nothing
+    before = sorted(map(tuple, store.read("news").collect()))
+    assert len([e for e in store.entries() if e.name == "news"]) == 3
+    store.compact()
+    assert len([e for e in store.entries() if e.name == "news"]) == 1 and sorted(map(tuple, store.read("news").collect())) == before
+    assert store.batches() == {2}
+    stored = {"stored_link", "stored_content"}
+    assert {r.reason for r in store.merge(dedupe.with_keys(_articles(spark, range(7)))).collect()} <= stored
+    other = Store(spark, str(tmp_path), KeyLayout(8, 1))
+    with pytest.raises(ValueError):
+        other.merge(dedupe.with_keys(_articles(spark, range(7))))
+    other.index()
+    assert {r.reason for r in other.merge(dedupe.with_keys(_articles(spark, range(7)))).collect()} <= stored
+
+
+def test_snapshot_is_made_once_a_version(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    store, calls, now = Store(spark, str(tmp_path)), [], datetime(2026, 3, 20, 14, 0)
+    make = lambda df: (calls.append(1), df.agg(F.count("*").alias("n")))[1]
+    read = lambda at: store.snapshot("n", "news", make, at, 120).first().n
+    store.append(_articles(spark, range(3)))
+    assert (read(now), read(now + timedelta(seconds=119)), len(calls)) == (3, 3, 1)
+    assert read(now + timedelta(seconds=121)) == 3 and len(calls) == 2
+    store.append(_articles(spark, range(2)))
+    assert read(now + timedelta(seconds=122)) == 5 and len(calls) == 3
+
+
+def test_affinity_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    from pressmill.operators import readers
+    from pressmill.streaming.merge import affinity_state, start_affinity
+
+    schema = "user_id long, category string, kind string"
+    parts = [[(1, "Sports", "open"), (1, "sports ", "save"), (2, "Arts", "search")], [(1, "Sports", "open")] * 9, [(2, "Arts", "open"), (3, None, "open"), (3, "Law", "none")]]
+    store = Store(spark, str(tmp_path / "store"))
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "inbox"))
+        start_affinity(spark.readStream.schema(schema).parquet(str(tmp_path / "inbox")), store, str(tmp_path / "checkpoint"), None).awaitTermination(120)
+    want = readers.affinity(spark.createDataFrame([r for p in parts for r in p], schema))
+    assert sorted(map(tuple, affinity_state(store).collect())) == sorted(map(tuple, want.collect()))
