@@ -25,17 +25,25 @@ _KEY_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)
 
 
 def link_normalise(spark: SparkSession, d: str) -> DataFrame:
-    """Each form of a link's key."""
+    """Each form of a link's key, and the key of a search for the page's title as its words stand there."""
     u = F.col("url")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    search = F.concat(F.regexp_replace(u, "[?#].*$", ""), F.lit("?UTM_x=1&&q"), F.when(F.col("page_id") % 5 == 0, "").otherwise(F.concat(F.lit("="), F.replace(title, F.lit("#"), F.lit("+")))), F.lit("&%67clid=2&b~*=%C3%A9%zz"))
     return table(spark, d, "pages").select(
-        "page_id", urls.normalize_link(u).alias("ingest_key"), urls.story_link(u).alias("story_key"), urls.image_key(u).alias("image_key"), urls.client_link(u).alias("client_key")
+        "page_id", urls.normalize_link(u).alias("ingest_key"), urls.story_link(u).alias("story_key"), urls.image_key(u).alias("image_key"), urls.client_link(u).alias("client_key"), urls.normalize_link(search).alias("search_key")
     )
 
 
-_PARTS_SQL = r"""
-p AS (SELECT page_id, trim(url) AS url, regexp_extract(trim(url), '^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', ['scheme', 'host', 'path', 'query']) AS m FROM pages),
-k AS (SELECT page_id, url, lower(m.scheme) AS scheme, lower(m.host) AS host, m.path AS path,
-        list_filter(string_split(ltrim(m.query, '?'), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[^=]*|fbclid|gclid|mc_eid|igshid|_ga|mkt_tok)(=|$)')) AS kept FROM p),
+_FORM_SQL = "replace(url_encode(url_decode(replace({x}, '+', ' '))), '%20', '+')"
+_KEPT_SQL = (
+    "list_transform(list_filter(string_split(substr({q}, 2), '&'), lambda x: x <> '' AND NOT regexp_matches(url_decode(replace(x, '+', ' ')), '(?i)^(utm_[^=]*|fbclid|gclid|mc_eid|igshid|_ga|mkt_tok)(=|$)')),"
+    f" lambda x: {_FORM_SQL.format(x="split_part(x, '=', 1)")} || '=' || {_FORM_SQL.format(x="substr(x, length(split_part(x, '=', 1)) + 2)")})"
+)
+_PARTS_SQL = rf"""
+p AS (SELECT page_id, trim(url) AS url, regexp_extract(trim(url), '^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', ['scheme', 'host', 'path', 'query']) AS m, regexp_replace(url, '[?#].*$', '') || '?UTM_x=1&&q'
+        || CASE WHEN page_id % 5 = 0 THEN '' ELSE '=' || replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '#', '+') END || '&%67clid=2&b~*=%C3%A9%zz' AS s FROM pages),
+k AS (SELECT page_id, url, lower(m.scheme) AS scheme, lower(m.host) AS host, m.path AS path, substr(s, strpos(s, '?')) AS asked,
+        {_KEPT_SQL.format(q="m.query")} AS kept FROM p),
 n AS (SELECT *, lower(scheme || '://' || host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END) AS whole FROM k)"""
 
 
@@ -334,7 +342,8 @@ ORACLES = {
         q AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS x FROM p)
         SELECT page_id, {_SQUEEZED.format("replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '&mdash;', '—'), '&eacute;', 'é'), '&hellip;', '…'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', ' '), '&#39;', chr(39))")} AS first_text FROM q""",
     "link_normalise": f"""WITH {_PARTS_SQL} SELECT page_id, CASE WHEN regexp_matches(whole, '^/+$') THEN '/' ELSE rtrim(whole, '/') END AS ingest_key,
-        scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE lower(path) END AS story_key, CASE WHEN host <> '' AND rtrim(lower(path), '/') <> '' THEN host || rtrim(lower(path), '/') ELSE lower(url) END AS image_key, rtrim(lower(url), '/') AS client_key FROM n""",
+        scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE lower(path) END AS story_key, CASE WHEN host <> '' AND rtrim(lower(path), '/') <> '' THEN host || rtrim(lower(path), '/') ELSE lower(url) END AS image_key, rtrim(lower(url), '/') AS client_key,
+        rtrim(lower(scheme || '://' || host || path || '?' || array_to_string({_KEPT_SQL.format(q="asked")}, '&')), '/') AS search_key FROM n""",
     "link_dedupe_first": f"""WITH {_PARTS_SQL} SELECT min(page_id) AS pos, rtrim(whole, '/') AS link_key FROM n GROUP BY 2""",
     "title_fingerprint": f"""WITH {_DOCS_SQL}, t AS (SELECT *, {_KEY_SQL} AS title_key FROM d)
         SELECT pos, title_key, substr(sha256(title_key || '|' || lower(trim(source)) || '|' || lower(trim(lang))), 1, 32) AS fingerprint FROM t""",

@@ -12,7 +12,7 @@ from ..sources.keys import KeyLayout, keys_of
 from ..sources.store import Store, scratch
 from ..streaming.merge import affinity_state, start_affinity
 from .articles import _SIGNALS, _signals
-from .newsroom import _news
+from .newsroom import _ENTRIES, _entries, _news
 from .tables import table
 
 PLACE = ("Ottawa", "Ontario")
@@ -106,7 +106,20 @@ def affinity_restart(spark: SparkSession, d: str) -> DataFrame:
     return affinity_state(store)
 
 
-QUERIES = {f.__name__: f for f in (refresh_cycle, merge_buckets, brief_snapshot, affinity_restart)}
+def ingest_full_report(spark: SparkSession, d: str) -> DataFrame:
+    """A merge of documents as entries beside stories already stored; all keys of its report but the times."""
+    store = Store(spark, scratch(spark, "report"))
+    entries = _entries(spark, d).withColumns({"excerpt": F.lit(""), "title": F.concat(F.lit("Story "), F.md5("title"))}).withColumns({c: F.lit("") for c in ("coverage_city", "coverage_province")})
+    stored = entries.where("published_ts < '2024-04-30 22:30:00'")
+    store.replace(dedupe.with_keys(stored.select("pos", "title", "link", F.lit("s").alias("source"), "published_text")))
+    sources = entries.groupBy(F.coalesce("registry_key", F.lit("none")).alias("registry_key")).agg((F.min("pos") % 2 == 0).alias("ok"), F.concat(F.lit("stopped at "), F.min("pos")).alias("error"))
+    out = ingest.reported_ingest(entries, sources, store, F.lit("2024-05-01 01:00:00").cast("timestamp_ntz"))
+    joined = lambda t: t.startswith("array")
+    keys = [(k, t) for k, t in ingest.REPORT_KEYS if not k.endswith("seconds")]
+    return out.select(*[F.array_join(k, "|").alias(k) if joined(t) else F.col(k) for k, t in keys])
+
+
+QUERIES = {f.__name__: f for f in (refresh_cycle, merge_buckets, brief_snapshot, affinity_restart, ingest_full_report)}
 
 _TITLE_KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(split_part(text, chr(10), 1))), '[–—-]', ' ', 'g'), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"
 _BIT = lambda at: f"('0x' || substr(md5(key), {at}, 8))::BIGINT % 32768"
@@ -136,5 +149,17 @@ ORACLES = {
         SELECT turn::INTEGER AS turn, count(DISTINCT bucket)::INTEGER AS buckets_asked, (count(DISTINCT bucket) FILTER (admitted))::INTEGER AS buckets_opened, any_value("new") AS "new", any_value(stored_link) AS stored_link, any_value(batch_duplicate) AS batch_duplicate
         FROM o JOIN r USING (turn) GROUP BY 1""",
     "brief_snapshot": " UNION ALL ".join(f"SELECT * FROM ({_BRIEF_SQL.format(read=read, made=made, where=where)})" for read, made, where in ((1, 1, "true"), (2, 1, "true"), (3, 2, "true"), (4, 3, "lang = 'en'"))),
+    "ingest_full_report": f"""WITH {_ENTRIES}, k AS (SELECT * FROM f WHERE first AND home QUALIFY row_number() OVER (ORDER BY ts DESC, pos) <= 150),
+        s AS (SELECT DISTINCT 'https://' || CASE WHEN doc_id % 5 = 0 THEN 'www.bbc.com/' ELSE 'cbc.ca/' END || (doc_id % 700) AS key FROM documents WHERE TIMESTAMP '2024-05-01' - to_minutes(doc_id * 37 % 1000) < TIMESTAMP '2024-04-30 22:30:00'),
+        n AS (SELECT count(*) AS clustered, count(*) FILTER (key IN (SELECT key FROM s)) AS old, array_to_string((list(key ORDER BY pos) FILTER (key IN (SELECT key FROM s)))[:5], '|') AS olds,
+            array_to_string((list(key ORDER BY pos) FILTER (key NOT IN (SELECT key FROM s)))[:5], '|') AS news FROM k),
+        r AS (SELECT coalesce(CASE WHEN pos % 9 > 0 THEN lang END, 'none') AS key, min(pos) AS pos FROM e GROUP BY 1),
+        c AS (SELECT count(*) AS raw, count(*) FILTER (NOT first) AS again, count(*) FILTER (first AND home) AS home, count(*) FILTER (first AND NOT home) AS away, array_to_string((list(key ORDER BY pos) FILTER (NOT first))[:5], '|') AS agains FROM f),
+        x AS (SELECT count(*) AS asked, count(*) FILTER (pos % 2 = 0) AS got, array_to_string((list(key || ': stopped at ' || pos ORDER BY key) FILTER (pos % 2 = 1))[:12], '|') AS bad FROM r)
+        SELECT true AS ok, clustered - old AS inserted, '2024-05-01 01:00:00' AS last_ingested_at, asked AS feeds_requested, got AS feeds_fetched, asked - got AS feeds_fetch_failed, coalesce(bad, '') AS failed_feed_samples, raw AS raw_entries,
+          least(150, home) AS candidates, clustered, again AS pipeline_skipped_duplicate_link, 0::BIGINT AS pipeline_skipped_duplicate_content_hash, again + old AS skipped_duplicates, again AS skipped_duplicates_pipeline, 0::BIGINT AS merge_skipped_missing_link,
+          old AS merge_skipped_duplicate_db_link, 0::BIGINT AS merge_skipped_duplicate_batch_link, 0::BIGINT AS merge_skipped_duplicate_db_content_hash, 0::BIGINT AS merge_skipped_duplicate_batch_content_hash, old AS skipped_duplicates_merge,
+          again + old AS skipped_duplicates_total, coalesce(agains, '') AS sample_pipeline_skipped_links, '' AS sample_pipeline_skipped_content_hash, coalesce(olds, '') AS sample_merge_skipped, coalesce(news, '') AS sample_new_links_inserted,
+          home AS after_home_filter, away AS filtered_not_home, NULL::VARCHAR AS error FROM n, c, x""",
     "affinity_restart": f"WITH {_SIGNALS} SELECT * FROM w",
 }

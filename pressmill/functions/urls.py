@@ -70,10 +70,24 @@ def query(link: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(strip(link), _URL, 4), r"^\?", "")
 
 
+def form_decoded(c: Column) -> Column:
+    """A name or value of a query as text: + is a blank, escapes are bytes of UTF-8, a % without two hex digits stays."""
+    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def form_encoded(c: Column) -> Column:
+    """Text as a name or value of a query: blanks as +, letters, digits and _.-~ as they are, the rest as escapes."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
 def strip_tracking(link: Column) -> Column:
-    """Drops the fragment and tracking parameters and lower-cases scheme and host. Other parameters keep their spelling."""
-    names = "|".join(["utm_[^=]*", *TRACKING])
-    kept = F.array_join(F.filter(F.split(query(link), "&"), lambda p: (p != "") & ~p.rlike(f"(?i)^({names})(=|$)")), "&")
+    """Drops the fragment and tracking parameters, lower-cases scheme and host, and writes the other parameters anew from their decoded form."""
+    pair = lambda p: F.struct(
+        form_decoded(F.substring_index(p, "=", 1)).alias("name"), form_decoded(F.when(p.contains("="), F.substr(p, F.instr(p, "=") + 1)).otherwise("")).alias("value")
+    )
+    pairs = F.transform(F.filter(F.split(query(link), "&"), lambda p: p != ""), pair)
+    own = F.filter(pairs, lambda p: ~F.lower(p["name"]).rlike("^utm_") & ~F.lower(p["name"]).isin(*TRACKING))
+    kept = F.array_join(F.transform(own, lambda p: F.concat(form_encoded(p["name"]), F.lit("="), form_encoded(p["value"]))), "&")
     rebuilt = F.concat(scheme(link), F.lit("://"), authority(link), path(link), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
     return F.when(strip(link).rlike(_URL) & (authority(link) != ""), rebuilt).otherwise(strip(link))
 

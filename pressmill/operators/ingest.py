@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import media, naming, text, urls
@@ -96,11 +98,11 @@ def with_pictures(rows: DataFrame, budget: int = PAGE_BUDGET) -> DataFrame:
     )
 
 
-def report(verdicts: DataFrame, most: int = BATCH_MAX) -> DataFrame:
-    """One row: what entered, what each step took, what is left."""
+def report_columns(most: int = BATCH_MAX) -> list[Column]:
+    """What entered, what each step took, what is left: aggregates over verdicts."""
     of = lambda v: F.count_if(F.col("verdict") == v)
     kept = of("kept")
-    return verdicts.agg(
+    return [
         F.count("*").alias("raw_entries"),
         of("duplicate_link").alias("skipped_duplicate_link"),
         of("duplicate_content").alias("skipped_duplicate_content"),
@@ -108,7 +110,12 @@ def report(verdicts: DataFrame, most: int = BATCH_MAX) -> DataFrame:
         kept.alias("after_home_filter"),
         of("not_home").alias("filtered_not_home"),
         F.least(kept, F.lit(most)).alias("candidates"),
-    )
+    ]
+
+
+def report(verdicts: DataFrame, most: int = BATCH_MAX) -> DataFrame:
+    """One row of ``report_columns``."""
+    return verdicts.agg(*report_columns(most))
 
 
 def samples(verdicts: DataFrame, verdict: str, pos: str = "pos", n: int = SAMPLES) -> DataFrame:
@@ -214,6 +221,79 @@ def merge_ingest(items: DataFrame, store, as_of: Column, vectors: DataFrame | No
     return store.merge(dedupe.with_keys(made))
 
 
+#: Rows that a report names for each reason, and how much of their text.
+REPORT_REASONS = {
+    "missing_link": "merge_skipped_missing_link",
+    "stored_link": "merge_skipped_duplicate_db_link",
+    "batch_link": "merge_skipped_duplicate_batch_link",
+    "stored_content": "merge_skipped_duplicate_db_content_hash",
+    "batch_content": "merge_skipped_duplicate_batch_content_hash",
+}
+
+
+def batch_reasons(judged_rows: DataFrame, pos: str = "pos") -> DataFrame:
+    """Rows judged by ``merge_new`` with batch_duplicate told apart: batch_link where an earlier new row has the link, else batch_content."""
+    first = judged_rows.where("reason = 'new' and link_key is not null").select(F.col("link_key").alias("__link"), F.col(pos).alias("__first"))
+    joined = judged_rows.join(first, F.col("link_key") == F.col("__link"), "left")
+    told = F.when(F.col("__first") < F.col(pos), "batch_link").otherwise("batch_content")
+    return joined.withColumn("reason", F.when(F.col("reason") == "batch_duplicate", told).otherwise(F.col("reason"))).drop("__link", "__first")
+
+
+def _named_samples(rows: DataFrame, key: str, pos: str = "pos", n: int = SAMPLES) -> list[str]:
+    return [r["key"] for r in rows.orderBy(pos).limit(n).select(F.substring(F.coalesce(key, F.lit("")), 1, 220).alias("key")).collect()]
+
+
+def reported_ingest(items: DataFrame, fetches: DataFrame, store, as_of: Column, vectors: DataFrame | None = None, most: int = BATCH_MAX, name: str = "news") -> DataFrame:
+    """The periodic merge with its report as one row, REPORT_KEYS in order.
+
+    ``items`` is read once: the counts of each step are observed while its
+    verdicts are written, those of the clusters and of the merge while their
+    rows are; samples come from the written tables. ``fetches`` is the scan's
+    (registry_key, ok, error). A failure is a report too: ok is false, nothing
+    is stored and ``error`` says why.
+    """
+    spark, began = items.sparkSession, time.monotonic()
+    try:
+        seen, told, merged = Observation(), Observation(), Observation()
+        verdicts = store.staged(judged(naming.named(items)).observe(seen, *report_columns(most)), "verdicts")
+        scan = scan_report(fetches).first()
+        made = store.staged(dedupe.with_keys(stories(with_pictures(batch(verdicts, most=most)).drop("idx", "verdict", "link_key", "content_key"), as_of, vectors)).observe(told, F.count("*").alias("clustered")), "stories")
+        ready = time.monotonic()
+        of = lambda r: F.count_if(F.col("reason") == r)
+        reasons = store.staged(batch_reasons(store.judged(made, name)).observe(merged, *[of(r).alias(k) for r, k in REPORT_REASONS.items()], of("new").alias("inserted")), "judged")
+        store.append(reasons.where("reason = 'new'").drop("reason"), name)
+        step, counts = seen.get, merged.get
+        pipeline = step["skipped_duplicate_link"] + step["skipped_duplicate_content"]
+        at_merge = sum(counts[k] for k in REPORT_REASONS.values())
+        values = {
+            "ok": True, "inserted": counts["inserted"], "last_ingested_at": str(spark.range(1).select(as_of.cast("string")).first()[0]),
+            "feeds_requested": scan["feeds_requested"], "feeds_fetched": scan["feeds_fetched"], "feeds_fetch_failed": scan["feeds_failed"],
+            "failed_feed_samples": [f"{x['registry_key']}: {x['error']}" for x in scan["failed_samples"]],
+            "raw_entries": step["raw_entries"], "candidates": step["candidates"], "clustered": told.get["clustered"],
+            "pipeline_skipped_duplicate_link": step["skipped_duplicate_link"], "pipeline_skipped_duplicate_content_hash": step["skipped_duplicate_content"],
+            "skipped_duplicates": pipeline + at_merge, "skipped_duplicates_pipeline": pipeline, **{k: counts[k] for k in REPORT_REASONS.values()},
+            "skipped_duplicates_merge": at_merge, "skipped_duplicates_total": pipeline + at_merge,
+            "ingestion_time_seconds": round(ready - began, 4), "merge_wall_time_seconds": round(time.monotonic() - ready, 4),
+            "sample_pipeline_skipped_links": _named_samples(verdicts.where("verdict = 'duplicate_link'"), "link_key"),
+            "sample_pipeline_skipped_content_hash": _named_samples(verdicts.where("verdict = 'duplicate_content'"), "content_key"),
+            "sample_merge_skipped": _named_samples(reasons.where("reason != 'new'"), "link_key"),
+            "sample_new_links_inserted": _named_samples(reasons.where("reason = 'new'"), "link_key"),
+            "after_home_filter": step["after_home_filter"], "filtered_not_home": step["filtered_not_home"], "error": None,
+        }
+    except (PySparkException, ValueError) as e:
+        values = {"ok": False, "inserted": 0, "error": str(e)[:500]}
+    return spark.createDataFrame([tuple(values.get(k) for k, _ in REPORT_KEYS)], ", ".join(f"{k} {t}" for k, t in REPORT_KEYS))
+
+
+REPORT_KEYS = (
+    ("ok", "boolean"), ("inserted", "long"), ("last_ingested_at", "string"), ("feeds_requested", "long"), ("feeds_fetched", "long"), ("feeds_fetch_failed", "long"), ("failed_feed_samples", "array<string>"),
+    ("raw_entries", "long"), ("candidates", "long"), ("clustered", "long"), ("pipeline_skipped_duplicate_link", "long"), ("pipeline_skipped_duplicate_content_hash", "long"), ("skipped_duplicates", "long"),
+    ("skipped_duplicates_pipeline", "long"), *[(k, "long") for k in REPORT_REASONS.values()], ("skipped_duplicates_merge", "long"), ("skipped_duplicates_total", "long"),
+    ("ingestion_time_seconds", "double"), ("merge_wall_time_seconds", "double"), ("sample_pipeline_skipped_links", "array<string>"), ("sample_pipeline_skipped_content_hash", "array<string>"),
+    ("sample_merge_skipped", "array<string>"), ("sample_new_links_inserted", "array<string>"), ("after_home_filter", "long"), ("filtered_not_home", "long"), ("error", "string"),
+)
+
+
 def warm_up(rows: DataFrame) -> DataFrame:
     """The first stories of the feed, which are prepared ahead."""
     return rows.orderBy(F.desc(F.coalesce("rank_score", F.lit(0.0))), F.desc("id")).limit(WARM_UP)

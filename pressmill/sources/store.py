@@ -142,11 +142,19 @@ class Store:
         """
         if batch_id is not None and batch_id in self.batches(name):
             return self.spark.createDataFrame([], "reason string, n long")
-        found = found or self.look_up(keys.keys_of(batch), name)
-        judged = dedupe.merge_new(batch, keys.split(found.known)).checkpoint()
+        judged = self.judged(batch, name, found).checkpoint()
         self.append(judged.where("reason = 'new'").drop("reason"), name, batch_id)
         return judged.groupBy("reason").agg(F.count("*").alias("n"))
 
+    def judged(self, batch: DataFrame, name: str = "news", found: keys.Lookup | None = None) -> DataFrame:
+        """``batch`` with the reason for which each row would be added or not."""
+        found = found or self.look_up(keys.keys_of(batch), name)
+        return dedupe.merge_new(batch, keys.split(found.known))
+
+    def staged(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` written to a folder of no version, and read again: evaluated once."""
+        return self.spark.read.parquet(self._write(rows, f"staged-{name}"))
+
     def compact(self, name: str = "news") -> int:
         """Writes a table of many folders, and its keys, as one each. Batches taken in so far stay known by their last."""
         last = max(self.batches(name), default=None)

@@ -129,3 +129,20 @@ def test_containment(spark):
     pair = lambda a, b: cluster.contains_title(a, b)
     base = "abcdefghijklmnopqr"
     assert values(spark, pair, (base, base + "x"), (base[:17], base), (base, base + "y" * 30), ("", "")) == [True, False, False, False]
+
+
+def test_link_queries_are_written_anew(spark):
+    """Against the standard library's reading and writing of queries, on odd escapes."""
+    from urllib.parse import parse_qsl, urlencode, urlparse, urlunparse
+
+    from pressmill.functions import urls
+
+    def plain(u):
+        p = urlparse(u.strip())
+        kept = [(k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in urls.TRACKING]
+        return urlunparse((p.scheme, p.netloc.lower(), p.path, p.params, urlencode(kept), "")).lower()
+
+    queries = ["", "a", "a=", "=b", "a=b=c", "a=1&&b=2", "utm_x=1", "UTM_Source=1&b=%", "%75tm_a=1&c=%zz", "q=a+b%20c", "q=%C3%A9é", "x=%C3%28", "x=%E2%82&y=%ff", "x=~*!'()-._", "gclid=1&gclidx=2", "a%3Db=c%26d", "x=日本 語", "x=%2525", "x=100%&y", "t=a%00b", "x=/?:@"]
+    rows = [f"HTTPS://X.ca/P;v=1?{q}#frag" for q in queries] + ["https://x.ca", "https://x.ca/a?"]
+    got = spark.createDataFrame([(u,) for u in rows], "u string").select("u", urls.normalize_link(F.col("u")).alias("n")).collect()
+    assert [(r.u, r.n) for r in got] == [(u, plain(u)) for u in rows]

@@ -152,3 +152,29 @@ def test_jaccard_pairs_of_all_parts_equal_brute_force(spark):
     want = {(a, b) for a in words for b in words if a < b and len(words[a] & words[b]) >= 0.6 * len(words[a] | words[b])}
     got = [tuple(r) for r in articles.jaccard_pairs(spark, d).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_prefix_pairs_lose_none(spark):
+    """Random sets with common and rare tokens, repeats, tiny and empty ones, against all pairs; frequent tokens are split."""
+    import random
+
+    rng = random.Random(4)
+    common, rare = [f"c{k}" for k in range(12)], [f"r{k}" for k in range(60)]
+    sets = [sorted(set(rng.sample(common, rng.randint(0, 8)) + rng.sample(rare, rng.randint(0, 2)))) for _ in range(260)] + [[], ["c1"], ["c1"], ["c1", "c2"], ["r1"]]
+    df = spark.createDataFrame(list(enumerate(sets)), "pos long, words array<string>")
+    for least in (0.3, 0.38, 0.6, 0.9, 1.0):
+        similar = lambda a, b: bool(a and b) and len({*a} & {*b}) >= least * len({*a} | {*b}) - 1e-9  # noqa: B023, E731
+        want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and similar(a, b)}
+        got = [(r.a, r.b) for r in cluster.prefix_pairs(df, least).collect()]
+        assert len(got) == len(set(got)) and want <= set(got) and (least > 0.5 or len(got) < 260 * 259 / 2)
+
+
+def test_ratio_bound_is_never_below_the_ratio(spark):
+    from pressmill.functions import similarity
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcde éß9") for _ in range(rng.randint(0, 30)))
+    rows = [(a, b) for a, b in ((word(), word()) for _ in range(300))] + [("", ""), ("abc", ""), ("abc", "abc"), ("council votes", "council vote")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(similarity.ratio("a", "b").alias("r"), similarity.ratio_bound(similarity.letter_counts(F.col("a")), similarity.letter_counts(F.col("b"))).alias("m")).collect()
+    assert all(x.r <= x.m + 1e-9 for x in got) and sum(x.m < 0.6 for x in got) > 50
