@@ -5,14 +5,21 @@ its length and commas to its ancestors, the parent most; an ancestor's points
 are discounted by its link density. The best container is kept, and on the way
 up from it, to the outermost article or main or else to the body, those
 siblings that are text by their own length and link density; inside of an
-article or main only link lists go. Navigation, forms, notices, adverts and reader
-comments are left out by element and by name, wherever they stand.
+article or main only link lists go. Further articles beside the best one stay by
+their own score.
+
+Navigation, scripts and controls are left out by element. Forms, and elements
+whose whole names say notice, advert, sidebar or comments, are suspects: a
+suspect goes unless it holds the page's text itself. Lists of siblings of one
+kind that each name a reader are comments whatever they are called.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -26,18 +33,27 @@ INLINE = frozenset(
     "sub sup time tt u var wbr".split()
 )
 DROPPED = frozenset(
-    "script style noscript template head nav footer aside form button select textarea input iframe object embed svg canvas "
+    "script style noscript template head nav footer aside button select textarea input iframe object embed svg canvas "
     "dialog menu audio video map".split()
 )
 #: Start tags that end an open element of the same kind, and what bounds the search for it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BOUNDS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|"
-    r"share|sharing|social|related|recommended|sidebar|breadcrumbs?|menu|nav|navbar|navigation|footer|masthead|comments?|"
-    r"commentlist|disqus|respond|login|signup|pagination|pager|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+#: Names of what is no article text. A name of several parts counts only if each part is one of these or a plain word of layout.
+COMMENTS = frozenset("comment comments commentlist disqus respond responses reply replies discussion discussions".split())
+NOTICES = frozenset(
+    "ad ads advert adverts advertisement advertising banner cookie cookies consent notice popup modal newsletter related recommended "
+    "sidebar breadcrumb breadcrumbs menu nav navbar navigation footer masthead login signup pagination pager".split()
+)
+#: Names that also stand for layout, so that such an element may hold the article.
+ROOMY = frozenset("widget promo sponsor sponsored share sharing social subscribe toolbar".split())
+LAYOUT = frozenset(
+    "area bar block body bottom box button buttons col column container content form group header icon icons inner item items layer left "
+    "link links list main media message outer overlay page panel policy post posts right row section site slot stories text thread top unit "
+    "us user reader wrap wrapper".split()
 )
+#: What marks the writer of one comment among several.
+READERS = frozenset("author avatar user username commenter nick nickname reply reader".split())
 FAVOURED = {"article": 25.0, "main": 15.0}
 SIBLING_SHARE = 0.2
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -48,19 +64,41 @@ SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u061f\u0964][\"'\u201d\
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "points", "text_chars", "link_chars")
+    __slots__ = ("tag", "parent", "parts", "dropped", "suspect", "names", "reader", "points", "text_chars", "link_chars")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, suspect: str = "", names: str = ""):
         self.tag, self.parent, self.parts = tag, parent, []
+        self.suspect, self.names = suspect, names
+        self.reader = bool(READERS & set(names.lower().split()))
         self.dropped = dropped or (parent is not None and parent.dropped)
         self.points, self.text_chars, self.link_chars = FAVOURED.get(tag, 0.0), 0, 0
 
 
+@lru_cache(4096)
+def suspicion(names: str) -> str:
+    """comments, notice or roomy where an element's names say so, else nothing."""
+    found = set()
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[-_]+", name) if p and not p.isdigit()]
+        kinds = [("comments", COMMENTS), ("notice", NOTICES), ("roomy", ROOMY)]
+        known = [next((k for k, words in kinds if p in words), "layout" if p in LAYOUT else None) for p in parts]
+        if None not in known:
+            found |= {k for k in known if k != "layout"}
+    return next((k for k in ("comments", "notice", "roomy") if k in found), "")
+
+
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("#root", None, False)
         self.nodes = [self.root]
+        self.open: Counter = Counter()  # tags of the elements from the root to now, so that a stray end tag costs one look
+
+    def _to(self, node: Node) -> None:
+        """Closes all elements inside ``node``."""
+        while self.now is not node:
+            self.open[self.now.tag] -= 1
+            self.now = self.now.parent
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -68,48 +106,85 @@ class _Tree(HTMLParser):
         if tag in CLOSES:
             self._close(CLOSES[tag], BOUNDS[tag])
         given = {k: v or "" for k, v in attrs}
-        named = f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}"
+        names = f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".strip()
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-        unwanted = tag not in ("html", "body", "article", "main") and bool(UNWANTED.search(named))
-        header = tag == "header" and not self._within("article", "main")
-        node = Node(tag, self.now, tag in DROPPED or hidden or unwanted or header)
+        suspect = "" if tag in ("html", "body", "article", "main") or not names else suspicion(names)
+        header = tag == "header" and not self.open["article"] and not self.open["main"]
+        node = Node(tag, self.now, tag in DROPPED or hidden or header, suspect or ("roomy" if tag == "form" else ""), names)
         self.now.parts.append(node)
         self.nodes.append(node)
         if tag not in VOID:
             self.now = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.now.tag == tag and tag not in ("div", "p", "span", "a", "article", "section"):
-            self.now = self.now.parent
+            self._to(self.now.parent)
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         node = self.now
-        while node.parent is not None and node.tag != tag:
+        while node.tag != tag:
             node = node.parent
-        if node.parent is not None:
-            self.now = node.parent
+        self._to(node.parent)
 
     def handle_data(self, data):
         self.now.parts.append(data)
 
-    def _within(self, *tags) -> bool:
-        node = self.now
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
-
     def _close(self, tags, bounds):
+        if not any(self.open[t] for t in tags):
+            return
         node = self.now
         while node.parent is not None and node.tag not in bounds:
             if node.tag in tags:
-                self.now = node.parent
+                self._to(node.parent)
                 return
             node = node.parent
 
 
+def _judge(tree: _Tree) -> None:
+    """Drops suspects and lists of comments, but for those that hold the page's own text."""
+    plain, holds, inside = {}, set(), set()  # characters outside links; nodes that hold, and that are inside of, an article or main with text
+    for node in reversed(tree.nodes):
+        chars = 0
+        for part in node.parts:
+            if isinstance(part, str):
+                chars += len(part.strip())
+            elif not part.dropped:
+                chars += plain[part]
+                node.reader = node.reader or part.reader
+                if part in holds:
+                    holds.add(node)
+        plain[node] = 0 if node.tag == "a" else chars
+        if node.tag in FAVOURED and plain[node] and not node.dropped:
+            holds.add(node)
+    whole = plain[tree.root]
+    for node in tree.nodes:
+        alike: dict = {}
+        for part in node.parts:
+            if isinstance(part, Node) and not part.dropped and part.reader and plain[part] and part.tag not in INLINE and part.tag not in HEADINGS:
+                alike.setdefault((part.tag, part.names), []).append(part)
+        for same in alike.values():
+            size = sum(plain[x] for x in same)
+            if len(same) > 1 and whole - size >= TEXT_CHARS:
+                for x in same:
+                    x.suspect = "comments"
+    for node in tree.nodes:
+        if node.parent is not None and (node.parent.tag in FAVOURED or node.parent in inside):
+            inside.add(node)
+        if node.parent is not None and node.parent.dropped:
+            node.dropped = True
+        elif node.suspect and not node.dropped:
+            rest = whole - plain[node]
+            beside = tree.root in holds and node not in holds and node not in inside
+            if node.suspect == "roomy":
+                node.dropped = beside or plain[node] <= rest
+            else:
+                node.dropped = beside or rest >= min(TEXT_CHARS, plain[node] / 4)
+
+
 def _score(tree: _Tree) -> None:
     for node in reversed(tree.nodes):  # children stand after their parents
         own = 0
@@ -225,6 +300,7 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    _judge(tree)
     _score(tree)
     able = [n for n in tree.nodes if not n.dropped and n.tag not in INLINE and n.text_chars]
     if not able:
@@ -240,6 +316,12 @@ def main_text(html: str | None) -> str:
         at = next(k for k, n in enumerate(parent.parts) if n is child)
         before.append(_beside(parent.parts[:at], whole is not None, least, True))
         after.append(_beside(parent.parts[at + 1 :], whole is not None, least, False))
+    top = path[whole] if whole is not None else None
+    if top is not None and top.tag == "article" and top.parent is not None:
+        at = next(k for k, n in enumerate(top.parent.parts) if n is top)
+        more = lambda parts: [x for n in parts if isinstance(n, Node) and n.tag == "article" and not n.dropped and _value(n) >= least and 4 * n.link_chars < n.text_chars for x in (n, None)]
+        before.append(more(top.parent.parts[:at]))
+        after.append(more(top.parent.parts[at + 1 :]))
     kept: list = [x for part in reversed(before) for x in (*part, None)]
     kept += [best, None]
     kept += [x for part in after for x in (*part, None)]

@@ -53,7 +53,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(table(spark, sf_dir, "documents"))
+    return assign_shards(table(spark, sf_dir, "documents"), shard_bytes=sharding.QUERY_BYTES)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

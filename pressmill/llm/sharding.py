@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .shared import Workspace
 
 SHARD_BYTES = 64 << 20
+#: The query's limit: small enough that buckets split on every table it is run on.
+QUERY_BYTES = 256 << 10
 HASH_BITS = 60
 
 
@@ -107,7 +109,7 @@ s AS (SELECT d.depth, r.hash >> ({HASH_BITS} - d.depth) AS prefix, sum(r.n_bytes
 leaf AS (
   SELECT r.doc_id, r.n_bytes, r.hash, min(s.depth) AS depth
   FROM r JOIN s ON r.hash >> ({HASH_BITS} - s.depth) = s.prefix
-  WHERE s.n <= {SHARD_BYTES} GROUP BY ALL)
+  WHERE s.n <= {QUERY_BYTES} GROUP BY ALL)
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(hash >> ({HASH_BITS} - depth)), depth, '0') END AS shard, depth
 FROM leaf
 """

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -61,6 +62,42 @@ def test_page_drops_links_beside_the_body():
         assert got[0] == "Head" and len(got) == 21
 
 
+BLOCK = "Words of a plain paragraph, of some length, that reads on and on until its end. " * 3
+PARA, LINE = f"<p>{BLOCK}</p>", BLOCK.strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><form action=x><input name=a><div><h1>Head</h1>{PARA * 3}</div><button>Go</button></form></body>", ["Head", LINE, LINE, LINE]),
+        (f"<body><div class='post widget'><h1>Head</h1>{PARA * 3}</div><div class=widget><p>Buy, this, now, today.</p></div></body>", ["Head", LINE, LINE, LINE]),
+        (
+            f"<article><h1>Head</h1>{PARA}<div class=share-price><p>The price rose by two percent.</p></div><div class=related-work>{PARA}</div><div class=public-notice><p>Notice is given hereby.</p></div>"
+            f"<div class=promo-code-explainer>{PARA}</div><div class=share-buttons><p>Share it.</p></div></article>",
+            ["Head", LINE, "The price rose by two percent.", LINE, "Notice is given hereby.", LINE],
+        ),
+        (f"<body><article><h1>One</h1>{PARA * 2}</article><article><h1>Two</h1>{PARA * 2}</article><article><a href=x>More</a></article></body>", ["One", LINE, LINE, "Two", LINE, LINE]),
+        (f"<article><h1>Head</h1>{PARA * 2}<div class=replies><p>I, for one, disagree with all of it.</p></div></article><section class='discussion'><p>Me, too, and my dog.</p></section>", ["Head", LINE, LINE]),
+        (f"<main><h1>Head</h1>{PARA * 2}<ul class=x><li class=c><b class=author>Ann</b><p>I, for one, disagree.</p><li class=c><b class=author>Bob</b><p>So, do, I. Really.</p></ul></main>", ["Head", LINE, LINE]),
+        (f"<body><div id=cookie-notice>{PARA * 3}</div><div><h1>Head</h1>{PARA}</div></body>", ["Head", LINE]),
+        (f"<article>{PARA}</article><div class=comments>{PARA * 9}</div>", [LINE]),
+        (f"<article><h1>Head</h1><div class=entry><time>1</time>{PARA}</div><div class=entry><time>2</time>{PARA}</div></article>", ["Head", "1", LINE, "2", LINE]),
+        (f"<body><div class=related-posts><ul><li><a href=a>A</a></ul></div><div class=sidebar-left>{PARA}</div><div><h2>Head</h2>{PARA * 4}</div></body>", ["Head", LINE, LINE, LINE, LINE]),
+        (f"<body><form><div class=newsletter-box><p>Join, now, and win.</p></div><main>{PARA}</main></form></body>", [LINE]),
+        (f"<body><main>{PARA}<form><p>Your name, please.</p></form></main><form><p>Search, here.</p></form></body>", [LINE]),
+    ],
+)
+def test_suspects_go_unless_they_hold_the_text(page, want):
+    assert main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>" * 100_000 + "x", ("<b><p>" + "</i></q>") * 10_000 + "x", ("<div><li><b>x</i>") * 10_000, "<ul>" + "<li><b>x" * 20_000])
+def test_stray_tags_cost_one_look_each(page):
+    began = time.process_time()
+    assert main_text(page)
+    assert time.process_time() - began < 10
+
+
 def test_page_frames(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "<p>x</p>"), (1, None)], "page_id long, html string")
     assert sorted((r.page_id or 0, r.text) for r in extract_main_text(df).collect()) == [(0, "x"), (1, ""), (1, ""), (2, "")]
