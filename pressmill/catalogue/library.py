@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedupe, feed, ingest
+from ..sources.fetch import SCHEMA, FeedSource
 from ..sources.keys import KeyLayout, keys_of
 from ..sources.store import Store, scratch
 from ..streaming.merge import affinity_state, start_affinity
@@ -24,6 +26,7 @@ REQUESTS = (
 #: Fetches of the merge, each with the last hour of the one before.
 FETCHES = (("2024-01-01", "2024-01-11"), ("2024-01-10 23:00:00", "2024-01-21"), ("2024-01-20 23:00:00", "2024-02-01"))
 BUCKETS = 64
+FEEDS = 16
 
 
 def refresh_cycle(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +122,23 @@ def ingest_full_report(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[F.array_join(k, "|").alias(k) if joined(t) else F.col(k) for k, t in keys])
 
 
-QUERIES = {f.__name__: f for f in (refresh_cycle, merge_buckets, brief_snapshot, affinity_restart, ingest_full_report)}
+def feed_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as the bodies of FEEDS feeds, fetched as a stream beside one that fails; what each gave."""
+    place = scratch(spark, "feeds")
+    line = F.regexp_replace(F.coalesce("html", F.lit("")), r"[\r\n]", " ")
+    pages = table(spark, d, "pages").select(line.alias("line"), (F.col("page_id") % FEEDS).alias("feed"))
+    pages.repartition(FEEDS, "feed").write.partitionBy("feed").text(f"{place}/bodies")
+    files = spark.read.text(f"{place}/bodies").select("feed", F.input_file_name().alias("file")).distinct().collect()  # one for each feed
+    feeds = [(f"feed-{r['feed']}", r["file"]) for r in files] + [("feed-gone", f"{files[0]['file']}.gone" if files else "file:///gone")]
+    spark.dataSource.register(FeedSource)
+    rounds = spark.readStream.format("feeds").option("feeds", json.dumps(feeds)).option("timeout", "30").load()
+    rounds.writeStream.format("parquet").option("path", f"{place}/fetched").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(SCHEMA).parquet(f"{place}/fetched")
+    n_lines = F.length("body") - F.length(F.replace("body", F.lit("\n")))
+    return got.select("registry_key", "ok", "stage", F.col("error").isNotNull().alias("failed"), F.coalesce(n_lines, F.lit(0)).alias("n_pages"), F.coalesce(F.length("body"), F.lit(0)).alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (refresh_cycle, merge_buckets, brief_snapshot, affinity_restart, ingest_full_report, feed_rounds)}
 
 _TITLE_KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(split_part(text, chr(10), 1))), '[–—-]', ' ', 'g'), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"
 _BIT = lambda at: f"('0x' || substr(md5(key), {at}, 8))::BIGINT % 32768"
@@ -161,5 +180,7 @@ ORACLES = {
           old AS merge_skipped_duplicate_db_link, 0::BIGINT AS merge_skipped_duplicate_batch_link, 0::BIGINT AS merge_skipped_duplicate_db_content_hash, 0::BIGINT AS merge_skipped_duplicate_batch_content_hash, old AS skipped_duplicates_merge,
           again + old AS skipped_duplicates_total, coalesce(agains, '') AS sample_pipeline_skipped_links, '' AS sample_pipeline_skipped_content_hash, coalesce(olds, '') AS sample_merge_skipped, coalesce(news, '') AS sample_new_links_inserted,
           home AS after_home_filter, away AS filtered_not_home, NULL::VARCHAR AS error FROM n, c, x""",
+    "feed_rounds": f"""SELECT 'feed-' || (page_id % {FEEDS}) AS registry_key, true AS ok, 'done' AS stage, false AS failed, count(*)::INTEGER AS n_pages, sum(length(coalesce(html, '')) + 1)::INTEGER AS n_chars FROM pages GROUP BY page_id % {FEEDS}
+        UNION ALL SELECT 'feed-gone', false, 'fetch', true, 0, 0""",
     "affinity_restart": f"WITH {_SIGNALS} SELECT * FROM w",
 }
