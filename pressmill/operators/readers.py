@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import client_link, strip
 from .classify import FOLLOWED, followed_topics
+from .components import ensure_checkpoint_dir
 from .dedupe import latest
 
 # How much a signal adds, and the most a category holds.
@@ -51,13 +52,25 @@ def search_interest(searches: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def rerank(articles: DataFrame, weights: DataFrame, pos: str = "pos") -> DataFrame:
-    """Articles of each reader by weight of their category, ties in feed order; adds affinity and place."""
+    """Articles of each reader by weight of their category, ties in feed order; adds affinity and place.
+
+    The rows are dealt by ranges of that order, so a reader with very many is
+    spread over tasks: a place is the place among the reader's rows of one
+    range and the number of those in the ranges before.
+    """
+    ensure_checkpoint_dir(articles.sparkSession)
     keyed = articles.withColumn("__key", category_key(F.col("category")))
     joined = keyed.join(weights.withColumnRenamed("category", "__key"), ["user_id", "__key"], "left").withColumn(
         "affinity", F.coalesce("weight", F.lit(0.0))
-    )
-    order = Window.partitionBy("user_id").orderBy(F.desc("affinity"), pos)
-    return joined.withColumn("place", F.row_number().over(order)).drop("__key", "weight")
+    ).drop("__key", "weight")
+    ranged = joined.repartitionByRange("user_id", F.desc("affinity"), pos).withColumn("__range", F.spark_partition_id()).checkpoint()
+    own = Window.partitionBy("user_id", "__range").orderBy(F.desc("affinity"), pos)
+    earlier = Window.partitionBy("__user").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(F.col("user_id").alias("__user"), F.col("__range").alias("__at")).agg(F.count("*").alias("__n"))
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    placed = ranged.withColumn("__place", F.row_number().over(own))
+    both = placed.join(sizes, (placed["__range"] == sizes["__at"]) & placed["user_id"].eqNullSafe(sizes["__user"]))
+    return both.withColumn("place", (F.col("__place") + F.col("__before")).cast("int")).drop("__range", "__user", "__at", "__n", "__before", "__place")
 
 
 def unseen(articles: DataFrame, seen: DataFrame) -> DataFrame:

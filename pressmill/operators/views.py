@@ -137,16 +137,19 @@ def queue(view: DataFrame, seen: DataFrame, current: str | None, show_seen: bool
     """
     marked = readers.reading_queue(view, seen, pos)
     here = urls.client_link(F.col("link")) == (current or "")
-    rows = F.struct(pos, "link", "is_seen", here.alias("here"))
-    own = marked.groupBy("user_id").agg(F.sort_array(F.collect_list(rows)).alias("rows"))  # one page a reader
-    rows_, spot = F.col("rows"), lambda x: F.array_position(F.transform(x, lambda r: r["here"]), True)
+    spots = marked.groupBy("user_id").agg(
+        F.min(F.when(here, F.col(pos))).alias("here"),
+        F.min(F.when(~F.col("is_seen"), F.col(pos))).alias("first"),
+        F.min(F.when(here & ~F.col("is_seen"), F.col(pos))).alias("upto"),
+    )
     if show_seen:
-        return own.select("user_id", F.lit("show_seen_browse").alias("reason"), F.greatest(spot(rows_) - 1, F.lit(0)).cast("int").alias("at"), F.array().cast("array<string>").alias("history"))
-    fresh = F.filter(rows_, lambda r: ~r["is_seen"])
-    upto = spot(fresh).cast("int")
-    reason = F.when(F.size(fresh) == 0, "no_unseen").when(upto > 0, "preserve_unseen_path").otherwise("seed_first_unseen")
-    links = F.transform(F.slice(fresh, F.lit(1), F.when(upto > 0, upto).otherwise(F.lit(1))), lambda r: r["link"])
-    return own.select("user_id", reason.alias("reason"), F.greatest(F.size(links) - 1, F.lit(0)).alias("at"), links.alias("history"))
+        at = marked.join(spots, "user_id").groupBy("user_id").agg(F.count_if(F.col(pos) < F.col("here")).cast("int").alias("at"))
+        return at.select("user_id", F.lit("show_seen_browse").alias("reason"), "at", F.array().cast("array<string>").alias("history"))
+    walked = marked.where("not is_seen").join(spots, "user_id").where(F.col(pos) <= F.coalesce("upto", "first"))
+    history = walked.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("at"), "link"))), lambda r: r["link"]).alias("history"))  # the answer itself
+    reason = F.when(F.col("first").isNull(), "no_unseen").when(F.col("upto").isNotNull(), "preserve_unseen_path").otherwise("seed_first_unseen")
+    out = spots.join(history, "user_id", "left").withColumn("history", F.coalesce("history", F.array().cast("array<string>")))
+    return out.select("user_id", reason.alias("reason"), F.greatest(F.size("history") - 1, F.lit(0)).alias("at"), "history")
 
 
 def reader_signals(saved: DataFrame, weights: DataFrame) -> DataFrame:

@@ -41,8 +41,9 @@ class _Feeds:
         self.feeds = [tuple(f) for f in json.loads(options.get("feeds", "[]"))]
         self.timeout, self.every = float(options.get("timeout", "9")), float(options.get("every", "150"))
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield fetch(partition.key, partition.url, self.timeout)
+    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+        if partition is not None:  # a scan of no feeds
+            yield fetch(partition.key, partition.url, self.timeout)
 
 
 class _Reader(_Feeds, DataSourceReader):

@@ -196,3 +196,27 @@ def test_affinity_stream_goes_on_from_its_checkpoint(spark, tmp_path):
         start_affinity(spark.readStream.schema(schema).parquet(str(tmp_path / "inbox")), store, str(tmp_path / "checkpoint"), None).awaitTermination(120)
     want = readers.affinity(spark.createDataFrame([r for p in parts for r in p], schema))
     assert sorted(map(tuple, affinity_state(store).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_feed_source_in_batch_and_rounds(spark, tmp_path):
+    """Each feed is a row, a missing one and a silent one too; a restarted stream fetches its next round."""
+    import json
+    import socket
+
+    from pressmill.sources.fetch import FeedSource
+
+    (tmp_path / "a.xml").write_text(FEED)
+    with socket.socket() as silent:
+        silent.bind(("127.0.0.1", 0))
+        silent.listen()
+        feeds = [("a", f"file://{tmp_path}/a.xml"), ("gone", f"file://{tmp_path}/gone.xml"), ("silent", f"http://127.0.0.1:{silent.getsockname()[1]}/")]
+        spark.dataSource.register(FeedSource)
+        load = lambda reader, **more: reader.format("feeds").options(feeds=json.dumps(feeds), timeout="1", **more).load()
+        rows = {r.registry_key: r for r in load(spark.read).collect()}
+        assert rows["a"].ok and rows["a"].body == FEED and rows["a"].stage == "done"
+        assert not rows["gone"].ok and not rows["silent"].ok and "timed out" in rows["silent"].error and rows["gone"].body is None
+        for n in (1, 2):
+            rounds = load(spark.readStream, every="0.01").drop("elapsed_ms").writeStream.format("parquet")
+            rounds.option("path", str(tmp_path / "got")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination(120)
+            assert spark.read.parquet(str(tmp_path / "got")).groupBy("registry_key").count().where(f"count = {n}").count() == 3
+    assert spark.read.format("feeds").load().count() == 0
