@@ -11,7 +11,11 @@ that the mark which decides a base pattern is not among them.
 Labels come from validation: a candidate on a base span of its kind teaches
 yes, with its deciding mark hidden; one that is shown to be something else
 teaches no (see ``_taught``); all others teach nothing, as what the base
-patterns miss may be among them, and are what the model judges. Each kind gets
+patterns miss may be among them, and are what the model judges. Numbers that
+fail a checksum or a range, and handles without a domain, show what words and
+formats such numbers and handles have besides; those that pass by chance have
+the same. So the trees are not told of checksum, range or domain: no feature
+restates a label, and they judge by format and context alone. Each kind gets
 boosted trees of depth DEPTH over the table of its distinct feature vectors
 with their counts, of all documents; the features' values bound that table.
 Half of the documents, by hash, fit the trees, the other half gives the
@@ -57,8 +61,12 @@ WIDER = NEEDS | {"email": r"@|(?i)[\[({]\x20?at\x20?[\])}]"}
 DEPTH = 3
 TREES = 40
 RATE = 0.3
-PRECISION = 0.995
-FEATURES = ("digits", "groups", "widest", "dots", "hyphens", "blanks", "parens", "luhn", "octets", "tail", "before", "after", "cue")
+PRECISION = 0.98
+FEATURES = ("digits", "groups", "widest", "dots", "hyphens", "blanks", "parens", "before", "after", "cue", "word")
+#: The share of numbers that pass a kind's check by chance: one last digit in ten is the Luhn sum's.
+CHANCE = {"card": 0.1}
+#: The word before a candidate is one of so many hash values.
+WORDS = 16
 _MATCH = "array<struct<start: int, end: int, s: string, left: string, right: string>>"
 
 
@@ -156,6 +164,7 @@ def _features(s: Column, left: Column, right: Column) -> dict[str, Column]:
     """Format and context of a candidate in plain form as small integers; their product bounds the table of vectors."""
     digits = F.regexp_replace(s, "[^0-9]", "")
     groups = F.filter(F.split(s, "[^0-9]+"), lambda g: g != "")
+    word = F.lower(F.regexp_extract(left, r"(\p{L}+)[^\p{L}\p{N}]{0,4}$", 1))
     count = lambda mark, most: F.least(F.length(s) - F.length(F.translate(s, mark, "")), F.lit(most))
     kind_of = lambda c: (
         F.when(c.rlike(r"[\x20\x09-\x0D]"), 0).when(c == "", 0).when(c.rlike(r"[\p{L}]"), 1).when(c.rlike(r"[=\"'#/_]"), 2).otherwise(3)
@@ -168,12 +177,10 @@ def _features(s: Column, left: Column, right: Column) -> dict[str, Column]:
         "hyphens": count("-", 3),
         "blanks": count(" ", 3),
         "parens": (F.instr(s, "(") > 0).cast("int"),
-        "luhn": F.when(F.length(digits).between(12, 20), _luhn(digits)).otherwise(False).cast("int"),
-        "octets": s.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$").cast("int"),
-        "tail": s.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,10}$").cast("int"),
         "before": kind_of(F.right(left, F.lit(1))),
         "after": kind_of(F.left(right, F.lit(1))),
         "cue": F.lower(left).rlike(r"(tel|phone|call|fax|mobile|cell|card|visa|mail|contact|ip|address|host|server|reach|at|on)[^\p{L}]{0,4}$").cast("int"),
+        "word": F.when(word == "", 0).otherwise(1 + F.pmod(F.xxhash64(word), F.lit(WORDS - 1))).cast("int"),
     }
 
 
@@ -196,17 +203,24 @@ def _taught(own: Column, touched: Column, refuted: Column) -> Column:
     return F.when(own, 1).when(touched | refuted, 0)
 
 
+#: Digits that a candidate may have. Those of cards are a card's own, so that their number alone decides nothing.
+DIGITS = {"card": (14, 19), "phone": (7, 24)}
+
+
+def _proposed(docs: DataFrame) -> DataFrame:
+    """``docs`` with an array column more_<kind> of the generators' spans."""
+    return docs.withColumns({f"more_{k}": _spans(F.col("text"), GENERATORS[k], WIDER[k]) for k in KINDS})
+
+
 def _candidates(docs: DataFrame) -> DataFrame:
     """A row for each candidate: row, kind, start, end, touched, label (null: none), fold and its features."""
     parts = []
     for kind in KINDS:
-        found = docs.where(F.col("text").rlike(WIDER[kind])).select(
-            "row", *[f"base_{k}" for k in KINDS], F.explode(_spans(F.col("text"), GENERATORS[kind], WIDER[kind])).alias("m")
-        )
-        if kind in ("card", "phone"):
-            found = found.where(F.length(F.regexp_replace("m.s", "[^0-9]", "")).between(7, 24))
+        found = docs.select("row", *[f"base_{k}" for k in KINDS], F.explode(f"more_{kind}").alias("m"))
+        if kind in DIGITS:
+            found = found.where(F.length(F.regexp_replace("m.s", "[^0-9]", "")).between(*DIGITS[kind]))
         if kind == "ip":
-            found = found.where(F.length("m.s") - F.length(F.translate("m.s", ".", "")) >= 2)
+            found = found.where(F.size(F.split(_plain(kind, F.col("m.s")), r"\.")) == 4)
         meets = lambda k: F.exists(f"base_{k}", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start")))
         touched = F.lit(False)
         for k in KINDS:
@@ -220,7 +234,9 @@ def _candidates(docs: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     out = out.withColumn("fold", F.pmod(F.xxhash64("row.text_hash"), F.lit(2)).cast("int"))
-    return out.withColumns(_features(F.col("s"), F.col("left"), F.col("right"))).drop("s", "left", "right", "own")
+    # An address is known by its dots: those of emails are not shown to the trees.
+    out = out.withColumns(_features(F.col("s"), F.col("left"), F.col("right"))).withColumn("dots", F.when(F.col("kind") == "email", 0).otherwise(F.col("dots")))
+    return out.drop("s", "left", "right", "own")
 
 
 class Trees:
@@ -275,10 +291,13 @@ class Trees:
         return total
 
 
-def _threshold(z: np.ndarray, yes: np.ndarray, n: np.ndarray) -> float | None:
-    """The least score at which the share of true ones among those at or above it, with one failure more, is PRECISION."""
+def _threshold(z: np.ndarray, yes: np.ndarray, n: np.ndarray, chance: float = 1.0) -> float | None:
+    """The least score at which the share of true ones among those at or above it, with one failure more, is PRECISION.
+
+    Of the others only a share ``chance`` would come before the model, as the rest fail the check.
+    """
     order = np.argsort(-z, kind="stable")
-    precision = np.cumsum(yes[order]) / (np.cumsum(n[order]) + 1.0)
+    precision = np.cumsum(yes[order]) / (np.cumsum(yes[order] + chance * (n - yes)[order]) + 1.0)
     last = np.append(z[order][1:] != z[order][:-1], True)  # equal scores stand together
     good = np.flatnonzero((precision >= PRECISION) & last)
     return float(z[order][good[-1]]) if len(good) else None
@@ -302,7 +321,7 @@ def _models(candidates: DataFrame) -> dict[str, tuple[Trees, float]]:
         if any(len(part) == 0 or not 0 < part[:, -1].sum() < part[:, -2].sum() for part in (fits, tests)):
             continue
         model = Trees().fit(fits[:, 1:-2], fits[:, -1].astype(float), fits[:, -2].astype(float))
-        least = _threshold(model.scores(tests[:, 1:-2]), tests[:, -1].astype(float), tests[:, -2].astype(float))
+        least = _threshold(model.scores(tests[:, 1:-2]), tests[:, -1].astype(float), tests[:, -2].astype(float), CHANCE.get(kind, 1.0))
         if least is not None:
             out[kind] = (model, least)
     return out
@@ -324,9 +343,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     space = Workspace(docs.sparkSession, "pii")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     slim = slim.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
-    found = base_spans(slim, "text")
-    marks = space.keep(found.select("row", *[F.transform(f"base_{k}", _named(k)).alias(f"base_{k}") for k in KINDS]), "base")
-    candidates = space.keep(_candidates(found), "candidates")
+    found = _proposed(base_spans(slim, "text"))
+    marks = space.keep(found.select("row", *[F.transform(f"base_{k}", _named(k)).alias(f"base_{k}") for k in KINDS], *[f"more_{k}" for k in KINDS]), "spans")
+    candidates = space.keep(_candidates(marks), "candidates")
+    marks = marks.drop(*[f"more_{k}" for k in KINDS])
     models = _models(candidates)
     base = F.concat(*[F.col(f"base_{k}") for k in KINDS])
     if models:
