@@ -96,10 +96,12 @@ def _events_as_articles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_new_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A batch against the store, rows for each reason."""
-    keyed = dedupe.with_keys(_events_as_articles(spark, d))
+    """A batch against all that was stored before, rows for each reason."""
+    hour = F.date_format("ts", "HH")
+    rows = _events_as_articles(spark, d).withColumns({"link": F.concat_ws("/", "link", hour), "title": F.concat_ws(" ", "title", hour)})
+    keyed = dedupe.with_keys(rows)
     split = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
-    merged = dedupe.merge_new(keyed.where(F.col("ts") >= split), keyed.where(F.col("ts") < split).where("pos % 3 = 0"))
+    merged = dedupe.merge_new(keyed.where(F.col("ts") >= split), keyed.where(F.col("ts") < split))
     return merged.groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -212,6 +214,14 @@ def page_paragraph(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.plain(media.first_paragraph(F.col("html"))).alias("first_text"))
 
 
+def page_description(spark: SparkSession, d: str) -> DataFrame:
+    """H7: what a page says of itself: its title as one of three meta tags, short ones passed over, else its first paragraph."""
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    kind = F.get(F.array(*[F.lit(x) for x in ('property="og:description"', 'name="description"', "name='twitter:description'", 'name="other"')]), (F.col("page_id") % 4).cast("int"))
+    html = F.concat(F.lit("<meta "), kind, F.lit(' content=" '), F.replace(title, F.lit('"'), F.lit("")), F.lit('">'), "html")
+    return table(spark, d, "pages").select("page_id", media.page_description(html, text.plain(media.first_paragraph(F.col("html")))).alias("said"))
+
+
 def page_media(spark: SparkSession, d: str) -> DataFrame:
     """H2, H10, H11 and H4, H5 in part: pictures and videos of fragments built around the pages' links; see Open in the README."""
     u = F.regexp_replace("url", "[?#].*$", "")
@@ -288,7 +298,7 @@ QUERIES = {
     for f in (
         link_normalise, link_dedupe_first, title_fingerprint, title_client, image_dedupe, source_dedupe, greedy_dedupe, merge_new_rows, latest_summary,
         region_infer, topic_keyword, topic_counts, ingest_counts, followed_topics, jaccard_pairs, containment_pairs, lexical_clusters, cosine_pairs,
-        cosine_components, sentence_split, summary_clamp, summary_display, summary_fill, page_paragraph, page_media, date_parse, affinity_weights,
+        cosine_components, sentence_split, summary_clamp, summary_display, summary_fill, page_paragraph, page_description, page_media, date_parse, affinity_weights,
         affinity_rerank, search_interest, seen_unseen, saved_latest, state_json,
     )
 }
@@ -324,6 +334,10 @@ def _clamp_sql(s: str) -> str:
 
 _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 
+_PARAGRAPH_SQL = rf"""p AS (SELECT page_id, regexp_extract(html, '(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|<p[\s>]|$)', 1) AS x FROM pages),
+        q AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS x FROM p),
+        first AS (SELECT page_id, {_SQUEEZED.format("replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '&mdash;', '—'), '&eacute;', 'é'), '&hellip;', '…'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', ' '), '&#39;', chr(39))")} AS first_text FROM q)"""
+
 ORACLES = {
     "greedy_dedupe": """WITH RECURSIVE a AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id AS pos, doc_id * 7919 % 300 AS link, doc_id * doc_id % 397 AS content FROM documents),
         r AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS pos, []::BIGINT[] AS links, []::BIGINT[] AS contents, FALSE AS kept
@@ -338,9 +352,9 @@ ORACLES = {
         p AS (SELECT *, array_to_string({_SENTENCES.format('body')}[:2], ' ') AS two FROM t), c AS (SELECT *, {_clamp_sql('two')} AS lead, {_clamp_sql('body')} AS whole FROM p)
         SELECT pos, CASE WHEN length(body) >= 40 AND length(lead) < 180 AND length(body) > length(lead) THEN whole WHEN length(body) >= 40 THEN lead WHEN length(body) >= 15 THEN whole ELSE {_clamp_sql("CASE WHEN title = '' THEN 'News update.' ELSE " + _SQUEEZED.format('title') + " END")} END AS summary,
           CASE WHEN length(body) < 15 THEN 'title_fallback' WHEN contains(ex, '<') AND contains(ex, '>') THEN 'html' ELSE 'rss' END AS summary_source FROM c""",
-    "page_paragraph": rf"""WITH p AS (SELECT page_id, regexp_extract(html, '(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|<p[\s>]|$)', 1) AS x FROM pages),
-        q AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS x FROM p)
-        SELECT page_id, {_SQUEEZED.format("replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '&mdash;', '—'), '&eacute;', 'é'), '&hellip;', '…'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', ' '), '&#39;', chr(39))")} AS first_text FROM q""",
+    "page_paragraph": rf"""WITH {_PARAGRAPH_SQL} SELECT page_id, first_text FROM first""",
+    "page_description": rf"""WITH {_PARAGRAPH_SQL}, t AS (SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), chr(34), ''), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages)
+        SELECT page_id, CASE WHEN page_id % 4 < 3 AND length(title) >= 60 THEN substr(title, 1, 1800) WHEN length(first_text) >= 60 THEN substr(first_text, 1, 1800) ELSE '' END AS said FROM first JOIN t USING (page_id)""",
     "link_normalise": f"""WITH {_PARTS_SQL} SELECT page_id, CASE WHEN regexp_matches(whole, '^/+$') THEN '/' ELSE rtrim(whole, '/') END AS ingest_key,
         scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE lower(path) END AS story_key, CASE WHEN host <> '' AND rtrim(lower(path), '/') <> '' THEN host || rtrim(lower(path), '/') ELSE lower(url) END AS image_key, rtrim(lower(url), '/') AS client_key,
         rtrim(lower(scheme || '://' || host || path || '?' || array_to_string({_KEPT_SQL.format(q="asked")}, '&')), '/') AS search_key FROM n""",
@@ -353,7 +367,7 @@ ORACLES = {
         SELECT pos, CASE WHEN row_number() OVER (PARTITION BY page, image ORDER BY pos) > 1
           THEN 'placeholder-' || (('0x' || substr(md5(source || '|' || pos), 1, 8))::BIGINT % 4) ELSE image END AS image_shown FROM i""",
     "source_dedupe": "SELECT min(p_partkey) AS pos, trim(p_name) AS feed_url FROM part WHERE p_size % 7 <> 0 GROUP BY 2",
-    "merge_new_rows": """WITH e AS (SELECT event_id, ts, user_id || '/' || event_type AS k FROM events), s AS (SELECT DISTINCT k FROM e WHERE ts < TIMESTAMP '2024-01-20' AND event_id % 3 = 0),
+    "merge_new_rows": """WITH e AS (SELECT event_id, ts, user_id || '/' || event_type || '/' || hour(ts) AS k FROM events), s AS (SELECT DISTINCT k FROM e WHERE ts < TIMESTAMP '2024-01-20'),
         b AS (SELECT k, event_id FROM e WHERE ts >= TIMESTAMP '2024-01-20'), j AS (SELECT CASE WHEN k IN (SELECT k FROM s) THEN 'stored_link'
           WHEN row_number() OVER (PARTITION BY k ORDER BY event_id) = 1 THEN 'new' ELSE 'batch_duplicate' END AS reason FROM b) SELECT reason, count(*) AS n FROM j GROUP BY 1""",
     "latest_summary": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",

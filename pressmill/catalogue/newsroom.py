@@ -243,17 +243,16 @@ def topics_toggled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Texts cut to three sentences and 55 words, calls to read on and vague endings out."""
+    """Texts without vague endings, without calls to read on, and cut to three sentences and 55 words."""
     c = table(spark, d, "conversations").where("text is not null and text != ''")
     said = F.concat("text", dealt((" Read more: now.", " Officials say more details may follow.", " Stay tuned.", ""), F.col("turn")))
-    s = F.array_join(F.slice(text.sentences(said), 1, 3), " ")
-    return c.select("conv_id", "turn", F.size(text.sentences(wording.without_vague_end(said))).alias("n_kept"), F.length(wording.without_calls(said)).alias("n_chars"), (F.size(text.sentences(wording.clean_summary(s))) <= 3).alias("short"))
+    return c.select("conv_id", "turn", wording.without_vague_end(said).alias("ended"), wording.without_calls(said).alias("uncalled"), wording.clean_summary(said).alias("clean"))
 
 
 def brackets_decoded(spark: SparkSession, d: str) -> DataFrame:
     """H1: text of fragments whose marks and letters are written as references."""
     docs = table(spark, d, "documents").where("text is not null")
-    made = F.concat(F.lit("<p>"), F.replace(F.replace(F.replace(F.substring("text", 1, 300), F.lit("&"), F.lit("&amp;amp;")), F.lit("é"), F.lit("&eacute;")), F.lit("e"), F.lit("&#x65;")), F.lit("</p> it&#8217;s &bogus; &#150;"))
+    made = F.concat(F.lit("<p>"), F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;amp;")), F.lit("é"), F.lit("&eacute;")), F.lit("e"), F.lit("&#x65;")), F.lit("</p> it&#8217;s &bogus; &#150;"))
     return docs.select("doc_id", text.plain(made).alias("plain"))
 
 
@@ -356,8 +355,17 @@ ORACLES = {
         SELECT user_id, coalesce(n, 0) AS n_saved, coalesce(s, FALSE) AS has_signal FROM p FULL JOIN g USING (user_id)""",
     "topics_toggled": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_brand || ',' || p_type || ',' || p_name END AS topics FROM part",
     "summary_rules": r"""WITH c AS (SELECT conv_id, turn, text || [' Read more: now.', ' Officials say more details may follow.', ' Stay tuned.', ''][1 + turn % 4] AS x, turn % 4 AS k FROM conversations WHERE text IS NOT NULL AND text <> ''),
-        s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(trim(x, E' \t\n\r'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y, E' \t\n\r')), lambda y: y <> '') AS p FROM c)
-        SELECT conv_id, turn, (len(p) - CASE WHEN k = 1 AND regexp_matches(p[-1], '(?i)more details may follow\.$') OR k = 2 AND p[-1] = 'Stay tuned.' AND length(p[-1]) >= 12 OR k = 2 AND length(p[-1]) >= 12 AND regexp_matches(p[-1], '(?i)\bstay tuned\.$') AND p[-1] <> 'Stay tuned.' THEN 1 ELSE 0 END)::INTEGER AS n_kept,
-          length(trim(regexp_replace(trim(x, E' \t\n\r'), '(?i)\bread\s+more\b[\s.:]*', '', 'g'), E' \t\n\r'))::INTEGER AS n_chars, TRUE AS short FROM s""",
-    "brackets_decoded": r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(substr(text, 1, 300), '&amp;', '&'), '<[^>]*>', ' ', 'g') || ' it’s &bogus; –', '\s+', ' ', 'g')) AS plain FROM documents WHERE text IS NOT NULL""",
+        s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(trim(x, E' \t\n\r'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y, E' \t\n\r')), lambda y: y <> '') AS p,
+          trim(regexp_replace(trim(x, E' \t\n\r'), '(?i)\bread\s+more\b[\s.:]*', '', 'g'), E' \t\n\r') AS uncalled FROM c),
+        q AS (SELECT *, list_filter(string_split(regexp_replace(trim(regexp_replace(uncalled, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda y: y <> '')[:3] AS q FROM s),
+        n AS (SELECT *, list_transform(q, lambda y: len(string_split(y, ' '))) AS n FROM q),
+        k AS (SELECT *, len(list_filter(range(1, len(n) + 1), lambda i: list_sum(n[1:i]) <= 55)) AS whole FROM n),
+        u AS (SELECT *, coalesce(list_sum(n[1:whole]), 0) AS used FROM k),
+        h AS (SELECT *, CASE WHEN whole < len(q) AND used < 55 THEN array_to_string(string_split(q[whole + 1], ' ')[1:(55 - used)::BIGINT], ' ') ELSE '' END AS head FROM u),
+        w AS (SELECT *, CASE WHEN head = '' OR regexp_matches(head, '[.!?]$') THEN head WHEN regexp_extract(head, '(?s)^(.+[.!?])', 1) <> '' THEN regexp_extract(head, '(?s)^(.+[.!?])', 1) ELSE head || '.' END AS tail FROM h),
+        j AS (SELECT *, trim(array_to_string(q[1:whole], ' ') || ' ' || tail) AS j FROM w),
+        t AS (SELECT *, regexp_replace(regexp_replace(replace(j, '...', '…'), '[.]{2,}$', '…'), '[.!?]{2,}$', '.') AS t FROM j)
+        SELECT conv_id, turn, array_to_string(p[:len(p) - CASE WHEN length(p[-1]) >= 12 AND (k = 1 AND regexp_matches(p[-1], '(?i)more details may follow\.$') OR k = 2 AND regexp_matches(p[-1], '(?i)\bstay tuned\.$')) THEN 1 ELSE 0 END], ' ') AS ended,
+          uncalled, CASE WHEN t = '' OR regexp_matches(t, '[.!?…]$') THEN t ELSE t || '.' END AS clean FROM t""",
+    "brackets_decoded": r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, '&amp;', '&'), '<[^>]*>', ' ', 'g') || ' it’s &bogus; –', '\s+', ' ', 'g')) AS plain FROM documents WHERE text IS NOT NULL""",
 }

@@ -44,18 +44,17 @@ PROVINCE_FEEDS = (
     ("qc_cbc_province", "Quebec", "CBC Quebec", "CBC", "https://www.cbc.ca/webfeed/rss/rss-canada-quebec", 22),
     ("ns_cbc_province", "Nova Scotia", "CBC Nova Scotia", "CBC", "https://www.cbc.ca/webfeed/rss/rss-canada-novascotia", 25),
 )
-_SEARCH = "https://news.google.com/rss/search?q={q}&hl=en-CA&gl=CA&ceid=CA:en"
 # National feeds as (key, label, group, address, priority).
 NATIONAL_FEEDS = (
     ("national_global_top", "Global News - Top Stories", "Global", "https://globalnews.ca/feed/", 100),
     ("national_global_canada", "Global News - Canada", "Global", "https://globalnews.ca/canada/feed/", 101),
     ("national_global_politics", "Global News - Politics", "Global", "https://globalnews.ca/politics/feed/", 102),
     ("national_cbc_top", "CBC News", "CBC", "https://www.cbc.ca/webfeed/rss/rss-topstories", 110),
-    ("gnews_canada_general", "Google News — Canada", "Google News", _SEARCH.format(q="Canada"), 95),
-    ("gnews_canada_ai", "Google News — Canada AI", "Google News", _SEARCH.format(q="Canada+AI"), 96),
-    ("gnews_canada_immigration", "Google News — Canada immigration", "Google News", _SEARCH.format(q="Canada+immigration"), 97),
-    ("gnews_canada_housing", "Google News — Canada housing", "Google News", _SEARCH.format(q="Canada+housing"), 98),
-    ("gnews_canada_jobs", "Google News — Canada jobs", "Google News", _SEARCH.format(q="Canada+jobs"), 99),
+    ("gnews_canada_general", "Google News — Canada", "Google News", "https://news.google.com/rss/search?q=Canada&hl=en-CA&gl=CA&ceid=CA:en", 95),
+    ("gnews_canada_ai", "Google News — Canada AI", "Google News", "https://news.google.com/rss/search?q=Canada+AI&hl=en-CA&gl=CA&ceid=CA:en", 96),
+    ("gnews_canada_immigration", "Google News — Canada immigration", "Google News", "https://news.google.com/rss/search?q=Canada+immigration&hl=en-CA&gl=CA&ceid=CA:en", 97),
+    ("gnews_canada_housing", "Google News — Canada housing", "Google News", "https://news.google.com/rss/search?q=Canada+housing&hl=en-CA&gl=CA&ceid=CA:en", 98),
+    ("gnews_canada_jobs", "Google News — Canada jobs", "Google News", "https://news.google.com/rss/search?q=Canada+jobs&hl=en-CA&gl=CA&ceid=CA:en", 99),
 )
 # Suburbs and their metro hubs, by letters-only key.
 HUBS = {
