@@ -35,21 +35,24 @@ def _prefix(depth: int) -> Column:
     return F.shiftright("hash", HASH_BITS - depth)
 
 
-def _leaves(rows: DataFrame, top: int, bottom: int, limit: int) -> DataFrame:
-    """prefix and depth of the shallowest buckets from ``top`` to ``bottom`` that fit, and those at ``bottom`` that don't."""
-    cells = rows.groupBy(_prefix(bottom).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"))
+def _leaves(space: Workspace, rows: DataFrame, top: int, bottom: int, limit: int) -> DataFrame:
+    """cell, depth, prefix and over: the shallowest bucket from ``top`` to ``bottom`` that fits, or the one at ``bottom`` that doesn't, of each cell.
+
+    A bucket is a leaf if it fits and its parent doesn't, which two rows at most
+    ask of any parent; cells then look for their leaf from the least depth that
+    any leaf has.
+    """
+    cells = space.keep(rows.groupBy(_prefix(bottom).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes")), "cells")
+    at = F.expr(f"shiftright(cell, {bottom} - depth)").alias("prefix")
     every = cells.select("cell", "n_bytes", F.explode(F.sequence(F.lit(top), F.lit(bottom))).alias("depth"))
-    sums = every.groupBy("depth", F.expr(f"shiftright(cell, {bottom} - depth)").alias("prefix")).agg(
-        F.sum("n_bytes").alias("n_bytes")
-    )
-    fits = sums.where((F.col("n_bytes") <= limit) | (F.col("depth") == bottom))
-    own = every.select("cell", "depth", F.expr(f"shiftright(cell, {bottom} - depth)").alias("prefix"))
-    return (
-        own.join(fits.select("depth", "prefix", "n_bytes"), ["depth", "prefix"])
-        .groupBy("cell")
-        .agg(F.min(F.struct("depth", "prefix", "n_bytes")).alias("leaf"))
-        .select("cell", "leaf.depth", "leaf.prefix", (F.col("leaf.n_bytes") > limit).alias("over"))
-    )
+    sums = space.keep(every.groupBy("depth", at).agg(F.sum("n_bytes").alias("n_bytes")), "sums")
+    above = sums.where(F.col("n_bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+    able = sums.where((F.col("n_bytes") <= limit) | (F.col("depth") == bottom)).withColumn("parent", F.shiftright("prefix", 1))
+    split = able.join(above, ["depth", "parent"], "left_semi").unionByName(able.where(F.col("depth") == top))
+    leaves = space.keep(split.select("depth", "prefix", (F.col("n_bytes") > limit).alias("over")).distinct(), "leaves")
+    least = leaves.agg(F.min("depth")).first()[0]
+    own = cells.select("cell", F.explode(F.sequence(F.lit(top if least is None else least), F.lit(bottom))).alias("depth")).withColumn("prefix", at)
+    return own.join(leaves, ["depth", "prefix"]).select("cell", "depth", "prefix", "over")
 
 
 def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -74,7 +77,7 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found, left = [], rows
     while True:
         bottom = min(HASH_BITS, top + step)
-        leaves = _leaves(left, top, bottom, shard_bytes)
+        leaves = _leaves(space, left, top, bottom, shard_bytes)
         placed = space.keep(
             left.withColumn("cell", _prefix(bottom)).join(leaves, "cell").select("doc_id", "n_bytes", "hash", "depth", "prefix", "over"),
             "placed",

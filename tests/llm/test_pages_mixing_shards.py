@@ -151,7 +151,7 @@ def test_mixed_documents_repeat_rows(spark, documents):
     assert {k: v for k, v in want.items() if v} == dict(got)
 
 
-@pytest.mark.parametrize(("name", "sql", "run"), [("mix", mixing.ORACLE_SQL, lambda d: mixing.mix_sources(d).select("doc_id", "taken")), ("shard", sharding.ORACLE_SQL, lambda d: sharding.assign_shards(d).select("doc_id", "shard"))])
+@pytest.mark.parametrize(("name", "sql", "run"), [("mix", mixing.ORACLE_SQL, lambda d: mixing.mix_sources(d).select("doc_id", "taken")), ("shard", sharding.ORACLE_SQL, lambda d: sharding.assign_shards(d, shard_bytes=sharding.QUERY_BYTES).select("doc_id", "shard"))])
 def test_sql_oracles(spark, name, sql, run):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
