@@ -8,8 +8,8 @@ with a small ratio take no part, so that long clean texts gather no noise.
 
 Training reads at most PER_CLASS labelled texts of each label, those of least
 hash; only their feature lists come to the driver. The model is a table of 2^BITS
-weights, at most MOST_FEATURES of them other than 0 (those whose share differs
-most between the labels), whatever the input.
+weights, whatever the input; the regression's penalty, not a count of features,
+holds them down.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ SIZES = (4, 6, 8)
 PER_CLASS = 1200
 LEAST_TEXTS = 3
 LEAST_RATIO = 1.5
-MOST_FEATURES = 20_000
 STEPS = 250
 PENALTY = 0.001
 #: Models of so many folds calibrate the scores; with few labelled texts each must learn from nearly all of them.
@@ -84,9 +83,7 @@ def _fit_once(lists: list[np.ndarray], labels: np.ndarray, prior: float) -> Mode
         (p if y else q)[at] += 1
     df = np.maximum(p, q)
     ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
-    gain = np.abs(p / labels.sum() - q / (1 - labels).sum())
     good = np.flatnonzero((df >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))
-    good = np.sort(good[np.argsort(-gain[good], kind="stable")[:MOST_FEATURES]])
     place = np.full(size, -1)
     place[good] = np.arange(len(good))
     found = [place[at] for at in lists]
