@@ -6,7 +6,7 @@ and scatter are minimum-covariance-determinant estimates. Every group has
 STARTS starts, one from coordinatewise medians and deviations and the others
 from small random sets of its texts; each takes concentration steps (estimate,
 keep the share CORE of least distance, repeat), the start of least determinant
-stays, and its steps go on until no group's determinant falls further. The
+stays, and each group's steps go on until its determinant falls no further. The
 scatter is scaled to be right for normal texts, and a text is rejected when its
 squared Mahalanobis distance exceeds CUTOFF. Sources with fewer than LEAST
 texts in a language are judged together; where those are fewer too, only the
@@ -16,6 +16,8 @@ step comes to the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 LEAST = 60
 CORE = 0.75
-STARTS, FIRST_STEPS, MOST_STEPS = 4, 2, 10
+STARTS, FIRST_STEPS = 4, 2
+#: A step that lowers a group's log determinant by less is its last; determinants have a floor, so the steps end.
+SETTLED = 1e-6
 #: Texts of a random start, about: two for each that the scatter of so many statistics needs.
 DRAWN = 12
 #: Parts over which a group's texts are dealt in joins, so that no task gets a whole group.
@@ -168,27 +172,28 @@ def _starts(vectors: DataFrame) -> DataFrame:
     return _factor(middle.unionByName(_moments(drawn.drop("n"), 1.0)))
 
 
-def _step(vectors: DataFrame, params: DataFrame, space: Workspace) -> DataFrame:
+def _step(vectors: DataFrame, params: DataFrame) -> DataFrame:
     """One concentration step of each start."""
     edge = _distance(_near(vectors, params)).groupBy("group", "start").agg(F.percentile_approx("d2", CORE, 10_000).alias("edge"))
     core = _distance(_near(vectors, params.join(edge, ["group", "start"]))).where("d2 <= edge").select("group", "start", *NAMES)
-    return space.keep(_factor(_moments(core)), "estimate")
+    return _factor(_moments(core))
 
 
 def robust_parameters(vectors: DataFrame, space: Workspace) -> DataFrame:
     """Location m_i, Cholesky factor l_i_j and logdet of the least determinant found, for each group of (group, salt, pick, statistics)."""
     params = space.keep(_starts(vectors), "starts")
     for _ in range(FIRST_STEPS):
-        params = _step(vectors, params, space)
+        params = space.keep(_step(vectors, params), "estimate")
     least = params.groupBy("group").agg(F.min(F.struct("logdet", "start"))["start"].alias("start"))
     params = space.keep(params.join(least, ["group", "start"]), "least")
-    for _ in range(MOST_STEPS):
-        after = _step(vectors, params, space)
-        moved = after.join(params.select("group", F.col("logdet").alias("was")), "group").agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
-        params = after
-        if moved is None or moved < 1e-6:
-            break
-    return params.drop("start", "n")
+    settled = []
+    while not params.isEmpty():
+        fell = F.coalesce(F.col("was") - F.col("logdet") >= SETTLED, F.lit(False))
+        after = _step(vectors, params).join(params.select("group", F.col("logdet").alias("was")), "group")
+        after = space.keep(after.withColumn("fell", fell).drop("was"), "estimate")
+        settled.append(after.where("not fell").drop("fell"))
+        params = after.where("fell").drop("fell")
+    return reduce(DataFrame.unionByName, settled or [params]).drop("start", "n")
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
