@@ -197,11 +197,26 @@ def bookmarks_cleared(spark: SparkSession, d: str) -> DataFrame:
     return readers.saved_latest(readers.cleared(e, e.where("user_id % 3 = 0").select("user_id").distinct())).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+def feed_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of three feeds in the order in which the feeds are listed, the first of each text."""
+    entries = lambda name, *turn: table(spark, d, name).where("text is not null").select(F.struct(*turn).alias("entry_pos"), "text")
+    zero = F.lit(0).cast("long")
+    feeds = [entries("benchmark", F.col("item_id").cast("long").alias("place"), zero.alias("part")), entries("documents", F.col("doc_id").cast("long").alias("place"), zero.alias("part")), entries("conversations", F.col("conv_id").cast("long").alias("place"), F.col("turn").cast("long").alias("part"))]
+    first = dedupe.first_by(ingest.scanned(feeds), F.col("text"))
+    return first.select("pos.feed", "pos.entry.place", "pos.entry.part", F.md5("text").alias("text_md5"))
+
+
+def warm_stories(spark: SparkSession, d: str) -> DataFrame:
+    """The three stories that are prepared ahead, here those with the longest texts."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").cast("double").alias("rank_score"))
+    return ingest.warm_up(docs)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         feed_items, store_cycle, stream_merge, region_words, topic_assigned, for_you, link_edges, union_counts, fill_some, fetch_report, general_sources, local_sources, pages_to_fetch, public_rows, all_ordered,
-        dates_shown, helper_keys, bookmarks_cleared,
+        dates_shown, helper_keys, bookmarks_cleared, feed_scan, warm_stories,
     )
 }
 
@@ -233,6 +248,9 @@ ORACLES = {
     "fill_some": "SELECT doc_id AS id, 'A title.' AS summary, 'ready' AS summary_status, 'title_fallback' AS summary_source FROM documents WHERE doc_id % 3 <> 0 ORDER BY doc_id LIMIT 25",
     "fetch_report": """SELECT count(*) AS feeds_requested, count(*) FILTER (n_nationkey % 2 = 0) AS feeds_fetched, count(*) FILTER (n_nationkey % 2 = 1) AS feeds_failed,
           array_to_string((list(n_name || ':e' || n_nationkey ORDER BY n_name) FILTER (n_nationkey % 2 = 1))[:12], ',') AS samples FROM nation""",
+    "feed_scan": """WITH e AS (SELECT 0 AS feed, item_id::BIGINT AS place, 0::BIGINT AS part, text FROM benchmark UNION ALL SELECT 1, doc_id, 0, text FROM documents UNION ALL SELECT 2, conv_id, turn, text FROM conversations)
+        SELECT feed, place, part, md5(text) AS text_md5 FROM e WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text ORDER BY feed, place, part) = 1""",
+    "warm_stories": "SELECT doc_id AS id, length(text)::DOUBLE AS rank_score FROM documents ORDER BY coalesce(length(text), 0) DESC, doc_id DESC LIMIT 3",
     "general_sources": f"SELECT registry_key, feed_url FROM {_SRC} WHERE active AND include_in_general",
     "local_sources": f"""SELECT registry_key, feed_url, 2 AS tier FROM {_SRC} WHERE active AND coverage_level = 'province' AND province = 'Alberta'
         UNION ALL SELECT 'st-albert_global_pattern', 'https://globalnews.ca/st-albert/feed/', 0 UNION ALL SELECT 'st-albert_cbc_pattern', 'https://www.cbc.ca/webfeed/rss/rss-canada-st-albert', 0

@@ -249,12 +249,19 @@ def cluster_quality(spark: SparkSession, d: str) -> DataFrame:
     return cluster.cluster_quality(sizes)
 
 
+def cluster_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The five largest groups of documents that begin with the same line, and how six of each begin."""
+    docs = table(spark, d, "documents").where("text is not null")
+    members = docs.select(F.substring_index("text", "\n", 1).alias("cluster_id"), F.col("doc_id").alias("pos"), F.col("text").alias("title"))
+    return cluster.cluster_samples(members).select("cluster_id", "size", F.array_join("titles", "|").alias("titles"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         feed_page, feed_top_k, feed_look_ahead, feed_counts, scope_counts, rank_recency, rank_category, rank_strongest, rank_rounded, search_page, search_count,
         client_filter, facets, daily_brief, reading_time, local_tier, local_feed, tier_counts, location_mix, feed_plan_sources, registry_stats,
-        registry_groups, city_suggest, cluster_collapse, cluster_quality,
+        registry_groups, city_suggest, cluster_collapse, cluster_quality, cluster_samples,
     )
 }
 
@@ -325,4 +332,8 @@ ORACLES = {
     "cluster_quality": """WITH c AS (SELECT p_name || '/' || p_size AS id, count(*) AS n FROM part GROUP BY 1), l AS (SELECT id, n FROM c WHERE n > 1 ORDER BY n DESC, id LIMIT 8)
         SELECT count(*) AS n_clusters, sum(n)::BIGINT AS n_articles, count(*) FILTER (n = 1) AS singletons, count(*) FILTER (n > 1) AS multi,
           round_even(100.0::DOUBLE * count(*) FILTER (n > 1) / count(*), 1) AS multi_percent, (SELECT string_agg(id || ':' || n, ',' ORDER BY n DESC, id) FROM l) AS largest FROM c""",
+    "cluster_samples": """WITH m AS (SELECT split_part(text, chr(10), 1) AS cluster_id, doc_id, substr(text, 1, 120) AS title FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT cluster_id, count(*) AS size FROM m GROUP BY 1 HAVING count(*) > 1 ORDER BY size DESC, cluster_id LIMIT 5),
+        t AS (SELECT m.*, l.size FROM m JOIN l USING (cluster_id) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id) <= 6)
+        SELECT cluster_id, size, string_agg(title, '|' ORDER BY doc_id) AS titles FROM t GROUP BY 1, 2""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressmill.catalogue import articles
 from pressmill.functions import text
-from pressmill.operators import cluster, components, dedupe, readers
+from pressmill.operators import cluster, components, dedupe, ingest, readers
 
 
 def test_greedy_dedupe_equals_scan(spark):
@@ -178,3 +178,18 @@ def test_ratio_bound_is_never_below_the_ratio(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     got = df.select(similarity.ratio("a", "b").alias("r"), similarity.ratio_bound(similarity.letter_counts(F.col("a")), similarity.letter_counts(F.col("b"))).alias("m")).collect()
     assert all(x.r <= x.m + 1e-9 for x in got) and sum(x.m < 0.6 for x in got) > 50
+
+
+def test_cluster_samples(spark):
+    rows = [("a", k, f"title {k} " + "x" * 200) for k in range(9)] + [("b", 20, None), ("b", 21, "t")] + [("c", 30, "alone")] + [(f"d{k}", 40 + 2 * k + i, "d") for k in range(5) for i in range(2)]
+    got = {r.cluster_id: (r["size"], r.titles) for r in cluster.cluster_samples(spark.createDataFrame(rows, "cluster_id string, pos int, title string")).collect()}
+    assert set(got) == {"a", "b", "d0", "d1", "d2"} and got["b"] == (2, ["", "t"])
+    assert got["a"][0] == 9 and [t[:7] for t in got["a"][1]] == [f"title {k}" for k in range(6)] and {len(t) for t in got["a"][1]} == {120}
+
+
+def test_scan_order_and_warm_up(spark):
+    feeds = [spark.createDataFrame(r, "entry_pos int, title string") for r in ([(0, "x"), (1, "y")], [], [(0, "y"), (1, "z")])]
+    first = dedupe.first_by(ingest.scanned(feeds), F.col("title"))
+    assert sorted((r.pos.feed, r.pos.entry, r.title) for r in first.collect()) == [(0, 0, "x"), (0, 1, "y"), (2, 1, "z")]
+    rows = spark.createDataFrame([(1, None), (2, 3.0), (3, 3.0), (4, 0.0), (5, -1.0)], "id int, rank_score double")
+    assert [r.id for r in ingest.warm_up(rows).collect()] == [3, 2, 4]
