@@ -41,7 +41,8 @@ RARE = 4
 MAP_BITS = 2048
 ROWS_A_TASK = 20_000
 HUBS = 2
-SALT = 8
+BLOCK = 1024
+SLICE = 65_536
 
 _RNG = np.random.default_rng(75)
 _MUL = _RNG.integers(1, 2**63, size=SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -213,19 +214,32 @@ def _bit_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(maps, pa.binary())], names=["name", "bits"])
 
 
-def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops pairs that the bit maps rule out.
+def _may_link(part: pa.Table) -> pa.Table:
+    """(a, b): the hubs of one cell with its nodes of other components that the exact bounds and the bit maps leave open.
 
     Two sets have at most as many elements in common as places that both maps
     have set, and the lesser number of elements that share a place with others.
     """
-    for batch in batches:
-        if len(batch):
-            sizes = [batch.column(k).to_numpy() for k in (2, 3)]
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (4, 5))
-            hidden = [n - np.bitwise_count(m).sum(axis=1, dtype=np.int64) for n, m in zip(sizes, (x, y))]
-            most = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64) + np.minimum(*hidden)
-            yield batch.select([0, 1]).filter(pa.array(7 * most >= 3 * (sizes[0] + sizes[1])))
+    part = part.combine_chunks()
+    hub = part.column("hub").to_numpy(zero_copy_only=False)
+    size, shared = part.column("size").to_numpy(), part.column("shared").to_numpy()
+    of = np.unique(np.array(part.column("part").to_pylist(), dtype=object), return_inverse=True)[1]
+    bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(len(part), -1)
+    hidden = size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    left, right = np.flatnonzero(hub), np.flatnonzero(~hub)
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, SLICE // max(1, len(right)))
+    for at in range(0, len(left), step):
+        h = left[at : at + step]
+        able = (of[h][:, None] != of[right]) & (7 * np.minimum(shared[h][:, None], shared[right]) >= 3 * (size[h][:, None] + size[right]))
+        i, j = np.nonzero(able)
+        i, j = h[i], right[j]
+        most = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64) + np.minimum(hidden[i], hidden[j])
+        may = 7 * most >= 3 * (size[i] + size[j])
+        x.append(i[may])
+        y.append(j[may])
+    name = part.column("name")
+    return pa.table({"a": name.take(pa.array(np.concatenate(y))), "b": name.take(pa.array(np.concatenate(x)))})
 
 
 class _Run:
@@ -274,11 +288,14 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
     a bucket, those that share most first, are compared with all its nodes of
     other components and then done with. A bucket is closed when one component
     holds all its nodes but OUTSIDE at most (SMALL in the first round), whose
-    pairs with the others, as far as the bounds allow a link, are then
-    compared. A pair becomes one row, however many buckets its nodes share. So
-    links to a text in the middle of a group cost a row for each member, and no
-    pair that could join two components stays uncompared. Buckets that are
-    still open after two rounds are dealt to finer ones, see ``_cells``.
+    pairs with the others, as far as the bounds and bit maps allow a link, are
+    then compared. A pair becomes one row, however many buckets its nodes share.
+    So links to a text in the middle of a group cost a row for each member, and
+    no pair that could join two components stays uncompared. Buckets that are
+    still open after two rounds are dealt to finer ones, see ``_cells``. The
+    fourth round is the last: what a finer bucket has left open is compared
+    within its bucket of the second round, all nodes outside the largest
+    component being hubs. The number of rounds does not grow with a bucket.
     """
     space = run.space
     own = entries.groupBy("name").agg(F.collect_list(F.struct("key", "chunk")).alias("entries"))
@@ -314,8 +331,10 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
     )
     couples = space.keep(_pairs_near(couples, nodes), "couples")
     links = space.keep(links.unionByName(run.confirm(couples, texts)).distinct(), "links")
-    limit, refined = SMALL, False
-    while True:
+    whole = None
+    for limit in (SMALL, OUTSIDE, OUTSIDE, None):
+        if limit is None:
+            open_ = space.keep(whole.join(open_.select("name").distinct(), "name", "left_semi").select(whole.columns), "open")
         labels = connected_components(links, space)
         state = open_.join(labels, open_["name"] == labels["node"], "left").select(
             *open_.columns, F.coalesce("component", "name").alias("part")
@@ -325,21 +344,21 @@ def _resolve_large(run: _Run, entries: DataFrame, nodes: DataFrame, texts: DataF
             F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("all_n")
         )
         state = space.keep(state.join(main.where("main_n < all_n"), "key").coalesce(tasks), "state")
-        few = F.col("all_n") - F.col("main_n") <= limit
+        few = F.lit(True) if limit is None else F.col("all_n") - F.col("main_n") <= limit
         outside = state.where("part != main")
         best = _top(outside.where(~few))
         hubs = space.keep(outside.where(few).select(best.columns).unionByName(best).coalesce(tasks), "hubs")
-        pairs = space.keep(_hub_pairs(state, hubs).distinct().coalesce(4 * tasks), "hub-pairs")
-        pairs = space.keep(_possible(pairs, maps).coalesce(4 * tasks), "possible")
+        pairs = space.keep(_hub_pairs(state, hubs, maps).distinct().coalesce(4 * tasks), "hub-pairs")
         links = space.keep(links.unionByName(run.confirm(pairs, texts)).distinct().coalesce(tasks), "links")
         rest = state.where(~few).select(open_.columns).join(hubs.select("key", "name"), ["key", "name"], "left_anti")
-        if limit == OUTSIDE and not refined:
-            rest, refined = _cells(rest, nodes), True
+        if limit == OUTSIDE and whole is None:
+            whole = space.keep(rest.coalesce(tasks), "open")
+            rest = _cells(whole, nodes)
         open_ = space.keep(rest.coalesce(tasks), "open")
         space.drop(state, pairs, hubs)
         if open_.isEmpty():
-            return links
-        limit = OUTSIDE
+            break
+    return links
 
 
 def _top(outside: DataFrame) -> DataFrame:
@@ -349,38 +368,25 @@ def _top(outside: DataFrame) -> DataFrame:
     return salted.select("key", "top.name", "top.size", "top.shared", "top.part")
 
 
-def _hub_pairs(state: DataFrame, hubs: DataFrame) -> DataFrame:
+def _hub_pairs(state: DataFrame, hubs: DataFrame, maps: DataFrame) -> DataFrame:
     """(a, b): each node with each hub of its buckets that is of another component and that the exact bounds leave open.
 
-    A bucket's hubs, OUTSIDE at most, travel as one list, dealt over SALT parts
-    of its rows, so the join makes one row for each entry of a bucket, and no
-    task gets a whole one. The lists are cut by the bounds there, and what is
-    left of a node's buckets is put together before a pair becomes a row.
+    A bucket's hubs and its nodes are dealt to blocks of about BLOCK each, and
+    every cell of a block of either is compared by itself in one array
+    operation, so no task gets a whole bucket and only what the bounds leave
+    open becomes a row.
     """
-    lists = (
-        hubs.groupBy("key")
-        .agg(F.collect_list(F.struct("name", "size", "shared", "part")).alias("hubs"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    )
-    salted = state.select("key", "name", "size", "shared", "part", F.pmod(F.xxhash64("name"), F.lit(SALT)).cast("int").alias("salt"))
-    able = F.expr(
-        "transform(filter(hubs, h -> h.part != part and 7 * least(h.shared, shared) >= 3 * (h.size + size)), h -> h.name)"
-    )
-    met = salted.join(lists, ["key", "salt"]).select("name", able.alias("able")).where(F.size("able") > 0)
-    whole = met.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list("able"))).alias("able"))
-    return whole.select(F.col("name").alias("a"), F.explode("able").alias("b"))
+    parts = lambda df, n: df.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    dealt = parts(hubs, "blocks").join(parts(state, "salts"), "key")
+    own = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
+    def side(df: DataFrame, hub: bool) -> DataFrame:
+        rows = df.select("key", "name", "size", "shared", "part").join(maps.select("name", "bits"), "name").join(dealt, "key")
+        rows = rows.withColumn("block", own("blocks") if hub else each("blocks")).withColumn("salt", each("salts") if hub else own("salts"))
+        return rows.select(F.xxhash64("key", "block", "salt").alias("cell"), "name", "size", "shared", "part", "bits", F.lit(hub).alias("hub"))
 
-def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
-    """The pairs that the bit maps leave open."""
-    one = maps.select(F.col("name").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
-    two = maps.select(F.col("name").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
-    return (
-        pairs.join(one, "a")
-        .join(two, "b")
-        .select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
-        .mapInArrow(_may_link, "a binary, b binary")
-    )
+    return side(state, False).unionByName(side(hubs, True)).groupBy("cell").applyInArrow(_may_link, "a binary, b binary")
 
 
 def _cells(open_: DataFrame, nodes: DataFrame) -> DataFrame:

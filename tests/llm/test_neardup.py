@@ -153,6 +153,29 @@ def test_refined_buckets_match_brute_force(spark, monkeypatch):
     assert got == plain_components(rows)[0] and dealt
 
 
+def test_rounds_do_not_grow_with_a_bucket(spark, monkeypatch):
+    """Many texts that share most with each other and are no links: few rounds, few pairs as rows, and the links among them found."""
+    for name, value in (("SMALL", 3), ("OUTSIDE", 4), ("HUBS", 1), ("BLOCK", 16)):
+        monkeypatch.setattr(neardup, name, value, raising=False)
+    rounds, met = [], []
+    labels, pairs = neardup.connected_components, neardup._hub_pairs
+    monkeypatch.setattr(neardup, "connected_components", lambda *x: rounds.append(1) or labels(*x))
+    monkeypatch.setattr(neardup, "_hub_pairs", lambda *x: met.append(pairs(*x).distinct().count()) or pairs(*x))
+    rng = random.Random(9)
+    pieces = [[f"p{g}-{k}" for k in range(18)] for g in range(12)]  # 36 words of two of 12 passages, after 56 that all share
+    rows = []
+    for g in range(12):
+        for h in range(12):
+            text = [f"b{k}" for k in range(56)] + pieces[g] + pieces[h]
+            rows.append((len(rows), " ".join(text)))
+            if (g + h) % 5 == 0:
+                text[rng.randrange(56)] = f"e{rng.randrange(3)}"
+                rows.append((len(rows), " ".join(text)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows)[0]
+    assert len(rounds) <= 5 and sum(met) < len(rows) ** 2 / 4
+
+
 def test_recall_on_a_given_table(spark):
     """All links of ids divisible by 50 against all rows end in one component."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
