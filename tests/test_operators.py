@@ -126,6 +126,19 @@ def test_containment_pairs_equal_brute_force(spark, tmp_path):
     assert got == want and ("documents", 1, "documents", 2) in got and ("benchmark", 1, "documents", 1) in got and ("benchmark", 2, "documents", 4) in got
 
 
+def test_titles_with_a_common_head_make_no_pair(spark):
+    """Only titles that hold one another come out, however many share a head or a passage; copies are paired in parts."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcd é") for _ in range(rng.randint(2, 9)))
+    titles = [f"the council of the city says {word()} {word()}{' more words' * rng.randint(0, 3)}" for _ in range(120)]
+    titles += [t[rng.randint(0, 4) : len(t) - rng.randint(0, 4)] for t in titles[:40]] + ["the council of the city says"] * 5 + ["x" * n for n in range(15, 60)]
+    df = spark.createDataFrame(list(enumerate(titles)), "pos long, story string")
+    got = [(r.a, r.b) for r in cluster.contained_candidates(df).collect()]
+    holds = lambda a, b: len(a) >= 18 and len(a) / len(b) >= 0.48 and a in b
+    want = {(i, j) for i, a in enumerate(titles) for j, b in enumerate(titles) if i < j and (holds(a, b) or holds(b, a))}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+
+
 def test_lexical_clusters_equal_brute_force(spark, tmp_path):
     rng = random.Random(6)
     words = "storm hits coast mayor budget vote fire crews river team wins final council road bridge school".split()
