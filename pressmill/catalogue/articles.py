@@ -146,9 +146,7 @@ def followed_topics(spark: SparkSession, d: str) -> DataFrame:
 
 def _part_pairs(p: DataFrame) -> DataFrame:
     rows = p.select(F.col("p_partkey").alias("pos"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type", F.concat(F.lit("s"), "p_size"))), " ")).alias("words"))
-    pairs = cluster.prefix_pairs(rows, 0.6)
-    both = pairs.join(rows.toDF("a", "wa"), "a").join(rows.toDF("b", "wb"), "b")
-    return both.where(cluster.jaccard(F.col("wa"), F.col("wb")) >= 0.6).select("a", "b")
+    return cluster.overlap_pairs(rows, 0.6)
 
 
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:

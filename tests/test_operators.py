@@ -182,6 +182,16 @@ def test_prefix_pairs_lose_none(spark):
         assert len(got) == len(set(got)) and want <= set(got) and (least > 0.5 or len(got) < 260 * 259 / 2)
 
 
+def test_copies_are_paired_after_their_sets_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "PART", 7)
+    kinds = [["a", "b", "c"], ["a", "b", "c", "d"], ["a", "b", "x", "y"], ["q"]]
+    df = spark.createDataFrame([(k, kinds[k % 4]) for k in range(120)], "pos long, words array<string>")
+    assert cluster.similar_sets(df, 0.6)[2].count() <= 3
+    got = [(r.a, r.b) for r in cluster.overlap_pairs(df, 0.6).collect()]
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if len({*kinds[i % 4]} & {*kinds[j % 4]}) >= 0.6 * len({*kinds[i % 4]} | {*kinds[j % 4]})}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_ratio_bound_is_never_below_the_ratio(spark):
     from pressmill.functions import similarity
 
