@@ -114,6 +114,26 @@ def test_near_vectors_recall(spark):
     assert len(want) > 30 and got == want
 
 
+def test_near_vectors_in_cells_and_blocks(spark, monkeypatch):
+    """Many cells of several blocks, with copies: every near pair once, and none of unrelated vectors becomes a row."""
+    import numpy as np
+
+    monkeypatch.setattr(cluster, "CELL", 40)
+    monkeypatch.setattr(cluster, "BLOCK", 16)
+    monkeypatch.setattr(cluster, "PART", 3)
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((80, 24))
+    x = np.concatenate([base, base + 0.3 * rng.standard_normal(base.shape), base[:10], np.tile(base[3], (8, 1))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if cos[i, j] >= 0.88}
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "pos long, embedding array<double>")
+    got = [(r.a, r.b) for r in cluster.near_vectors(df, 0.88).collect()]
+    assert cluster._tables_of(len(base) * 2, 0.88)[0] > 5 and len(got) == len(set(got)) and set(got) == want
+    few, many = cluster._tables_of(1_000_000, 0.88), cluster._tables_of(36_000_000, 0.88)
+    assert many[0] < 3 * few[0] and 36e6 / 2 ** many[1] <= 40
+
+
 def test_location_boost_reasons(spark):
     of = lambda city, province: [tuple(r) for r in spark.createDataFrame([("Ottawa",), ("ontario",), ("Toronto",), ("Canada",), ("",), ("Regina",)], "region string").select(rank.location_boost(F.col("region"), city, province).alias("v")).select("v.*").collect()]
     assert of("ottawa", "Ontario") == [(92.0, "city_exact"), (50.0, "province_exact"), (50.0, "province_via_city"), (24.0, "national"), (0.0, "empty_region"), (0.0, "baseline")]
