@@ -95,14 +95,20 @@ REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 @lru_cache(maxsize=1)
 def _references() -> str:
-    """JSON of all named character references, and of the numbers that stand for other characters, without & and ;."""
-    named = {name[:-1]: char for name, char in entities.items() if name.endswith(";")}
-    return json.dumps(named | {f"#{n}": unescape(f"&#{n};") for n in (0, *range(0x80, 0xA0))})
+    """JSON of all named character references, and of the numbers that stand for other characters, without & and ;.
+
+    By first letter, as a map is searched entry by entry.
+    """
+    known = {name[:-1]: char for name, char in entities.items() if name.endswith(";")} | {f"#{n}": unescape(f"&#{n};") for n in (0, *range(0x80, 0xA0))}
+    by_letter: dict[str, dict[str, str]] = {}
+    for name in sorted(known, key=lambda x: (len(x), x)):
+        by_letter.setdefault(name[0], {})[name] = known[name]
+    return json.dumps(by_letter)
 
 
 def decoded(c: Column) -> Column:
     """Character references decoded, once; unknown ones stay."""
-    known = F.from_json(F.lit(_references()), "map<string,string>")
+    known = F.from_json(F.lit(_references()), "map<string,map<string,string>>")
 
     def char(ref: Column) -> Column:
         body = F.substr(ref, F.lit(2), F.length(ref) - 2)
@@ -111,7 +117,8 @@ def decoded(c: Column) -> Column:
         able = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
         by_number = F.when(able, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
         name = F.when(number.isNotNull(), F.concat(F.lit("#"), number.cast("string"))).otherwise(body)
-        return F.coalesce(F.try_element_at(known, name), by_number, ref)
+        listed = F.try_element_at(F.try_element_at(known, F.substring(name, 1, 1)), name)
+        return F.when((number > 0) & ~number.between(0x80, 0x9F), F.coalesce(by_number, ref)).otherwise(F.coalesce(listed, by_number, ref))
 
     def whole(s: Column) -> Column:
         chars = F.transform(F.regexp_extract_all(s, F.lit(REFERENCE), F.lit(0)), char)

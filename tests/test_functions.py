@@ -146,3 +146,10 @@ def test_link_queries_are_written_anew(spark):
     rows = [f"HTTPS://X.ca/P;v=1?{q}#frag" for q in queries] + ["https://x.ca", "https://x.ca/a?"]
     got = spark.createDataFrame([(u,) for u in rows], "u string").select("u", urls.normalize_link(F.col("u")).alias("n")).collect()
     assert [(r.u, r.n) for r in got] == [(u, plain(u)) for u in rows]
+
+
+def test_a_reference_is_searched_among_few():
+    import json
+
+    lists = json.loads(text._references())
+    assert sum(map(len, lists.values())) > 2000 and max(len(lists), *map(len, lists.values())) <= 250
