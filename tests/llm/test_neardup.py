@@ -176,6 +176,17 @@ def test_rounds_do_not_grow_with_a_bucket(spark, monkeypatch):
     assert len(rounds) <= 5 and sum(met) < len(rows) ** 2 / 4
 
 
+def test_hub_pairs_are_cut_before_they_are_rows(spark, monkeypatch):
+    """Of 60 hubs and nodes of one bucket only the pair whose bit maps allow a link becomes a row."""
+    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)
+    names = [bytearray([k]) for k in range(60)]
+    state = spark.createDataFrame([(1, n, 20, 20, n) for n in names], "key long, name binary, size long, shared long, part binary")
+    bits = [(1 << 20) - 1 << 20 * max(k, 1) for k in range(60)]
+    maps = spark.createDataFrame([(n, 20, bytearray(b.to_bytes(neardup.MAP_BITS // 8, "little"))) for n, b in zip(names, bits)], "name binary, size long, bits binary")
+    got = {(bytes(r.a)[0], bytes(r.b)[0]) for r in neardup._hub_pairs(state, state, maps).collect()}
+    assert got == {(0, 1), (1, 0)}
+
+
 def test_recall_on_a_given_table(spark):
     """All links of ids divisible by 50 against all rows end in one component."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
