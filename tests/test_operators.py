@@ -159,6 +159,44 @@ def test_lexical_clusters_equal_brute_force(spark, tmp_path):
     assert got == want and want and label[0] != label[1] and label[3] == label[4] and label[5] == label[6]
 
 
+def test_wording_links_have_the_components_of_all_pairs(spark, monkeypatch):
+    """Many blocks and steps; near and whole copies, short and sports titles, topics, and titles without a word that counts."""
+    monkeypatch.setattr(cluster, "SIDE", 40)
+    monkeypatch.setattr(cluster, "STEP", 8)
+    rng = random.Random(12)
+    words = "storm hits coast mayor budget vote fire crews river team wins final council road".split()
+    titles = [" ".join(rng.choices(words, k=rng.randrange(1, 14))) for _ in range(90)]
+    near = lambda t: " ".join(w[: rng.randint(len(w) - 1, len(w))] for w in t.split())
+    titles += [near(t) for t in titles[:45] for _ in range(2)] + titles[:20] + [f"leafs vs {w} 4" for w in words[:3] * 4] + ["a vs b"] * 6 + ["to be or not to be", "to be or not to by", "it is what it is", "it is what it is it"]
+    bodies = ["", *(" ".join(rng.choices(words, k=9)) for _ in range(3))]
+    rows = [(i, t, "" if i % 3 else rng.choice(bodies), "", rng.choice([None, "", "x", "y"])) for i, t in enumerate(titles)]
+    prepared = cluster.prepare(spark.createDataFrame(rows, "pos long, title string, excerpt string, link string, topic string")).checkpoint()
+    every = prepared.select(F.col("pos").alias("a")).crossJoin(prepared.select(F.col("pos").alias("b"))).where("a < b")
+    want = list(range(len(rows)))
+    for r in cluster.scored_pairs(prepared, every).where(cluster.wording_rule()).collect():
+        x, y = sorted((want[r.a], want[r.b]))
+        want = [x if v == y else v for v in want]
+    links = [(r.a, r.b) for r in cluster.wording_links(prepared).collect()]
+    got = list(range(len(rows)))
+    for a, b in links:
+        x, y = sorted((got[a], got[b]))
+        got = [x if v == y else v for v in got]
+    assert got == want and len(set(want)) > 30 and want[-4] == want[-3] and want[-2] == want[-1]
+
+
+def test_lexical_clusters_of_titles_without_a_word_that_counts(spark, tmp_path):
+    texts = ["to be or not to be", "to be or not to by", "a long storm on the coast"]
+    d = _written(spark, tmp_path, documents=([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string"))
+    assert [tuple(r) for r in articles.lexical_clusters(spark, d).collect()] == [(0, 2)]
+
+
+def test_near_copies_make_few_links(spark):
+    rows = [(i, f"the mayor and the council vote on the budget again tonight {i % 9}", "the whole text of it", "", "") for i in range(400)]
+    prepared = cluster.prepare(spark.createDataFrame(rows, "pos long, title string, excerpt string, link string, topic string"))
+    assert cluster.wording_links(prepared).count() < 2 * len(rows)
+    assert {r.component for r in components.components(cluster.wording_links(prepared)).collect()} == {0}
+
+
 def test_jaccard_pairs_of_all_parts_equal_brute_force(spark):
     d = "/root/testdata/sf0.001"
     words = {r.p_partkey: set(f"{r.p_name} {r.p_brand} {r.p_type} s{r.p_size}".lower().split(" ")) for r in spark.read.parquet(f"{d}/part.parquet").collect()}
