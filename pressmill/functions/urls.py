@@ -97,8 +97,8 @@ def _trimmed(c: Column) -> Column:
 
 
 def normalize_link(link: Column) -> Column:
-    """Key for equal stories on ingest: no tracking, lower case, no closing slashes."""
-    return _trimmed(F.lower(strip_tracking(link)))
+    """Key for equal stories on ingest: no tracking, lower case, no closing slashes. The stripped link is worked out once for each row."""
+    return F.transform(F.array(F.lower(strip_tracking(link))), _trimmed)[0]
 
 
 def story_link(link: Column) -> Column:

@@ -13,8 +13,7 @@ from .components import ensure_checkpoint_dir
 
 def with_keys(df: DataFrame, link: str = "link", title: str = "title", source: str = "source", published: str = "published_text") -> DataFrame:
     """Adds link_key (null where blank) and content_key."""
-    link_key = urls.normalize_link(F.col(link))
-    return df.withColumn("link_key", F.when(link_key != "", link_key)).withColumn(
+    return df.withColumn("link_key", F.nullif(urls.normalize_link(F.col(link)), F.lit(""))).withColumn(
         "content_key", text.fingerprint(F.col(title), F.col(source), F.col(published))
     )
 
@@ -31,18 +30,15 @@ def dedupe_stable(df: DataFrame, pos: str = "pos") -> DataFrame:
     return first_by(df, F.coalesce(F.concat(F.lit("l:"), "link_key"), F.concat(F.lit("c:"), "content_key")), pos)
 
 
-def dedupe_greedy(df: DataFrame, pos: str = "pos") -> DataFrame:
-    """Two-key form: a row goes if an earlier kept row has its link or its content; a dropped row bars nothing.
+def kept_first(df: DataFrame, pos: str = "pos") -> DataFrame:
+    """The rows (pos, link_key, content_key) that ``dedupe_greedy`` keeps.
 
-    Equal to the scan in order of ``pos``. Rows whose keys occur once are kept
-    before the rounds. In each round the undecided rows that come first for
-    both of their keys are kept, and undecided rows that share a key with them
-    go; the first undecided row always is one, so the rounds end, after as many
-    as the longest chain of alternating keys. Adds ``kept``; rows without a
-    link are judged by content alone.
+    Of rows equal in both keys only the first can be kept, and what bars it
+    bars the others, so the rounds have one row for each pair of keys. ``df``
+    is read once.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    rows = df.select(pos, "link_key", "content_key")
+    rows = df.groupBy("link_key", "content_key").agg(F.min(pos).alias(pos)).select(pos, "link_key", "content_key").checkpoint()
     again = lambda key: rows.where(f"{key} is not null").groupBy(key).agg(F.count("*").alias(f"n_{key}")).where(f"n_{key} > 1")
     counted = rows.join(again("link_key"), "link_key", "left").join(again("content_key"), "content_key", "left").checkpoint()
     kept = counted.where("n_link_key is null and n_content_key is null").select(rows.columns)
@@ -59,19 +55,35 @@ def dedupe_greedy(df: DataFrame, pos: str = "pos") -> DataFrame:
             .join(new.select("content_key").distinct(), "content_key", "left_anti")
             .checkpoint()
         )
-    return df.join(kept.select(pos, F.lit(True).alias("__kept")), pos, "left").withColumn("kept", F.coalesce("__kept", F.lit(False))).drop("__kept")
+    return kept
+
+
+def dedupe_greedy(df: DataFrame, pos: str = "pos") -> DataFrame:
+    """Two-key form: a row goes if an earlier kept row has its link or its content; a dropped row bars nothing.
+
+    Equal to the scan in order of ``pos``. Rows whose keys occur once are kept
+    before the rounds. In each round the undecided rows that come first for
+    both of their keys are kept, and undecided rows that share a key with them
+    go; the first undecided row always is one, so the rounds end, after as many
+    as the longest chain of alternating keys. Adds ``kept``; rows without a
+    link are judged by content alone.
+    """
+    return df.join(kept_first(df, pos).select(pos, F.lit(True).alias("__kept")), pos, "left").withColumn("kept", F.coalesce("__kept", F.lit(False))).drop("__kept")
 
 
 def merge_new(batch: DataFrame, stored: DataFrame, pos: str = "pos") -> DataFrame:
     """``batch`` with a reason for each row: missing_link, stored_link, stored_content, batch_duplicate or new.
 
     Rows that the store has by link or content can't bar others of the batch.
+    Rows equal in both keys are judged as one, by their first.
     """
+    ensure_checkpoint_dir(batch.sparkSession)
     links = stored.select(F.col("link_key").alias("__l")).where("__l is not null").distinct()
-    contents = stored.select(F.col("content_key").alias("__c")).distinct()
+    contents = stored.select(F.col("content_key").alias("__c")).where("__c is not null").distinct()
+    pairs = batch.groupBy("link_key", "content_key").agg(F.min(pos).alias("__first"))
     seen = (
-        batch.join(links, batch["link_key"] == links["__l"], "left")
-        .join(contents, batch["content_key"] == contents["__c"], "left")
+        pairs.join(links, pairs["link_key"] == links["__l"], "left")
+        .join(contents, pairs["content_key"] == contents["__c"], "left")
         .withColumn(
             "reason",
             F.when(F.col("link_key").isNull(), "missing_link")
@@ -79,10 +91,14 @@ def merge_new(batch: DataFrame, stored: DataFrame, pos: str = "pos") -> DataFram
             .when(F.col("__c").isNotNull(), "stored_content"),
         )
         .drop("__l", "__c")
+        .checkpoint()
     )
-    fresh = dedupe_greedy(seen.where("reason is null").drop("reason"), pos)
-    fresh = fresh.withColumn("reason", F.when(F.col("kept"), "new").otherwise("batch_duplicate")).drop("kept")
-    return seen.where("reason is not null").unionByName(fresh)
+    new = kept_first(seen.where("reason is null"), "__first").select(F.col("__first").alias("__new"))
+    told = seen.join(new, F.col("__first") == F.col("__new"), "left")
+    told = told.select(F.coalesce("link_key", F.lit("")).alias("__l"), F.col("content_key").alias("__c"), "reason", F.col("__new").alias("__first"))
+    own = batch.join(told, (F.coalesce(batch["link_key"], F.lit("")) == told["__l"]) & batch["content_key"].eqNullSafe(told["__c"]), "left")
+    reason = F.coalesce("reason", F.when(F.col(pos) == F.col("__first"), "new").otherwise("batch_duplicate"))
+    return own.withColumn("reason", reason).drop("__l", "__c", "__first")
 
 
 def unique_images(df: DataFrame, image: str, key: Column, placeholder_key: Column, partition: list[str], pos: str = "pos") -> DataFrame:

@@ -137,12 +137,13 @@ class Store:
         """Appends the rows of ``batch`` (with keys and pos) that the table lacks; the counts of each reason.
 
         Rows, keys and ``batch_id`` appear in one version, so a batch that is
-        run again after a failure adds nothing twice. ``found`` is the lookup of
-        the batch's keys, where the caller has made it.
+        run again after a failure adds nothing twice. ``batch`` is written before
+        it is judged, so its keys are made once. ``found`` is the lookup of
+        the keys of a staged batch, where the caller has made it.
         """
         if batch_id is not None and batch_id in self.batches(name):
             return self.spark.createDataFrame([], "reason string, n long")
-        judged = self.judged(batch, name, found).checkpoint()
+        judged = self.staged(self.judged(batch if found else self.staged(batch, name), name, found), f"judged-{name}")
         self.append(judged.where("reason = 'new'").drop("reason"), name, batch_id)
         return judged.groupBy("reason").agg(F.count("*").alias("n"))
 
