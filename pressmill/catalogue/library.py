@@ -66,7 +66,7 @@ def merge_buckets(spark: SparkSession, d: str) -> DataFrame:
     )
     out = None
     for turn, (start, end) in enumerate(FETCHES, 1):
-        batch = dedupe.with_keys(e.where((F.col("ts") >= start) & (F.col("ts") < end)).drop("ts"))
+        batch = store.staged(dedupe.with_keys(e.where((F.col("ts") >= start) & (F.col("ts") < end)).drop("ts")), "news")
         found = store.look_up(keys_of(batch))
         reasons = store.merge(batch, found=found).groupBy().pivot("reason", ["new", "stored_link", "batch_duplicate"]).agg(F.coalesce(F.sum("n"), F.lit(0)))
         row = reasons.select(

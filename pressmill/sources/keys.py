@@ -76,10 +76,11 @@ def look_up(asked: DataFrame, stored: DataFrame | None, filters: DataFrame | Non
     wanted = numbers(placed)
     if stored is None or filters is None or not wanted:
         return Lookup(placed.select("key").limit(0), len(wanted), 0, 0)
+    # One row for each bucket asked, of ``layout.slices`` bitmaps of 4 KB, so it is small enough to broadcast.
     maps = filters.where(F.col("bucket").isin(wanted)).groupBy("bucket", "slice").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-    probes = placed.select("bucket", "key", F.explode("bits").alias("bit")).withColumn("slice", F.expr(f"cast(bit div {BITMAP} as int)"))
-    tested = probes.join(maps, ["bucket", "slice"], "left").withColumn("on", F.coalesce(_is_set(F.col("bitmap"), F.col("bit") % BITMAP), F.lit(False)))
-    admitted = tested.groupBy("bucket", "key").agg(F.min("on").alias("on")).where("on").select("bucket", "key").checkpoint()
+    maps = maps.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("slice", "bitmap"))).alias("maps"))
+    on = F.forall("bits", lambda bit: F.coalesce(_is_set(F.try_element_at("maps", F.floor(bit / BITMAP).cast("int")), bit % BITMAP), F.lit(False)))
+    admitted = placed.join(F.broadcast(maps), "bucket").where(on).select("bucket", "key").checkpoint()
     opened = numbers(admitted)
     if not opened:
         return Lookup(placed.select("key").limit(0), len(wanted), 0, 0)
