@@ -167,6 +167,18 @@ def test_titles_with_a_common_head_make_no_pair(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
 
 
+def test_pairs_of_one_group_are_made_by_many_tasks(spark, monkeypatch):
+    """Copies of one title, and of a longer one that holds it: no task makes more than half of the pairs."""
+    monkeypatch.setattr(cluster, "PART", 50)
+    short = "the council of the city says"
+    df = spark.createDataFrame([(k, short if k % 3 else short + " no") for k in range(900)], "pos long, story string")
+    got = cluster.contained_candidates(df).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count_if(F.expr("a < b")).alias("up"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).collect()
+    want = spark.range(900).toDF("a").crossJoin(spark.range(900).toDF("b")).where("a < b").agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()[0]
+    made = [r.n for r in got]
+    assert sum(made) == sum(r.up for r in got) == 900 * 899 // 2 and sum(r.sum for r in got) == want
+    assert max(made) < sum(made) / 2
+
+
 def test_lexical_clusters_equal_brute_force(spark, tmp_path):
     rng = random.Random(6)
     words = "storm hits coast mayor budget vote fire crews river team wins final council road bridge school".split()
