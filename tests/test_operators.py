@@ -237,6 +237,42 @@ def test_near_copies_make_few_links(spark):
     assert {r.component for r in components.components(cluster.wording_links(prepared)).collect()} == {0}
 
 
+def test_reaches_is_the_ratio():
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("ab cdeé9" * 9 + "xyzwvutsrq") for _ in range(rng.choice([1, 9, 40, 260]))) for _ in range(40)]
+    texts += [t[: len(t) // 2] + t[len(t) // 2 + rng.randint(0, 3) :] for t in texts]
+    matcher = difflib.SequenceMatcher(None)
+    for a in texts:
+        for b in texts:
+            r = 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+            assert all(cluster.reaches(matcher, a, b, x) == (r >= x) for x in (0.3, 0.86, 0.93, r, 1.0))
+
+
+def test_whole_rows_go_only_where_they_may_have_a_partner(spark, monkeypatch):
+    """Rows that are alike by no bound take part in the first comparison alone; copies of a row are one in it."""
+    monkeypatch.setattr(cluster, "SIDE", 40)
+    monkeypatch.setattr(cluster, "STEP", 8)
+    linked_in = cluster._linked_in
+
+    def only_alike(config):
+        run = linked_in(config)
+
+        def checked(part):
+            assert all(t.startswith("mayor") for t in part.column("story").to_pylist())
+            return run(part)
+
+        return checked
+
+    monkeypatch.setattr(cluster, "_linked_in", only_alike)
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7))
+    titles = [" ".join(word() for _ in range(5)) for _ in range(150)] + ["council votes on the budget again"] * 60 + ["mayor sees the storm at the coast", "mayor sees the storm on the coast"]
+    rows = [(i, t, "", "", "") for i, t in enumerate(titles)]
+    prepared = cluster.prepare(spark.createDataFrame(rows, "pos long, title string, excerpt string, link string, topic string"))
+    links = {(r.a, r.b) for r in cluster.wording_links(prepared).collect()}
+    assert links == {(150, 150 + k) for k in range(1, 60)} | {(210, 211)}
+
+
 def test_jaccard_pairs_of_all_parts_equal_brute_force(spark):
     d = "/root/testdata/sf0.001"
     words = {r.p_partkey: set(f"{r.p_name} {r.p_brand} {r.p_type} s{r.p_size}".lower().split(" ")) for r in spark.read.parquet(f"{d}/part.parquet").collect()}
